@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import hash_tree, minhash, mixing
+from quillspark.llm import byte_cnn, gif, hash_tree, langid, minhash, mixing, packing
+from quillspark.llm.sampling import remainder
 from quillspark.llm.tables import table
 
 
@@ -38,8 +40,29 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.trained(docs, remainder(F.col("doc_id"), 3) != 1)
+    return langid.predicted(docs, model).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.stored(table(spark, sf_dir, "documents")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = byte_cnn.trained(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    held_out = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    return byte_cnn.scored(docs, network).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash, op5_hash_tree, op8_mixing)}
+    return {f.__name__: f for f in (op3_minhash, op4_language, op5_hash_tree, op6_gif, op8_mixing, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
