@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_cnn, gif, hash_tree, langid, minhash, mixing, packing
+from quillspark.llm import byte_cnn, gif, hash_tree, html_blocks, langid, lz_fingerprint, minhash, mixing, packing
 from quillspark.llm.sampling import remainder
 from quillspark.llm.tables import table
 
 
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -62,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash, op4_language, op5_hash_tree, op6_gif, op8_mixing, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_html_blocks, op3_minhash, op4_language, op5_hash_tree, op6_gif, op8_mixing, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
