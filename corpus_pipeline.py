@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import minhash, mixing
+from quillspark.llm import byte_cnn, langid, minhash, mixing, packing
+from quillspark.llm.sampling import remainder
 from quillspark.llm.tables import ship, table, written
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on labels, doesn't take for junk."""
+    ship(spark)
+    labels = table(spark, sf_dir, "labels")
+    network = byte_cnn.trained(table(spark, sf_dir, "documents"), labels, remainder(F.col("doc_id"), 5) != 0)
+    return byte_cnn.accepted(docs, network)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that labelled documents have."""
+    ship(spark)
+    return langid.accepted(docs, langid.trained(docs, remainder(F.col("doc_id"), 3) != 1))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     ship(spark)
@@ -19,7 +35,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.selected(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("near_dedup", near_dedup), ("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences."""
+    ship(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("keep_quality", keep_quality),
+    ("keep_languages", keep_languages),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 #: Models learned in Python decide what stays, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.sampling import bounded
 
@@ -166,7 +167,7 @@ def accepted(docs: DataFrame, network: Network, least: float = 0.3) -> DataFrame
     """The rows of docs that score `least` or more, every column as it came."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
 

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.sampling import bounded
 
@@ -135,7 +136,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs in a known language, every column as it came."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def sure(texts: pd.Series) -> pd.Series:
         return pd.Series([lang != "und" and score >= least for lang, score in map(shared.value.predict, texts)], dtype=bool)
 

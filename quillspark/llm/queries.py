@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_cnn, gif, hash_tree, html_blocks, langid, lz_fingerprint, minhash, mixing, packing
+from quillspark.llm import backoff_lm, byte_cnn, gif, hash_tree, html_blocks, langid, lz_fingerprint, minhash, mixing, packing
 from quillspark.llm.sampling import remainder
 from quillspark.llm.tables import table
 
@@ -44,6 +44,12 @@ def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.place(table(spark, sf_dir, "documents"), hash_tree.tree(16))
 
 
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    scores = backoff_lm.scored(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_html_blocks, op3_minhash, op4_language, op5_hash_tree, op6_gif, op8_mixing, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_html_blocks, op3_minhash, op4_language, op5_hash_tree, op6_gif, op7_backoff_lm, op8_mixing, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
