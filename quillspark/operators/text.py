@@ -1,20 +1,48 @@
-"""Term statistics."""
+"""Term statistics over (document, term) pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tfidf(pairs: DataFrame, doc: str, term: str) -> DataFrame:
-    """doc, term, weight of each distinct pair: 1 / (distinct terms of the document) * ln(1 + documents / documents with the term)."""
-    kept = pairs.select(doc, term).distinct()
-    df = kept.groupBy(term).agg(F.count("*").alias("df"))
-    tf = kept.groupBy(doc).agg(F.count("*").alias("terms"))
-    total = tf.agg(F.count("*").alias("n_docs"))
+def tokens(text: Column) -> Column:
+    """Distinct runs of lower-case letters."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), 1))
+
+
+def pairs(docs: DataFrame, doc: str, text: str, term: str = "term", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document and distinct term."""
+    return docs.select(doc, *keep, F.explode(tokens(F.col(text))).alias(term))
+
+
+def document_frequency(rows: DataFrame, term: str) -> DataFrame:
+    return rows.groupBy(term).agg(F.count("*").alias("df"))
+
+
+def frequent(rows: DataFrame, term: str, least: int) -> DataFrame:
+    """The pairs whose term is in `least` documents or more."""
+    kept = document_frequency(rows, term).where(F.col("df") >= least).select(term)
+    return rows.join(kept, term, "left_semi")
+
+
+def tfidf(rows: DataFrame, doc: str, term: str) -> DataFrame:
+    """The pairs with weight = ln(1 + documents / documents with the term) / terms of the document.
+
+    All counts are of the pairs given, so after any cap or filter applied to them.
+    """
+    per_term = document_frequency(rows, term)
+    total = rows.agg(F.count_distinct(doc).alias("n_docs"))
+    in_doc = F.count("*").over(Window.partitionBy(doc))
     return (
-        kept.join(df, term)
-        .join(tf, doc)
-        .crossJoin(F.broadcast(total))
-        .select(doc, term, F.round(F.log(1 + F.col("n_docs") / F.col("df")) / F.col("terms"), 6).alias("weight"))
+        rows.withColumn("n_terms", in_doc)
+        .join(per_term, term)
+        .crossJoin(F.broadcast(total))  # one row
+        .withColumn("weight", F.log(1 + F.col("n_docs") / F.col("df")) / F.col("n_terms"))
+        .drop("n_docs", "n_terms", "df")
     )
+
+
+def top(rows: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
+    """The first n rows of each group in a total order."""
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)

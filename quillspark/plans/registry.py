@@ -1,26 +1,47 @@
-"""All queries by name with their SQL; a module of quillspark.plans adds its own by `add`."""
+"""All queries by name, each with its SQL where SQL expresses it.
+
+A module of quillspark.plans registers with `query`; `modules` lists those that are loaded.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("skills", "axes", "vectors", "statistics", "sets", "ingest", "scalars", "career")
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.operators.text import tfidf
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    terms = docs.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("term")).where("term <> ''")
-    return tfidf(terms, "doc_id", "term")
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"quillspark.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
-    return {"tfidf_terms": tfidf_terms}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
