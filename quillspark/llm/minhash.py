@@ -41,6 +41,8 @@ SKETCH, AGREE = 256, 158
 SMALL = 8
 #: Members of a block, and partners in another component that each member is first compared with.
 BLOCK, FIRST = 256, 2
+#: Members of large buckets get a longer sketch, of which a pair at the threshold agrees in 769 +- 14.
+LONG, LONG_AGREE = 1024, 700
 U32 = np.uint32
 
 
@@ -183,7 +185,7 @@ def components(links: DataFrame) -> DataFrame:
             ).distinct()
 
 
-def _across(large: DataFrame, of: DataFrame, sketches: DataFrame, limit: int | None) -> DataFrame:
+def _across(large: DataFrame, of: DataFrame, sketches: DataFrame, limit: int | None, threshold: float = 0.75) -> DataFrame:
     """Pairs of a bucket that lie in two components and may be links; with a limit the likeliest of each member."""
     named = large.join(of.withColumnRenamed("node", "m"), "m", "left").withColumn("c", F.coalesce("component", "m"))
     counts = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
@@ -195,24 +197,46 @@ def _across(large: DataFrame, of: DataFrame, sketches: DataFrame, limit: int | N
     )
 
     def blocks(rows: DataFrame, side: str) -> DataFrame:
-        return rows.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("m", "c", "sketch")).alias(side)).drop("chunk")
+        return rows.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("m", "c", "size", "sketch", "bands")).alias(side)).drop("chunk")
 
-    both = blocks(member.where("c <> most"), "xs").join(blocks(member, "ys"), "bucket").select("xs", "ys")
-    return both.mapInPandas(_plausible(limit), "a long, b long").distinct()
+    both = blocks(member.where("c <> most"), "xs").join(blocks(member, "ys"), "bucket").select("bucket", "xs", "ys")
+    return both.mapInPandas(_plausible(limit, threshold), "a long, b long").distinct()
 
 
-def _plausible(limit: int | None):
+def _long_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
+        for first, block in words.blocks(texts):
+            sets = words.shingle_sets(block)
+            sig = signatures(sets, LONG)
+            keys, sketch = bands(sig[:, : ROWS * BANDS]), sig.astype(np.uint8)
+            yield pd.DataFrame(
+                {"doc_id": ids[first : first + len(block)], "size": [len(x) for x in sets], "sketch": [r.tobytes() for r in sketch], "bands": list(keys)}
+            )
+
+
+def _plausible(limit: int | None, threshold: float):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for xs, ys in zip(pdf["xs"], pdf["ys"]):
+            for bucket, xs, ys in zip(pdf["bucket"], pdf["xs"], pdf["ys"]):
                 sketch = [np.frombuffer(b"".join(r["sketch"] for r in side), np.uint8).reshape(len(side), -1) for side in (xs, ys)]
                 ids = [np.array([r["m"] for r in side]) for side in (xs, ys)]
                 own = [np.array([r["c"] for r in side]) for side in (xs, ys)]
-                agree = np.stack([(sketch[1] == x).sum(axis=1) for x in sketch[0]])
+                agree = np.stack([(sketch[1][:, :SKETCH] == x).sum(axis=1) for x in sketch[0][:, :SKETCH]])
                 agree[own[0][:, None] == own[1][None, :]] = 0
                 if limit and limit < agree.shape[1]:
                     agree = np.where(agree >= -np.partition(-agree, limit - 1, axis=1)[:, limit - 1 : limit], agree, 0)
                 i, j = np.nonzero(agree >= AGREE)
+                # of the buckets that a pair shares, that of its first common band passes it on
+                n = [np.array([r["size"] for r in side], float) for side in (xs, ys)]
+                near = np.minimum(n[0][i], n[1][j]) >= threshold * np.maximum(n[0][i], n[1][j])
+                i, j = i[near], j[near]
+                near = (sketch[0][i] == sketch[1][j]).sum(axis=1) >= LONG_AGREE
+                i, j = i[near], j[near]
+                both = [np.array([r["bands"] for r in side]) for side in (xs, ys)]
+                same = both[0][i] == both[1][j]
+                once = both[0][i, same.argmax(axis=1)] == bucket
+                i, j = i[once], j[once]
                 yield pd.DataFrame({"a": np.minimum(ids[0][i], ids[1][j]), "b": np.maximum(ids[0][i], ids[1][j])})
 
     return compare
@@ -240,9 +264,13 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     star = sized.where((F.col("n") > SMALL) & (F.col("m") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("m").alias("b"))
     known = _verified(inner.union(star).distinct(), sketches, texts, threshold, "pairs")
     large = sized.where(F.col("n") > SMALL).select("bucket", "m", "n")
+    crowd = large.select(F.col("m").alias("doc_id")).distinct()
+    longer = written(
+        texts.join(crowd, "doc_id", "left_semi").mapInPandas(_long_sketches, "doc_id long, size long, sketch binary, bands array<long>"), "longer"
+    )
     for limit in (FIRST, None):
         of = written(components(known.where("linked")), "components")
-        pairs = _across(large, of, sketches, limit).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = _across(large, of, longer, limit, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti")
         known = known.unionByName(_verified(pairs, sketches, texts, threshold, "across"))
     of = components(known.where("linked"))
     top = sets.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
