@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 TOKENS, SEGMENTS = 1024, 128
 END = 0
 #: Pieces of text whose ids a worker remembers; it forgets them all beyond that. Results don't depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 _ODD = re.compile(r" \s|\s |\A\s|\s\Z")
 _SPECIAL = "<|endoftext|>"
 
@@ -36,37 +36,64 @@ class Ids:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Where single spaces alone part a text, no token spans one, and each begins a token; so parts can be looked up.
+    A part that isn't known is cut where the byte-level pattern cuts it, and its pieces are looked up or encoded.
     Other texts, and those with the special token's string, are encoded as a whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        self._cut = regex.compile(public_tokenizers.PATTERN).findall
+        self._parts: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            if not text:
-                yield b""
-            elif _ODD.search(text) or _SPECIAL in text:
-                yield self._encode([text])[0]
-            else:
-                first, *rest = text.split(" ")
-                try:
-                    tail = b"".join([self._known[x] for x in rest])
-                except KeyError:
-                    if len(self._known) > REMEMBERED:
-                        self._known.clear()
-                    new = list(set(rest).difference(self._known))
-                    self._known.update(zip(new, self._encode([" " + x for x in new])))
-                    tail = b"".join([self._known[x] for x in rest])
-                yield self._encode([first])[0] + tail
+    def _learn(self, parts: set[str]) -> None:
+        if len(self._parts) > REMEMBERED:
+            self._parts.clear()
+        if len(self._pieces) > REMEMBERED:
+            self._pieces.clear()
+        cut = {x: self._cut(x) for x in parts.difference(self._parts)}
+        new = list({p for ps in cut.values() for p in ps}.difference(self._pieces))
+        self._pieces.update(zip(new, self._encode(new)))
+        known = self._pieces
+        self._parts.update((x, b"".join([known[p] for p in ps])) for x, ps in cut.items())
+
+    def of(self, texts: list[str | None], step: int = 64) -> Iterator[bytes]:
+        for lo in range(0, len(texts), step):
+            cut: list[list[str] | str] = []
+            for text in texts[lo : lo + step]:
+                if not text or _ODD.search(text) or _SPECIAL in text:
+                    cut.append(text or "")
+                else:
+                    parts = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else text
+                    cut.append(parts)
+            parts = {x for ps in cut if isinstance(ps, list) for x in ps}
+            if not parts <= self._parts.keys():
+                self._learn(parts)
+            known = self._parts
+            for ps in cut:
+                if isinstance(ps, list):
+                    yield b"".join([known[x] for x in ps])
+                else:
+                    yield self._encode([ps])[0] if ps else b""
+
+
+#: A worker's tokenizers by path, which its later tasks use again.
+_LOADED: dict[str, Ids] = {}
+
+
+def loaded(path: str) -> Ids:
+    if path not in _LOADED:
+        _LOADED[path] = Ids(path)
+    return _LOADED[path]
 
 
 class Packer:
@@ -142,7 +169,7 @@ def _pack(path: str | None, tokens: int, segments: int) -> Callable:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        ids = Ids(path or public_tokenizers.path("byte_bpe_50k.json"))
+        ids = loaded(path or public_tokenizers.path("byte_bpe_50k.json"))
         packer = Packer((tokens, segments, tokens), cut=True)
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 32
