@@ -29,11 +29,15 @@ ROWS, EPOCHS, BATCH, RATE = 3000, 6, 64, 0.01
 
 
 def blocks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text padded to whole blocks, and the first block of each text (one more at the end)."""
+    """All bytes, each text padded to whole blocks, and the first block of each text (one more at the end).
+
+    Zeros before and after a text fill the chunks that reach over its ends.
+    """
     parts, at = [], [0]
     for t in texts:
         raw = (t or "").encode("utf-8", "replace")
-        n = -(-(len(raw) + WIDTH - STRIDE) // BLOCK)
+        raw = bytes(WIDTH - STRIDE) + raw + bytes(WIDTH - STRIDE)
+        n = -(-len(raw) // BLOCK)
         parts.append(raw.ljust(n * BLOCK, b"\x00"))
         at.append(at[-1] + n)
     return np.frombuffer(b"".join(parts) + bytes(WIDTH), np.uint8), np.array(at)
