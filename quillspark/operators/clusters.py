@@ -66,7 +66,7 @@ def greedy_leaders(rows: DataFrame, block: str, key: str, weight: str, vector: s
         leaders: list[int] = []
         own = []
         for i in range(len(pdf)):
-            close = np.flatnonzero(vectors[leaders] @ vectors[i] >= least - 1e-12) if leaders else []
+            close = np.flatnonzero(vectors[leaders] @ vectors[i] >= least - 1e-9) if leaders else []
             if len(close):
                 own.append(leaders[close[0]])
             else:

@@ -52,14 +52,14 @@ def chi_squared(cells: DataFrame, row: str, column: str, count: str) -> DataFram
         cells.select(row).distinct().crossJoin(cells.select(column).distinct()).join(cells, [row, column], "left")
         .select(row, column, F.coalesce(count, F.lit(0)).cast("double").alias("o"))
     )  # as many rows as the table has cells
-    r = dense.groupBy(row).agg(F.sum("o").alias("r"))
-    c = dense.groupBy(column).agg(F.sum("o").alias("c"))
-    shape = r.agg(F.count("*").alias("nr"), F.sum("r").alias("n")).crossJoin(c.agg(F.count("*").alias("nc")))
-    full = dense.join(r, row).join(c, column).crossJoin(F.broadcast(shape)).withColumn("e", F.col("r") * F.col("c") / F.col("n"))
+    r = dense.groupBy(row).agg(F.sum("o").alias("__r"))
+    c = dense.groupBy(column).agg(F.sum("o").alias("__c"))
+    shape = r.agg(F.count("*").alias("nr"), F.sum("__r").alias("__n")).crossJoin(c.agg(F.count("*").alias("nc")))
+    full = dense.join(r, row).join(c, column).crossJoin(F.broadcast(shape)).withColumn("e", F.col("__r") * F.col("__c") / F.col("__n"))
     dof = (F.col("nr") - 1) * (F.col("nc") - 1)
     gap = F.abs(F.col("o") - F.col("e"))
     gap = F.when(dof == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    stat = full.groupBy("nr", "nc", "n").agg(F.sum(F.try_divide(gap * gap, F.col("e"))).alias("chi2"))
+    stat = full.groupBy("nr", "nc", F.col("__n").alias("n")).agg(F.sum(F.try_divide(gap * gap, F.col("e"))).alias("chi2"))
     enough = (F.col("nr") > 1) & (F.col("nc") > 1) & (F.col("n") >= 10)
     k = F.least("nr", "nc") - 1
     return stat.select(
