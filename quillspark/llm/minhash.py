@@ -161,12 +161,17 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of the links a, b: large-star and small-star in turn."""
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "edges")
+
+    def mark(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "edges")
+    before = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above a node hang on the node's least neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a node and its lower neighbours hang on the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
@@ -177,9 +182,9 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         after = written(small, "edges")
-        changed = after.select("a", "b").exceptAll(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).limit(1).count()
-        edges = after
-        if not changed:
+        edges, last = after, before
+        before = mark(edges)
+        if before == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
             ).distinct()
@@ -249,15 +254,13 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     sets = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "sets")
     reps = rows.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     member = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("m"))
-    crowded = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = written(member.join(crowded, "bucket", "left_semi"), "buckets")
-    candidates = active.select(F.col("m").alias("doc_id")).distinct()
+    crowded = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("m").alias("leader")).where("n > 1")
+    sized = written(member.join(crowded, "bucket"), "buckets")
+    candidates = sized.select(F.col("m").alias("doc_id")).distinct()
     sketches = written(reps.select("doc_id", "sketch").join(candidates, "doc_id", "left_semi"), "sketches")
     texts = written(
         docs.select(F.col("doc_id").cast("long"), "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
     )
-    size = active.groupBy("bucket").agg(F.count("*").alias("n"), F.min("m").alias("leader"))
-    sized = active.join(size, "bucket")
     few = sized.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("m").alias("ms"))
     above = lambda x: F.transform(F.filter("ms", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))
     inner = few.select(F.explode(F.flatten(F.transform("ms", above))).alias("p")).select("p.a", "p.b")
@@ -268,11 +271,13 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     longer = written(
         texts.join(crowd, "doc_id", "left_semi").mapInPandas(_long_sketches, "doc_id long, size long, sketch binary, bands array<long>"), "longer"
     )
+    of = written(components(known.where("linked")), "components")
     for limit in (FIRST, None):
-        of = written(components(known.where("linked")), "components")
         pairs = _across(large, of, longer, limit, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = known.unionByName(_verified(pairs, sketches, texts, threshold, "across"))
-    of = components(known.where("linked"))
+        new = _verified(pairs, sketches, texts, threshold, "across")
+        known = known.unionByName(new)
+        if not new.where("linked").isEmpty():
+            of = written(components(known.where("linked")), "components")
     top = sets.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component_id")
     )
