@@ -133,12 +133,14 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs in a known language, every column as it came."""
+    """The rows of docs in a known language, every column as it came; without one, the rows that have letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.BooleanType())
     def sure(texts: pd.Series) -> pd.Series:
-        return pd.Series([lang != "und" and score >= least for lang, score in map(shared.value.predict, texts)], dtype=bool)
+        known = bool(shared.value.languages)
+        found = (shared.value.predict(t) if known else ("", float(any(c.isalpha() for c in t or ""))) for t in texts)
+        return pd.Series([lang != "und" and score >= least for lang, score in found], dtype=bool)
 
     return docs.where(sure("text"))
 

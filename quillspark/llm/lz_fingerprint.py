@@ -30,27 +30,40 @@ from quillspark.llm.tables import written
 LANES = 64
 
 
-def phrases(text: str, ends: list[int] | None = None) -> list[int]:
-    """Where each phrase ends. ends: those of the phrases that are known already, from the beginning on."""
-    ends = list(ends or [])
-    seen = {text[i:j] for i, j in zip([0, *ends], ends)}
-    at, n = ends[-1] if ends else 0, len(text)
-    length = 1
+def parse(text: str, seen: set[str], ends: list[int], keep: int | None = None) -> tuple[set[str], int] | None:
+    """Goes on with the parse of a text after ends[-1], into seen and ends. keep: returns the phrases, and how many,
+    that end there or before it."""
+    at, n, length, kept = ends[-1] if ends else 0, len(text), 1, None
+    add, put = seen.add, ends.append
     while at < n:
         # phrases are closed under prefixes, so the search may begin at the last length
         end = min(at + length, n)
-        if text[at:end] in seen:
-            end += 1
-            while end <= n and text[at:end] in seen:
+        phrase = text[at:end]
+        if phrase in seen:
+            while end < n:
                 end += 1
-            end = min(end, n)
+                phrase = text[at:end]
+                if phrase not in seen:
+                    break
         else:
-            while end - 1 > at and text[at : end - 1] not in seen:
+            while end - 1 > at:
+                shorter = text[at : end - 1]
+                if shorter in seen:
+                    break
                 end -= 1
-        phrase = text[at:end]
-        seen.add(phrase)
-        ends.append(end)
+                phrase = shorter
+        if keep is not None and end > keep:
+            kept, keep = (seen.copy(), len(ends)), None
+        add(phrase)
+        put(end)
         length, at = end - at, end
+    return (seen.copy(), len(ends)) if keep is not None else kept
+
+
+def phrases(text: str) -> list[int]:
+    """Where each phrase ends."""
+    ends: list[int] = []
+    parse(text, set(), ends)
     return ends
 
 
@@ -87,15 +100,16 @@ def _compared(docs: list[tuple]) -> list[tuple]:
         return []
     sets, edits = [], []
     for i, (_, text) in enumerate(docs):
-        ends = phrases(text)
+        half = len(text) // 2
+        ends: list[int] = []
+        seen, n = parse(text, set(), ends, len(text) - half)
         sets.append(phrase_hashes(text, ends))
         if i + 1 < len(docs):
-            half = len(text) // 2
-            kept = len(text) - half
-            edited = text[:kept] + docs[i + 1][1][:half]
-            same = ends[: int(np.searchsorted(ends, kept, side="right"))] if ends else []
-            # the last phrase of a text may be cut short by its end; phrases wholly within what is kept are the same
-            new = ends if edited == text else phrases(edited, same)
+            edited = text[: len(text) - half] + docs[i + 1][1][:half]
+            new = ends
+            if edited != text:
+                new = ends[:n]  # phrases within what is kept are the same
+                parse(edited, seen, new)
             edits.append((hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), phrase_hashes(edited, new)))
     own, other = fingerprints(sets), fingerprints([s for _, s in edits])
     rows = []

@@ -97,8 +97,12 @@ def test_phrases_are_lz78():
         text = "".join(random.choice("abé ") for _ in range(n))
         assert lz_fingerprint.phrases(text) == plain(text)
     text = "abababab" * 50
-    half = [e for e in lz_fingerprint.phrases(text) if e <= 200]
-    assert lz_fingerprint.phrases(text, half) == lz_fingerprint.phrases(text)
+    ends = []
+    seen, n = lz_fingerprint.parse(text, set(), ends, 200)
+    assert n == sum(e <= 200 for e in ends) and seen == {text[i:j] for i, j in zip([0, *ends], ends[:n])}
+    again = ends[:n]
+    lz_fingerprint.parse(text, seen, again)
+    assert again == ends
 
 
 def test_edited_fingerprints_match_whole_parses():
