@@ -15,7 +15,6 @@ any length is cut; other columns are dropped; an empty table gives an empty resu
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,7 +27,6 @@ TOKENS, SEGMENTS = 1024, 128
 END = 0
 #: Pieces of text whose ids a worker remembers; it forgets them all beyond that. Results don't depend on it.
 REMEMBERED = 700_000
-_ODD = re.compile(r" \s|\s |\A\s|\s\Z")
 _SPECIAL = "<|endoftext|>"
 
 
@@ -48,7 +46,7 @@ class Ids:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._cut = regex.compile(public_tokenizers.PATTERN).findall
-        self._parts: dict[str, bytes] = {}
+        self._parts: dict[str, bytes | None] = {}  # None: with white space beside a cut
         self._pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -60,7 +58,12 @@ class Ids:
             self._parts.clear()
         if len(self._pieces) > REMEMBERED:
             self._pieces.clear()
-        cut = {x: self._cut(x) for x in parts.difference(self._parts)}
+        cut = {}
+        for x in parts.difference(self._parts):
+            if not x or x[-1].isspace() or x[:1].isspace() and (x[0] != " " or x[1].isspace()):
+                self._parts[x] = None
+            else:
+                cut[x] = self._cut(x)
         new = list({p for ps in cut.values() for p in ps}.difference(self._pieces))
         self._pieces.update(zip(new, self._encode(new)))
         known = self._pieces
@@ -68,22 +71,20 @@ class Ids:
 
     def of(self, texts: list[str | None], step: int = 64) -> Iterator[bytes]:
         for lo in range(0, len(texts), step):
-            cut: list[list[str] | str] = []
+            cut = []
             for text in texts[lo : lo + step]:
-                if not text or _ODD.search(text) or _SPECIAL in text:
-                    cut.append(text or "")
-                else:
-                    parts = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else text
-                    cut.append(parts)
-            parts = {x for ps in cut if isinstance(ps, list) for x in ps}
+                whole = not text or _SPECIAL in text or "\x00" in text
+                cut.append((text or "", [] if whole else text.replace(" ", "\x00 ").split("\x00")))
+            parts = {x for _, ps in cut for x in ps}
             if not parts <= self._parts.keys():
                 self._learn(parts)
             known = self._parts
-            for ps in cut:
-                if isinstance(ps, list):
-                    yield b"".join([known[x] for x in ps])
+            for text, ps in cut:
+                found = [known[x] for x in ps]
+                if found and None not in found:
+                    yield b"".join(found)
                 else:
-                    yield self._encode([ps])[0] if ps else b""
+                    yield self._encode([text])[0] if text else b""
 
 
 #: A worker's tokenizers by path, which its later tasks use again.
