@@ -143,12 +143,14 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "shared": shared, "joint": joint})
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, name: str) -> DataFrame:
-    """a, b, shared, joint of all pairs (a < b) whose sketches don't rule out a link."""
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches don't rule out a link."""
     side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-    likely = (
-        pairs.join(side("a"), "a").join(side("b"), "b").where(_agreeing("sketch_a", "sketch_b") >= AGREE).select("a", "b")
-    )
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_agreeing("sketch_a", "sketch_b") >= AGREE).select("a", "b")
+
+
+def _verified(likely: DataFrame, texts: DataFrame, threshold: float, name: str) -> DataFrame:
+    """a, b, shared, joint, linked of all pairs (a < b) from their full sets."""
     text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     found = (
         likely.join(text("b"), "b")
@@ -265,7 +267,7 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     above = lambda x: F.transform(F.filter("ms", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))
     inner = few.select(F.explode(F.flatten(F.transform("ms", above))).alias("p")).select("p.a", "p.b")
     star = sized.where((F.col("n") > SMALL) & (F.col("m") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("m").alias("b"))
-    known = _verified(inner.union(star).distinct(), sketches, texts, threshold, "pairs")
+    known = _verified(_likely(inner.union(star).distinct(), sketches), texts, threshold, "pairs")
     large = sized.where(F.col("n") > SMALL).select("bucket", "m", "n")
     crowd = large.select(F.col("m").alias("doc_id")).distinct()
     longer = written(
@@ -274,7 +276,7 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     of = written(components(known.where("linked")), "components")
     for limit in (FIRST, None):
         pairs = _across(large, of, longer, limit, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = _verified(pairs, sketches, texts, threshold, "across")
+        new = _verified(pairs, texts, threshold, "across")
         known = known.unionByName(new)
         if not new.where("linked").isEmpty():
             of = written(components(known.where("linked")), "components")
