@@ -1,18 +1,18 @@
 """Scoring texts with a weighted backoff automaton learned from the whole corpus.
 
-All tokens of all training documents are counted. The VOCABULARY most frequent ones have numbers; all others are one
-class, within which a token has the probability (c + 0.5) / (N_R + 0.5 * (V_R + 1)) of its own exact count c. With the
-root's (c + 0.5) / (N + 0.5 * (V + 1)) for numbered tokens that is the add-half unigram model.
+All tokens of all training documents are counted, and all n-grams of up to three tokens; none is left out, however
+rare. The root is the add-half unigram model (c + 0.5) / (N + 0.5 * (V + 1)). Above it are n-grams with absolute
+discounting, P(w | h) = max(c(h w) - D, 0) / c(h) + b(h) P(w | shorter h), where b(h) is D times the number of
+different followers of h over c(h), what the discounts leave: each state has an arc for each n-gram seen and a failure
+arc of weight b(h) to the shorter history, and each state's probabilities sum to one. A history never seen fails with
+weight one. A text begins in the state START.
 
-Above the root are n-grams with absolute discounting, P(w | h) = (c(h w) - D) / c(h) + b(h) P(w | shorter h). A
-history's state has an arc for each n-gram kept and a failure arc of weight b(h), what the kept arcs leave, to the
-shorter history; so each state's probabilities sum to one whatever is kept. A history of one token is that token where
-it is among the CONTEXTS most frequent, else the class of its last two bytes; of two tokens, where both are among the
-PAIRS most frequent. n-grams are counted over the whole corpus; the ARCS most frequent of each order become arcs, so
-the automaton's size is bounded. A text is read once from left to right, carrying the state and the sum of logs.
+No table of n-grams is gathered anywhere. Texts are dealt to blocks, n-grams to targets by their history; the numbers
+of both grow with the input. A block asks each target once for each of its different n-grams and says how often its
+training texts have it; the target adds up what all blocks say and answers each; the block scores its texts.
 
-Counts of unnumbered tokens stay in a table that is joined with the texts' unnumbered tokens; it is never broadcast.
-Tokens are told apart by 64-bit hashes.
+Tokens are told apart by 64-bit hashes, the histories of one target by 48 bits of theirs and the followers of one
+history by 40 bits.
 
 Defined results: a null text is empty and has the end token alone; a row whose doc_id is null is learned from, where
 the learning condition is null too; repeated rows count and score each; other columns are dropped; an empty table
@@ -27,33 +27,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words
 from quillspark.llm.tables import written
 
-VOCABULARY, CONTEXTS, PAIRS, ARCS, DISCOUNT = 1 << 18, 1 << 12, 1 << 9, 150_000, 0.75
+DISCOUNT = 0.75
+#: Characters of a block of texts; there are as many targets as blocks.
+BLOCK = 16_000_000
 #: The hash of the end token; words have hashes of their bytes.
 END = np.uint64(0xE7D0E7D0E7D0E7D0)
 #: Distinct keys that a task holds before it passes their counts on.
 HELD = 2_000_000
+START = np.uint64(0x57A2757A2757A275)
+#: The automaton as an object, for models small enough to be written down: tokens and histories below these numbers.
+CONTEXTS, PAIRS = 1 << 12, 1 << 9
 _START = CONTEXTS + (1 << 16)
 
 
-def _tokens(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block of texts: the position of its first text, token hashes with end tokens, their classes by last bytes,
-    and where each text's tokens begin (one more at the end)."""
-    for first, block in words.blocks(texts):
+def _tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per run of texts: token hashes with end tokens, and where each text's tokens begin (one more at the end)."""
+    for _, block in words.blocks(texts):
         hashes, at = words.word_hashes(block)
-        joined = np.frombuffer(b"  " + b" ".join(block) + b"  ", np.uint8)
-        space = words._SPACE[joined]
-        last = np.flatnonzero(~space[:-1] & space[1:])
-        kinds = joined[last].astype(np.int64) << 8 | np.where(space[last - 1], 0, joined[last - 1])
-        where = at[1:]
-        starts = at + np.arange(len(at))
-        yield first, np.insert(hashes, where, END), np.insert(kinds, where, 0), starts
+        yield np.insert(hashes, at[1:], END), at + np.arange(len(at))
 
 
 def _summed(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -88,7 +86,7 @@ def counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found():
             for pdf in batches:
-                for _, tokens, _, _ in _tokens(pdf["text"].tolist()):
+                for tokens, _ in _tokens(pdf["text"].tolist()):
                     yield np.unique(tokens, return_counts=True)
 
         for k, c in _summed(found()):
@@ -97,54 +95,6 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-@dataclass
-class Numbers:
-    """The numbered tokens, by falling count."""
-
-    hashes: np.ndarray  # sorted
-    ranks: np.ndarray
-
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        """The number of each token; len(hashes) for the class of the others."""
-        n = len(self.hashes)
-        if not n:
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), n - 1)
-        return np.where(self.hashes[at] == tokens, self.ranks[at], n)
-
-
-def _history(numbers: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    return np.where(numbers < CONTEXTS, numbers, CONTEXTS + kinds)
-
-
-def _ngrams(docs: DataFrame, shared) -> DataFrame:
-    """order, h, w, c: how often w follows the history h; w is -1 for all tokens together (order 1 alone)."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found():
-            for pdf in batches:
-                for _, tokens, kinds, starts in _tokens(pdf["text"].tolist()):
-                    w = shared.value.of(tokens)
-                    n = len(shared.value.hashes)
-                    h = np.concatenate([[_START], _history(w, kinds)[:-1]])
-                    h[starts[:-1]] = _START
-                    h = h[: len(w)]
-                    # what follows: a number below CONTEXTS, the class of unnumbered tokens, or nothing told apart
-                    seen = (w < CONTEXTS) | (w == n)
-                    follow = np.where(w == n, CONTEXTS, w)
-                    one = h[seen] << 13 | follow[seen]
-                    every = h << 13 | (CONTEXTS + 1)
-                    before = np.concatenate([[_START], h[:-1]])
-                    pair = (h < PAIRS) & (before < PAIRS) & (follow < PAIRS)
-                    two = 1 << 62 | before[pair] << 40 | h[pair] << 13 | follow[pair]
-                    yield np.unique(np.concatenate([one, every, two]).view(np.int64), return_counts=True)
-
-        for k, c in _summed(found()):
-            yield pd.DataFrame({"gram": k, "c": c})
-
-    return docs.select("text").mapInPandas(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
 @dataclass
 class Automaton:
     """States are 0 (the root), 1 + h for a history of one token, and further numbers for kept histories of two."""
@@ -174,47 +124,116 @@ class Automaton:
         return total
 
 
-def _kept(grams: DataFrame, order: int) -> list[tuple[int, int]]:
-    of = grams.where((F.col("gram") >= 1 << 62) if order == 2 else (F.col("gram") < 1 << 62))
-    arcs = of.where((F.col("c") > 1) & (F.col("gram").bitwiseAND(F.lit(8191)) != CONTEXTS + 1))
-    found = arcs.orderBy(F.desc("c"), "gram").limit(ARCS).toPandas()
-    return list(zip(found["gram"].tolist(), found["c"].tolist()))
-
-
-def automaton(grams: DataFrame, root: np.ndarray) -> Automaton:
-    """root: log10 by number; what a failure at last comes to."""
-    # a row for each history of one token, CONTEXTS + 65,537 at most
-    every = grams.where((F.col("gram") < 1 << 62) & (F.col("gram").bitwiseAND(F.lit(8191)) == CONTEXTS + 1)).toPandas()
-    totals = dict(zip((every["gram"] // 8192).tolist(), every["c"].tolist()))
-    one, two = _kept(grams, 1), _kept(grams, 2)
-    counted = {g: c for g, c in one}
-    lower = lambda follow: 10.0 ** root[len(root) - 1 if follow == CONTEXTS else follow]
-    left: dict[int, float] = {}
-    for g, c in one:
-        left[g >> 13] = left.get(g >> 13, 1.0) - (c - DISCOUNT) / totals[g >> 13]
-    arcs, failure, pairs = {}, {}, {}
-    first = {}
-    for g, c in one:
-        h, w = g >> 13, g & 8191
-        first[g] = p = (c - DISCOUNT) / totals[h] + left[h] * lower(w)
-        arcs[(1 + h) << 13 | w] = math.log10(p)
-    for h, b in left.items():
-        failure[1 + h] = (0, math.log10(b))
-    two = [(g - (1 << 62), c) for g, c in two]
-    both = [(g >> 40, g >> 13 & ((1 << 27) - 1), g & 8191, c) for g, c in two]
-    both = [(a, b, w, c, counted[a << 13 | b]) for a, b, w, c in both if a << 13 | b in counted]
-    rest: dict[tuple[int, int], float] = {}
-    for a, b, w, c, n in both:
-        rest[a, b] = rest.get((a, b), 1.0) - (c - DISCOUNT) / n
-    state = 2 + _START
-    for a, b in sorted(rest):
-        pairs[a << 12 | b] = state
-        failure[state] = (1 + b, math.log10(rest[a, b]))
-        state += 1
-    for a, b, w, c, n in both:
-        p = first.get(b << 13 | w) or left.get(b, 1.0) * lower(w)
-        arcs[pairs[a << 12 | b] << 13 | w] = math.log10((c - DISCOUNT) / n + rest[a, b] * p)
-    return Automaton(root, arcs, failure, pairs)
+@dataclass
+class Grams:
+    """The different n-grams of a block of texts, by history and follower, and where its tokens find theirs."""
+
+    tokens: np.ndarray
+    starts: np.ndarray  # of each text's tokens, one more at the end
+    histories: np.ndarray  # sorted hashes
+    grams: np.ndarray  # sorted: number of the history << 40 | bits of the follower
+    history_of: np.ndarray  # of each token its history of one, then of each token with two before it that of two
+    gram_of: np.ndarray
+    inner: np.ndarray  # the tokens with a history of two
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Grams:
+        found = list(_tokens(texts))
+        tokens = np.concatenate([t for t, _ in found])
+        ends = np.cumsum([0, *(len(t) for t, _ in found)])
+        starts = np.concatenate([*(s[:-1] + e for (_, s), e in zip(found, ends)), ends[-1:]])
+        before = np.concatenate([[START], tokens[:-1]])
+        before[starts[:-1]] = START
+        one = words.mix64(before + np.uint64(0xA0761D6478BD642F))
+        follows = np.ones(len(tokens), bool)
+        follows[starts[:-1]] = False
+        inner = np.flatnonzero(follows)
+        two = words.mix64(one[inner - 1] * np.uint64(0xE7037ED1A0B428DB) + tokens[inner - 1])
+        histories, history_of = np.unique(np.concatenate([one, two]), return_inverse=True)
+        last = np.concatenate([tokens, tokens[inner]]) >> np.uint64(24)
+        grams, gram_of = np.unique(history_of.astype(np.uint64) << np.uint64(40) | last, return_inverse=True)
+        return cls(tokens, starts, histories, grams, history_of, gram_of, inner)
+
+    def seen(self, learn: np.ndarray) -> np.ndarray:
+        """How often the texts that are learned from have each n-gram."""
+        own = np.repeat(learn, np.diff(self.starts))
+        return np.bincount(self.gram_of, np.concatenate([own, own[self.inner]]), len(self.grams))
+
+    def targets(self, n: int) -> Iterator[tuple[int, slice, slice]]:
+        """Each target in turn with its histories and their n-grams."""
+        of = (self.histories >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)
+        numbers, first = np.unique(of, return_index=True)
+        bounds = np.append(first, len(of))
+        at = np.searchsorted(self.grams, bounds.astype(np.uint64) << np.uint64(40))
+        for k, number in enumerate(numbers.tolist()):
+            yield number, slice(bounds[k], bounds[k + 1]), slice(at[k], at[k + 1])
+
+
+def _packed(values: np.ndarray, high: str) -> bytes:
+    """Integers as their low 32 bits and what is above."""
+    return values.astype("<u4").tobytes() + (values >> np.uint64(32)).astype(high).tobytes()
+
+
+def _unpacked(data: bytes, high: str) -> np.ndarray:
+    n = len(data) // (4 + np.dtype(high).itemsize)
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, high, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _asked(n: int):
+    def ask(table: pa.Table) -> pa.Table:
+        grams = Grams.of(table["text"].to_pylist())
+        seen = grams.seen(table["learn"].to_numpy().astype(float)).astype("<u4")
+        sizes = np.bincount((grams.grams >> np.uint64(40)).astype(np.int64), minlength=len(grams.histories)).astype("<u4")
+        rows = [
+            (t, _packed(grams.histories[h], "<u2"), sizes[h].tobytes(), _packed(grams.grams[g] & np.uint64((1 << 40) - 1), "u1"), seen[g].tobytes())
+            for t, h, g in grams.targets(n)
+        ]
+        columns = [pa.array([table["block"][0].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64())]
+        columns += [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5)]
+        return pa.Table.from_arrays(columns, ["block", "target", "histories", "sizes", "followers", "seen"])
+
+    return ask
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Of one target: per block the counts of its n-grams, and of its histories the counts and numbers of followers."""
+    own = [_unpacked(x, "<u2") for x in table["histories"].to_pylist()]
+    sizes = [np.frombuffer(x, "<u4") for x in table["sizes"].to_pylist()]
+    followers = [_unpacked(x, "u1") for x in table["followers"].to_pylist()]
+    seen = np.concatenate([np.frombuffer(x, "<u4") for x in table["seen"].to_pylist()])
+    histories, history_of = np.unique(np.concatenate(own), return_inverse=True)
+    keys = np.repeat(history_of.astype(np.uint64), np.concatenate(sizes)) << np.uint64(40) | np.concatenate(followers)
+    grams, gram_of = np.unique(keys, return_inverse=True)
+    c = np.bincount(gram_of, seen, len(grams))
+    of = (grams >> np.uint64(40)).astype(np.int64)
+    total = np.bincount(of, c, len(histories)).astype("<u8")[history_of]
+    kinds = np.bincount(of, c > 0, len(histories)).astype("<u8")[history_of]
+    c = c.astype("<u8")[gram_of]
+    h, g = np.cumsum([0, *map(len, own)]), np.cumsum([0, *map(len, followers)])
+    cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+    return pa.Table.from_arrays([table["block"], table["target"], cut(c, g), cut(total, h), cut(kinds, h)], ["block", "target", "c", "total", "kinds"])
+
+
+def _scored(whole: float):
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, answers = Grams.of(texts["text"].to_pylist()), answers.sort_by("target")
+        c, total, kinds = (np.frombuffer(b"".join(answers[k].to_pylist()), "<u8").astype(float) for k in ("c", "total", "kinds"))
+        c, total, kinds = c[grams.gram_of], total[grams.history_of], kinds[grams.history_of]
+        n, first, inner = len(grams.tokens), grams.starts[:-1], grams.inner
+        # a token comes as often as it is a history, the end token as often as the start
+        count = np.append(total[1:n], 0)
+        count[grams.starts[1:] - 1] = total[first]
+        base = p = (count + 0.5) / whole
+        discounted = lambda s, p: np.where(
+            total[s] > 0, (np.maximum(c[s] - DISCOUNT, 0) + DISCOUNT * kinds[s] * p) / np.maximum(total[s], 1), p
+        )
+        p = discounted(slice(0, n), p)
+        p[inner] = discounted(slice(n, None), p[inner])
+        sums = lambda x: np.add.reduceat(x, first)
+        columns = [texts["doc_id"], np.diff(grams.starts), sums((count > 0).astype(np.int64)), sums(np.log10(base)), sums(np.log10(p))]
+        return pa.Table.from_arrays([x if k == 0 else pa.array(x) for k, x in enumerate(columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return score
 
 
 def scored(docs: DataFrame, learn: Column) -> DataFrame:
@@ -222,59 +241,15 @@ def scored(docs: DataFrame, learn: Column) -> DataFrame:
 
     The model learns from the rows for which `learn` isn't false.
     """
-    context = docs.sparkSession.sparkContext
-    train = docs.where(F.coalesce(learn, F.lit(True)))
-    table = written(counts(train), "counts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(True)).alias("learn"))
+    table = written(counts(rows.where("learn")), "counts")
     n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = table.orderBy(F.desc("c"), "token").limit(VOCABULARY).toPandas()
-    hashes, c = top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    numbers = context.broadcast(Numbers(hashes[order], order))
-    whole = n + 0.5 * (v + 1)
-    others, kinds = n - int(c.sum()), v - len(c)
-    inside = others + 0.5 * (kinds + 1)
-    root = np.log10(np.append(c + 0.5, inside) / whole)
-    model = context.broadcast(automaton(written(_ngrams(train, numbers), "ngrams"), root))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get()
-        row = (task.partitionId() if task else 0) << 33
-        plain = model.value.root
-        for pdf in batches:
-            ids = pdf["doc_id"].astype("Int64")
-            for first, tokens, kinds_, starts in _tokens(pdf["text"].tolist()):
-                w = numbers.value.of(tokens)
-                other = len(plain) - 1
-                follow = np.where(w == other, CONTEXTS, np.where(w < CONTEXTS, w, CONTEXTS + 1)).tolist()
-                history, listed = _history(w, kinds_).tolist(), w.tolist()
-                bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
-                known = w < other
-                rows = np.arange(row, row + len(bounds))
-                row += len(bounds)
-                yield pd.DataFrame(
-                    {
-                        "row": rows,
-                        "doc_id": ids.iloc[first : first + len(bounds)].array,
-                        "n_tokens": [j - i for i, j in bounds],
-                        "n_numbered": [int(known[i:j].sum()) for i, j in bounds],
-                        "base": [float(plain[w[i:j]][known[i:j]].sum()) for i, j in bounds],
-                        "auto": [model.value.score(listed[i:j], follow[i:j], history[i:j]) for i, j in bounds],
-                        "others": [tokens[i:j][~known[i:j]].view(np.int64) for i, j in bounds],
-                    }
-                )
-
-    schema = "row long, doc_id long, n_tokens long, n_numbered long, base double, auto double, others array<long>"
-    rows = written(docs.select("doc_id", "text").mapInPandas(score, schema), "scores")
-    rare = rows.select("row", F.explode("others").alias("token"))
-    joined = rare.join(table, "token", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.count("c").alias("known"), F.count("*").alias("n")
-    )
-    logs, many = F.coalesce("logs", F.lit(0.0)), F.coalesce("n", F.lit(0))
-    return rows.drop("others").join(joined, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_numbered") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - many * F.lit(math.log10(whole))).alias("base_score"),
-        (F.col("auto") + logs - many * F.lit(math.log10(inside))).alias("score"),
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    parts = min(max(1, -(-chars // BLOCK)), 1 << 16)
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).repartition(parts, "block")
+    asked = blocks.groupBy("block").applyInArrow(_asked(parts), "block long, target long, histories binary, sizes binary, followers binary, seen binary")
+    answers = asked.repartition(parts, "target").groupBy("target").applyInArrow(_answered, "block long, target long, c binary, total binary, kinds binary")
+    scores = blocks.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(
+        _scored(n + 0.5 * (v + 1)), "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
+    return scores.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -176,6 +176,43 @@ def test_backoff_scores(spark, docs, empty):
     assert backoff_lm.scored(docs, F.lit(False)).first().train_tokens == 0
 
 
+def test_every_ngram_is_scored_from_its_counts(spark, monkeypatch):
+    import random
+
+    random.seed(7)
+    monkeypatch.setattr(backoff_lm, "BLOCK", 40_000)
+    # pairs of tokens that are all too rare for any rank: only their own counts predict the second from the first
+    texts = {i: " ".join(f"a{k} b{k}" for k in random.choices(range(6000), k=150)) for i in range(200)}
+    texts |= {200: "a1 b1 a1 b1 a1 b2", 201: "", 202: None, 203: "a1"}
+    learned = {i: ["<s>", *(t or "").split(), "</s>"] for i, t in texts.items() if i % 5 != 1}
+    uni, grams, total, kinds = Counter(), Counter(), Counter(), Counter()
+    for t in learned.values():
+        uni.update(t[1:])
+        for i in range(1, len(t)):
+            grams.update(tuple(t[j : i + 1]) for j in (i - 1, i - 2) if j >= 0)
+    for g, c in grams.items():
+        total[g[:-1]] += c
+        kinds[g[:-1]] += 1
+    n, v = sum(uni.values()), len(uni)
+
+    def p(h, w):
+        if not h:
+            return (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+        low = p(h[1:], w)
+        return (max(grams[*h, w] - 0.75, 0) + 0.75 * kinds[h] * low) / total[h] if total[h] else low
+
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in backoff_lm.scored(table, F.col("doc_id") % 5 != 1).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        t = ["<s>", *(t or "").split(), "</s>"]
+        want = sum(math.log10(p(tuple(t[max(k - 2, 0) : k]), t[k])) for k in range(1, len(t)))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9), i
+    vocabulary = {w for t in learned.values() for w in t[1:]}
+    for h in (("<s>",), ("a1",), ("a1", "b1")):
+        assert math.isclose(sum(p(h, w) for w in vocabulary) + p(h, "never"), 1.0)
+
+
 def test_automaton_sums_to_one():
     import numpy as np
 
