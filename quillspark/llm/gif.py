@@ -104,6 +104,16 @@ def lzw_decode(stream: bytes, depth: int, limit: int) -> bytes:
         codes = words[offsets >> 3] >> (offsets & 7).astype(np.uint32) & ((1 << widths[:n]) - 1).astype(np.uint32)
         ends = np.flatnonzero((codes == clear) | (codes == stop))
         k = int(ends[0]) if len(ends) else n
+        end = int(offsets[k] + widths[k]) if k < n else None
+        after = at + int(sums[n])
+        while k == n == len(codes) >= len(widths) and after + 12 <= total and n < limit:
+            # no clear code though the table is full: codes of 12 bits go on
+            offsets = np.arange(after, min(after + 12 * 4096, total - 11), 12)
+            more = words[offsets >> 3] >> (offsets & 7).astype(np.uint32) & np.uint32(4095)
+            ends = np.flatnonzero((more == clear) | (more == stop))
+            codes, k, n = np.append(codes, more), n + (int(ends[0]) if len(ends) else len(more)), n + len(more)
+            end = after + 12 * int(ends[0] + 1) if len(ends) else None
+            after += 12 * len(more)
         run = codes[:k].tolist()
         if run:
             entries = literals.copy()
@@ -112,7 +122,8 @@ def lzw_decode(stream: bytes, depth: int, limit: int) -> bytes:
             put, add = out.append, entries.append
             last = entries[run[0]]
             put(last)
-            for code in run[1:]:
+            full = 4096 - len(literals) + 1
+            for code in run[1:full]:
                 try:
                     entry = entries[code]
                 except IndexError:
@@ -120,10 +131,11 @@ def lzw_decode(stream: bytes, depth: int, limit: int) -> bytes:
                 put(entry)
                 add(last + entry[:1])
                 last = entry
+            out += [entries[code] for code in run[full:]]
             size = sum(map(len, out))
-        if k == n or codes[k] == stop:
+        if end is None or codes[k] == stop:
             break
-        at = int(offsets[k] + widths[k])
+        at = end
     return b"".join(out)[:limit]
 
 

@@ -37,6 +37,35 @@ def test_lzw_round_trip(n):
         assert gif.lzw_decode(gif.lzw_encode([b"x", data])[1], 8, n) == data
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_lzw_deferred_clear(again):
+    """A table that stays full for more than 4,400 codes, and one that is cleared after that."""
+    random.seed(8)
+
+    def stream(parts):
+        bits, at = 0, 0
+        for k, data in enumerate(parts):
+            table, free, width = {bytes([i]): i for i in range(256)}, 258, 9
+            codes, w = [], b""
+            bits, at = bits | 256 << at, at + (9 if k == 0 else 12)
+            for x in data:
+                if w + bytes([x]) in table:
+                    w += bytes([x])
+                    continue
+                bits, at = bits | table[w] << at, at + width
+                if free < 4096:
+                    table[w + bytes([x])] = free
+                    free += 1
+                    width = max(width, (free - 1).bit_length())
+                w = bytes([x])
+            bits, at = bits | table[w] << at, at + width
+        return (bits | 257 << at).to_bytes(at // 8 + 4, "little")
+
+    parts = [bytes(random.choice(b"abcdefgh") for _ in range(60000)) for _ in range(1 + again)]
+    data = b"".join(parts)
+    assert gif.lzw_decode(stream(parts), 8, len(data)) == data
+
+
 def _gif(frames, width=4, height=4):
     """Frames of (disposal, transparent index or None, x, y, w, h, samples, interlaced) with a palette of 4 colours."""
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0x81, 0, 0), bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])]
