@@ -16,9 +16,9 @@ No bucket is capped and none is expanded into all its pairs:
 
 So every pair of a bucket is either confirmed or ruled out on its sketch, or lies within one component already.
 
-Defined results: null and empty texts have no shingles, are linked with nothing and are kept. Rows with a null
-doc_id never stand for a component that has other ids. Rows that repeat a doc_id are one document, reported as often
-as given. Other columns are ignored by `classes` and passed on by `keep_one`. An empty table gives an empty result.
+Defined results: null and empty texts have no shingles, are linked with nothing and are kept. Texts with a null
+doc_id, and all but one of the different texts under one doc_id, never stand for a component that has other ids; each
+is decided for itself. Rows that repeat a doc_id and its set are one document, reported as often as given. Other columns are ignored by `classes` and passed on by `keep_one`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,8 @@ ROWS, BANDS = 6, 48
 #: threshold agrees in 192 +- 7 of them; fewer than AGREE (five deviations less) means it is no link.
 SKETCH, AGREE = 256, 158
 SMALL = 8
+#: Nodes from here on are sets whose doc_id is null or names another set too.
+UNNAMED = 1 << 62
 #: Members of a block, and partners in another component that each member is first compared with.
 BLOCK, FIRST = 256, 2
 #: Members of large buckets get a longer sketch, of which a pair at the threshold agrees in 769 +- 14.
@@ -88,6 +90,7 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 _FEATURES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_a", T.LongType()),
         T.StructField("set_b", T.LongType()),
@@ -111,6 +114,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(
                 {
                     "doc_id": pd.array(ids[first : first + len(block)], dtype="Int64"),
+                    "text_hash": pdf["text_hash"].to_numpy()[first : first + len(block)],
                     "n_shingles": [len(s) for s in sets],
                     "set_a": pd.array(a, dtype="Int64"),
                     "set_b": pd.array(b, dtype="Int64"),
@@ -251,17 +255,33 @@ def _plausible(limit: int | None, threshold: float):
 
 def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_features, _FEATURES), "features")
+    return _classes(docs, threshold).drop("text_hash")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """What `classes` gives, with the hash of each row's text."""
+    hashed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = written(hashed.mapInPandas(_features, _FEATURES), "features")
     key = ["n_shingles", "set_a", "set_b"]
-    sets = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "sets")
-    reps = rows.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least")
+    found = rows.where("n_shingles > 0").groupBy(*key).agg(least).select(*key, F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"))
+    unnamed = F.xxhash64(*key).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    first = F.row_number().over(Window.partitionBy("rep").orderBy(*key)) == 1
+    sets = written(
+        found.where("rep is not null").withColumn("node", F.when(first, F.col("rep")).otherwise(unnamed))
+        .unionByName(found.where("rep is null").withColumn("node", unnamed)), "sets"
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    chosen = sets.select("rep", "rep_hash", "node")
+    reps = rows.join(chosen, same).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "sketch", "bands")
     member = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("m"))
     crowded = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("m").alias("leader")).where("n > 1")
     sized = written(member.join(crowded, "bucket"), "buckets")
     candidates = sized.select(F.col("m").alias("doc_id")).distinct()
     sketches = written(reps.select("doc_id", "sketch").join(candidates, "doc_id", "left_semi"), "sketches")
     texts = written(
-        docs.select(F.col("doc_id").cast("long"), "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
+        hashed.join(chosen.join(candidates, F.col("node") == candidates["doc_id"], "left_semi"), same)
+        .select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts"
     )
     few = sized.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("m").alias("ms"))
     above = lambda x: F.transform(F.filter("ms", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))
@@ -280,17 +300,21 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         known = known.unionByName(new)
         if not new.where("linked").isEmpty():
             of = written(components(known.where("linked")), "components")
-    top = sets.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        *key, F.coalesce("component", "rep").alias("component_id")
+    own = sets.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # the ids of components that only unnamed sets make; other rows have keys of their own, which match nothing
+    asked = F.when(F.col("component") >= UNNAMED, F.col("component")).otherwise(-1 - F.abs("node"))
+    named = sets.where(F.col("node") >= UNNAMED).select(F.col("node").alias("asked"), F.col("rep").alias("unnamed_id"))
+    top = own.withColumn("asked", asked).join(named, "asked", "left").select(
+        *key, "rep", (F.col("node") == F.col("component")).alias("stands"),
+        F.when(F.col("component") >= UNNAMED, F.col("unnamed_id")).otherwise(F.col("component")).alias("component_id"),
     )
     lone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(top, key, "left").select(
-        "doc_id", "n_shingles", lone.alias("component_id"), F.col("doc_id").eqNullSafe(lone).alias("kept")
-    )
+    kept = (F.col("n_shingles") == 0) | (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("rep")))
+    return rows.join(top, key, "left").select("doc_id", "text_hash", "n_shingles", lone.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The rows of docs that stay: one document of each component, every column as it came."""
-    gone = classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone"))
+    gone = _classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__hash"))
     return docs.join(gone, same, "left_anti")

@@ -73,6 +73,14 @@ def test_near_duplicates(docs, empty):
     assert minhash.classes(empty).count() == 0 and minhash.keep_one(empty).count() == 0
 
 
+def test_copies_go_by_row_not_by_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (None, a), (None, b), (None, c + " more"), (3, c), (4, d), (4, a), (5, "words of two"), (5, d + " more"), (6, "")]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, a), (None, b), (3, c), (4, d), (5, "words of two"), (6, "")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+
+
 def test_large_group_of_near_copies(spark):
     import random
 
