@@ -1,18 +1,21 @@
 """Scoring texts with a weighted backoff automaton learned from the whole corpus.
 
-All tokens of all training documents are counted, and all n-grams of up to three tokens; none is left out, however
-rare. The root is the add-half unigram model (c + 0.5) / (N + 0.5 * (V + 1)). Above it are n-grams with absolute
-discounting, P(w | h) = max(c(h w) - D, 0) / c(h) + b(h) P(w | shorter h), where b(h) is D times the number of
-different followers of h over c(h), what the discounts leave: each state has an arc for each n-gram seen and a failure
-arc of weight b(h) to the shorter history, and each state's probabilities sum to one. A history never seen fails with
-weight one. A text begins in the state START.
-
-No table of n-grams is gathered anywhere. Texts are dealt to blocks, n-grams to targets by their history; the numbers
+All n-grams of up to three tokens of all training documents are counted; none is left out, however rare. The root is
+the add-half unigram model (c + 0.5) / (N + 0.5 * (V + 1)). Each history seen in training is a state, with an arc for
+each token seen after it, of probability (c(h w) + M P(w | shorter h)) / (c(h) + M), and a failure arc to the state of
+the shorter history, of weight M / (c(h) + M) (Dirichlet smoothing: M, PRIOR by order, is what the shorter history's
+distribution weighs). So the probabilities of each state sum to one. A history never seen fails with weight one. A
+text begins in the state START and is read once, left to right: at each token the state follows the token's arc, or
+failure arcs until there is one, and the logarithms of what it passes add up.
+
+No table of n-grams is gathered anywhere. Texts are dealt to blocks, n-grams to targets by their hashes; the numbers
 of both grow with the input. A block asks each target once for each of its different n-grams and says how often its
-training texts have it; the target adds up what all blocks say and answers each; the block scores its texts.
+training texts have it; the target adds up what all blocks say and answers each; the block builds the states and arcs
+that its texts pass and scores them. Lists of hashes go as differences of their sorted values.
 
-Tokens are told apart by 64-bit hashes, the histories of one target by 48 bits of theirs and the followers of one
-history by 40 bits.
+Tokens are told apart by 64-bit hashes, the longer n-grams of one target by 40 bits of theirs. Blocks times targets
+messages are sent: with blocks of BLOCK characters that is cheap up to about a terabyte of text; beyond, larger blocks
+(and executors) should be chosen.
 
 Defined results: a null text is empty and has the end token alone; a row whose doc_id is null is learned from, where
 the learning condition is null too; repeated rows count and score each; other columns are dropped; an empty table
@@ -21,12 +24,10 @@ gives an empty result; without training rows N and V are 0 and every token is un
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +35,15 @@ from pyspark.sql import functions as F
 from quillspark.llm import words
 from quillspark.llm.tables import written
 
-DISCOUNT = 0.75
+#: What the shorter history's distribution weighs, in tokens, in states of one token and of two.
+PRIOR = (500.0, 10.0)
 #: Characters of a block of texts; there are as many targets as blocks.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 #: The hash of the end token; words have hashes of their bytes.
 END = np.uint64(0xE7D0E7D0E7D0E7D0)
-#: Distinct keys that a task holds before it passes their counts on.
-HELD = 2_000_000
 START = np.uint64(0x57A2757A2757A275)
-#: The automaton as an object, for models small enough to be written down: tokens and histories below these numbers.
-CONTEXTS, PAIRS = 1 << 12, 1 << 9
-_START = CONTEXTS + (1 << 16)
+#: Bits that tell n-grams of one target apart.
+BITS = np.uint64(40)
 
 
 def _tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -54,184 +53,126 @@ def _tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.insert(hashes, at[1:], END), at + np.arange(len(at))
 
 
-def _summed(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and their counts, summed until there are HELD distinct ones."""
-    keys, counts, waiting = [], [], 0
-    for k, c in found:
-        keys.append(k)
-        counts.append(c)
-        waiting += len(k)
-        if waiting > 2 * HELD:
-            k, c = _sum(keys, counts)
-            if len(k) > HELD:
-                yield k, c
-                keys, counts, waiting = [], [], 0
-            else:
-                keys, counts, waiting = [k], [c], len(k)
-    if keys:
-        yield _sum(keys, counts)
-
-
-def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-    return k[first], (np.add.reduceat(c, first) if len(k) else c)
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """token (hash), c of all tokens of docs (text)."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found():
-            for pdf in batches:
-                for tokens, _ in _tokens(pdf["text"].tolist()):
-                    yield np.unique(tokens, return_counts=True)
-
-        for k, c in _summed(found()):
-            yield pd.DataFrame({"token": k.view(np.int64), "c": c})
-
-    return docs.select("text").mapInPandas(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Automaton:
-    """States are 0 (the root), 1 + h for a history of one token, and further numbers for kept histories of two."""
-
-    root: np.ndarray  # log10 of each number, the last for the class of the others
-    arcs: dict[int, float]  # state << 13 | token: log10
-    failure: dict[int, tuple[int, float]]  # of a state: the state of the shorter history, log10 of the weight
-    pairs: dict[int, int]  # first << 12 | second: state
-
-    def score(self, numbers: list[int], follows: list[int], histories: list[int]) -> float:
-        """log10 of the probability of a text's tokens, the class of unnumbered ones taken as one token."""
-        arcs, failure, pairs, root = self.arcs, self.failure, self.pairs, self.root
-        total, state, before = 0.0, 1 + _START, -1
-        for number, follow, history in zip(numbers, follows, histories):
-            while True:
-                found = arcs.get(state << 13 | follow)
-                if found is not None:
-                    total += found
-                    break
-                if not state:
-                    total += root[number]
-                    break
-                state, weight = failure.get(state, (0, 0.0))
-                total += weight
-            state = pairs.get(before << 12 | history, 1 + history) if before >= 0 and history < PAIRS else 1 + history
-            before = history if history < PAIRS else -1
-        return total
-
-
 @dataclass
 class Grams:
-    """The different n-grams of a block of texts, by history and follower, and where its tokens find theirs."""
+    """The different tokens and longer n-grams of a block of texts, and where its tokens find theirs."""
 
-    tokens: np.ndarray
     starts: np.ndarray  # of each text's tokens, one more at the end
-    histories: np.ndarray  # sorted hashes
-    grams: np.ndarray  # sorted: number of the history << 40 | bits of the follower
-    history_of: np.ndarray  # of each token its history of one, then of each token with two before it that of two
-    gram_of: np.ndarray
+    words: np.ndarray  # sorted hashes
+    word_of: np.ndarray  # of each token
+    grams: np.ndarray  # sorted: target << BITS | hash
+    gram_of: np.ndarray  # of each token its bigram, then of each inner token its trigram
     inner: np.ndarray  # the tokens with a history of two
 
     @classmethod
-    def of(cls, texts: list[str | None]) -> Grams:
+    def of(cls, texts: list[str | None], targets: int) -> Grams:
         found = list(_tokens(texts))
         tokens = np.concatenate([t for t, _ in found])
         ends = np.cumsum([0, *(len(t) for t, _ in found)])
         starts = np.concatenate([*(s[:-1] + e for (_, s), e in zip(found, ends)), ends[-1:]])
         before = np.concatenate([[START], tokens[:-1]])
         before[starts[:-1]] = START
-        one = words.mix64(before + np.uint64(0xA0761D6478BD642F))
+        two = words.mix64(words.mix64(before + np.uint64(0xA0761D6478BD642F)) + tokens)
         follows = np.ones(len(tokens), bool)
         follows[starts[:-1]] = False
         inner = np.flatnonzero(follows)
-        two = words.mix64(one[inner - 1] * np.uint64(0xE7037ED1A0B428DB) + tokens[inner - 1])
-        histories, history_of = np.unique(np.concatenate([one, two]), return_inverse=True)
-        last = np.concatenate([tokens, tokens[inner]]) >> np.uint64(24)
-        grams, gram_of = np.unique(history_of.astype(np.uint64) << np.uint64(40) | last, return_inverse=True)
-        return cls(tokens, starts, histories, grams, history_of, gram_of, inner)
-
-    def seen(self, learn: np.ndarray) -> np.ndarray:
-        """How often the texts that are learned from have each n-gram."""
+        three = words.mix64(two[inner - 1] * np.uint64(0xE7037ED1A0B428DB) + tokens[inner])
+        keys = np.concatenate([two, three])
+        high, low = keys >> BITS, keys & np.uint64((1 << 40) - 1)
+        grams, gram_of = np.unique(high * np.uint64(targets) >> np.uint64(24) << BITS | low, return_inverse=True)
+        return cls(starts, *np.unique(tokens, return_inverse=True), grams, gram_of, inner)
+
+    def seen(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often the texts that are learned from have each token and each longer n-gram."""
         own = np.repeat(learn, np.diff(self.starts))
-        return np.bincount(self.gram_of, np.concatenate([own, own[self.inner]]), len(self.grams))
+        return (
+            np.bincount(self.word_of, own, len(self.words)).astype(np.uint64),
+            np.bincount(self.gram_of, np.concatenate([own, own[self.inner]]), len(self.grams)).astype(np.uint64),
+        )
+
+    def parted(self, targets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens and the longer n-grams of each target begin (one more at the end)."""
+        n = np.arange(targets + 1, dtype=np.uint64)
+        of = (self.words >> BITS) * np.uint64(targets) >> np.uint64(24)
+        return np.searchsorted(of, n), np.append(np.searchsorted(self.grams, n[:-1] << BITS), len(self.grams))
+
 
-    def targets(self, n: int) -> Iterator[tuple[int, slice, slice]]:
-        """Each target in turn with its histories and their n-grams."""
-        of = (self.histories >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)
-        numbers, first = np.unique(of, return_index=True)
-        bounds = np.append(first, len(of))
-        at = np.searchsorted(self.grams, bounds.astype(np.uint64) << np.uint64(40))
-        for k, number in enumerate(numbers.tolist()):
-            yield number, slice(bounds[k], bounds[k + 1]), slice(at[k], at[k + 1])
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as planes of bytes, as many as the greatest needs."""
+    planes = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([planes]) + values.astype("<u8").view("u1").reshape(-1, 8)[:, :planes].T.tobytes()
 
 
-def _packed(values: np.ndarray, high: str) -> bytes:
-    """Integers as their low 32 bits and what is above."""
-    return values.astype("<u4").tobytes() + (values >> np.uint64(32)).astype(high).tobytes()
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, "u1", offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), "u1")
+    out[:, : data[0]] = planes.T
+    return out.reshape(-1).view("<u8")
 
 
-def _unpacked(data: bytes, high: str) -> np.ndarray:
-    n = len(data) // (4 + np.dtype(high).itemsize)
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, high, n, 4 * n).astype(np.uint64) << np.uint64(32)
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=np.uint64(0))
 
 
 def _asked(n: int):
     def ask(table: pa.Table) -> pa.Table:
-        grams = Grams.of(table["text"].to_pylist())
-        seen = grams.seen(table["learn"].to_numpy().astype(float)).astype("<u4")
-        sizes = np.bincount((grams.grams >> np.uint64(40)).astype(np.int64), minlength=len(grams.histories)).astype("<u4")
-        rows = [
-            (t, _packed(grams.histories[h], "<u2"), sizes[h].tobytes(), _packed(grams.grams[g] & np.uint64((1 << 40) - 1), "u1"), seen[g].tobytes())
-            for t, h, g in grams.targets(n)
-        ]
-        columns = [pa.array([table["block"][0].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64())]
-        columns += [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5)]
-        return pa.Table.from_arrays(columns, ["block", "target", "histories", "sizes", "followers", "seen"])
+        grams = Grams.of(table["text"].to_pylist(), n)
+        own = list(zip((grams.words, grams.grams & np.uint64((1 << 40) - 1)), grams.seen(table["learn"].to_numpy().astype(float)), grams.parted(n)))
+        rows = [[_packed(x) for keys, seen, at in own for x in (_steps(keys[at[t] : at[t + 1]]), seen[at[t] : at[t + 1]])] for t in range(n)]
+        columns = [pa.array([table["block"][0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64())]
+        columns += [pa.array([r[k] for r in rows], pa.binary()) for k in range(4)]
+        return pa.Table.from_arrays(columns, ["block", "target", "words", "words_seen", "grams", "grams_seen"])
 
     return ask
 
 
+def _summed(keys: list[bytes], seen: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """For each list of keys how often all lists together have them; and the sums of the different keys."""
+    own = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in keys]
+    at = np.cumsum([0, *map(len, own)])
+    different, key_of = np.unique(np.concatenate(own), return_inverse=True)
+    c = np.bincount(key_of, np.concatenate([_unpacked(x) for x in seen]), len(different)).astype(np.uint64)
+    return [_packed(c[key_of[i:j]]) for i, j in zip(at[:-1], at[1:])], c
+
+
 def _answered(table: pa.Table) -> pa.Table:
-    """Of one target: per block the counts of its n-grams, and of its histories the counts and numbers of followers."""
-    own = [_unpacked(x, "<u2") for x in table["histories"].to_pylist()]
-    sizes = [np.frombuffer(x, "<u4") for x in table["sizes"].to_pylist()]
-    followers = [_unpacked(x, "u1") for x in table["followers"].to_pylist()]
-    seen = np.concatenate([np.frombuffer(x, "<u4") for x in table["seen"].to_pylist()])
-    histories, history_of = np.unique(np.concatenate(own), return_inverse=True)
-    keys = np.repeat(history_of.astype(np.uint64), np.concatenate(sizes)) << np.uint64(40) | np.concatenate(followers)
-    grams, gram_of = np.unique(keys, return_inverse=True)
-    c = np.bincount(gram_of, seen, len(grams))
-    of = (grams >> np.uint64(40)).astype(np.int64)
-    total = np.bincount(of, c, len(histories)).astype("<u8")[history_of]
-    kinds = np.bincount(of, c > 0, len(histories)).astype("<u8")[history_of]
-    c = c.astype("<u8")[gram_of]
-    h, g = np.cumsum([0, *map(len, own)]), np.cumsum([0, *map(len, followers)])
-    cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
-    return pa.Table.from_arrays([table["block"], table["target"], cut(c, g), cut(total, h), cut(kinds, h)], ["block", "target", "c", "total", "kinds"])
-
-
-def _scored(whole: float):
+    """Of one target: per block the counts of its tokens and n-grams; once the number of different tokens and of all."""
+    word_counts, c = _summed(table["words"].to_pylist(), table["words_seen"].to_pylist())
+    gram_counts, _ = _summed(table["grams"].to_pylist(), table["grams_seen"].to_pylist())
+    rest = [0] * (len(table) - 1)
+    columns = [table["block"], table["target"], pa.array(word_counts, pa.binary()), pa.array(gram_counts, pa.binary())]
+    columns += [pa.array([int((c > 0).sum()), *rest], pa.int64()), pa.array([int(c.sum()), *rest], pa.int64())]
+    return pa.Table.from_arrays(columns, ["block", "target", "words", "grams", "v", "n"])
+
+
+def traversed(grams: Grams, word_counts: np.ndarray, gram_counts: np.ndarray, whole: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token its count, and the logarithms of its probability at the root and of what the automaton passes."""
+    n, first, inner = len(grams.word_of), grams.starts[:-1], grams.inner
+    count = word_counts[grams.word_of]
+    of_two, of_three = gram_counts[grams.gram_of[:n]], gram_counts[grams.gram_of[n:]]
+    # how often each token's states come: START as often as the end token, a history of two as often as that bigram
+    one = np.append(0.0, count[:-1])
+    one[first] = count[grams.starts[1:] - 1]
+    two = of_two[inner - 1]
+
+    def passed(c: np.ndarray, state: np.ndarray, prior: float, below: np.ndarray) -> np.ndarray:
+        """log10 of the arc where there is one, else of the failure arc and of what is passed below it."""
+        return np.log10(np.where(c > 0, c + prior * 10**below, prior * 10**below) / (state + prior))
+
+    root = np.log10((count + 0.5) / whole)
+    out = passed(of_two, one, PRIOR[0], root)
+    out[inner] = passed(of_three, two, PRIOR[1], out[inner])
+    return count, root, out
+
+
+def _scored(parts: int, whole: float):
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, answers = Grams.of(texts["text"].to_pylist()), answers.sort_by("target")
-        c, total, kinds = (np.frombuffer(b"".join(answers[k].to_pylist()), "<u8").astype(float) for k in ("c", "total", "kinds"))
-        c, total, kinds = c[grams.gram_of], total[grams.history_of], kinds[grams.history_of]
-        n, first, inner = len(grams.tokens), grams.starts[:-1], grams.inner
-        # a token comes as often as it is a history, the end token as often as the start
-        count = np.append(total[1:n], 0)
-        count[grams.starts[1:] - 1] = total[first]
-        base = p = (count + 0.5) / whole
-        discounted = lambda s, p: np.where(
-            total[s] > 0, (np.maximum(c[s] - DISCOUNT, 0) + DISCOUNT * kinds[s] * p) / np.maximum(total[s], 1), p
-        )
-        p = discounted(slice(0, n), p)
-        p[inner] = discounted(slice(n, None), p[inner])
-        sums = lambda x: np.add.reduceat(x, first)
-        columns = [texts["doc_id"], np.diff(grams.starts), sums((count > 0).astype(np.int64)), sums(np.log10(base)), sums(np.log10(p))]
-        return pa.Table.from_arrays([x if k == 0 else pa.array(x) for k, x in enumerate(columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        grams, answers = Grams.of(texts["text"].to_pylist(), parts), answers.sort_by("target")
+        counts = (np.concatenate([_unpacked(x) for x in answers[k].to_pylist()]).astype(float) for k in ("words", "grams"))
+        count, root, passed = traversed(grams, *counts, whole)
+        sums = lambda x: pa.array(np.add.reduceat(x, grams.starts[:-1]))
+        columns = [texts["doc_id"], pa.array(np.diff(grams.starts)), sums((count > 0).astype(np.int64)), sums(root), sums(passed)]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
@@ -242,14 +183,17 @@ def scored(docs: DataFrame, learn: Column) -> DataFrame:
     The model learns from the rows for which `learn` isn't false.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(True)).alias("learn"))
-    table = written(counts(rows.where("learn")), "counts")
-    n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    parts = min(max(1, -(-chars // BLOCK)), 1 << 16)
+    parts = min(max(1, -(-chars // BLOCK)), 1 << 20)
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).repartition(parts, "block")
-    asked = blocks.groupBy("block").applyInArrow(_asked(parts), "block long, target long, histories binary, sizes binary, followers binary, seen binary")
-    answers = asked.repartition(parts, "target").groupBy("target").applyInArrow(_answered, "block long, target long, c binary, total binary, kinds binary")
-    scores = blocks.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(
-        _scored(n + 0.5 * (v + 1)), "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    asked = blocks.groupBy("block").applyInArrow(_asked(parts), "block long, target long, words binary, words_seen binary, grams binary, grams_seen binary")
+    answers = written(
+        asked.repartition(parts, "target").groupBy("target").applyInArrow(_answered, "block long, target long, words binary, grams binary, v long, n long"),
+        "answers",
+    )
+    v, n = answers.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    answers = answers.select("block", "target", "words", "grams").repartition(parts, "block")
+    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _scored(parts, n + 0.5 * (v + 1)), "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
     return scores.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -5,20 +5,22 @@ of which 32 bits are kept; the second, pi, is a bijection of 32-bit integers. Co
 pi(sigma(x) + k) over its members: pi circularly shifted by k places. Rows of the signature are hashed to bands,
 documents that share a band are candidates, and a link is confirmed on the full shingle sets.
 
-No bucket is capped and none is expanded into all its pairs:
+No bucket is capped and none is expanded into all its pairs; one rule holds for buckets of every size:
 
 * documents of equal sets are one class, for which the smallest doc_id stands;
-* a bucket of at most SMALL classes compares all of them, a number of pairs linear in its members; a larger one
-  compares its members with one of them. The links found make components, which hold most groups together;
+* every bucket compares its members with one of them; the links found make components, which hold most groups together;
 * then, in each bucket that spans several components, the members outside its commonest component are compared with
-  all members, by blocks of sketches; only pairs that join two components and may be links are looked at in full,
-  the likeliest of each first.
+  all members, by blocks of sketches dealt by bucket and block; only pairs that join two components and may be links
+  are looked at in full, the likeliest of each member first, then all that still join two components.
 
-So every pair of a bucket is either confirmed or ruled out on its sketch, or lies within one component already.
+So every pair of a bucket is either confirmed or ruled out on its sketch or its sizes, or lies within one component.
+Tables of pairs and links are read in as many partitions as their rows need, so small ones move without exchanges.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are kept. Texts with a null
 doc_id, and all but one of the different texts under one doc_id, never stand for a component that has other ids; each
-is decided for itself. Rows that repeat a doc_id and its set are one document, reported as often as given. Other columns are ignored by `classes` and passed on by `keep_one`. An empty table gives an empty result.
+is decided for itself. Rows that repeat a doc_id and its set are one document, reported as often as given. Other
+columns, whatever their names, are ignored by `classes` and passed on by `keep_one`. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,25 +29,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import words
-from quillspark.llm.tables import written
+from quillspark.llm.tables import counted, gathered, sent, written
 
 ROWS, BANDS = 6, 48
 #: Coordinates of which one byte each is kept, to reject most candidates without their texts. A pair at the
 #: threshold agrees in 192 +- 7 of them; fewer than AGREE (five deviations less) means it is no link.
 SKETCH, AGREE = 256, 158
-SMALL = 8
 #: Nodes from here on are sets whose doc_id is null or names another set too.
 UNNAMED = 1 << 62
 #: Members of a block, and partners in another component that each member is first compared with.
 BLOCK, FIRST = 256, 2
-#: Members of large buckets get a longer sketch, of which a pair at the threshold agrees in 769 +- 14.
-LONG, LONG_AGREE = 1024, 700
+#: Pairs that one task looks at in full, members of buckets whose blocks one task compares, and bytes of sets it remembers.
+PAIRS, MEMBERS, REMEMBERED = 4000, 4000, 32 << 20
 U32 = np.uint32
+#: What tells sets apart: their size and two sums of their hashes.
+KEY = ["n_shingles", "set_a", "set_b"]
 
 
 def _pi(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -124,131 +128,146 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype("int32"))
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places each row of x agrees with the row of y."""
+    return (x == y).sum(axis=1)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _likely(threshold: float):
+    """Of pairs a, b with both sketches and sizes those that may be links."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = np.stack([batch["size_a"].to_numpy(), batch["size_b"].to_numpy()])
+                may = sizes.min(axis=0) >= threshold * sizes.max(axis=0)
+                may &= _agree(_sketches(batch["sketch_a"]), _sketches(batch["sketch_b"])) >= AGREE
+                yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return compare
 
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The shared and the joint number of shingles of each pair; a text that comes again is parsed once a batch."""
+    """The shared and the joint number of shingles of each pair; recent sets are remembered."""
+    seen: dict[int, np.ndarray] = {}
+    held = 0
     for pdf in batches:
-        seen: dict[int, np.ndarray] = {}
         shared, joint = [], []
         for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
-            if a not in seen:
-                seen[a] = words.shingle_sets([words.normalised(x)])[0]
-            s, t = seen[a], words.shingle_sets([words.normalised(y)])[0]
+            if held > REMEMBERED:
+                seen.clear()
+                held = 0
+            for node, text in ((a, x), (b, y)):
+                if node not in seen:
+                    seen[node] = words.shingle_sets([words.normalised(text)])[0]
+                    held += seen[node].nbytes
+            s, t = seen[a], seen[b]
             n = len(np.intersect1d(s, t, assume_unique=True))
             shared.append(n)
             joint.append(len(s) + len(t) - n)
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "shared": shared, "joint": joint})
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sketches don't rule out a link."""
-    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_agreeing("sketch_a", "sketch_b") >= AGREE).select("a", "b")
+def _spread(df: DataFrame, n: int, each: int) -> int:
+    """How many tasks n rows of work make, one for each core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-n // each))
 
 
-def _verified(likely: DataFrame, texts: DataFrame, threshold: float, name: str) -> DataFrame:
-    """a, b, shared, joint, linked of all pairs (a < b) from their full sets."""
-    text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    found = (
-        likely.join(text("b"), "b")
-        .join(text("a"), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInPandas(_overlaps, "a long, b long, shared long, joint long")
-    )
-    return written(found.withColumn("linked", F.col("shared") >= threshold * F.col("joint")), name)
-
+def _verified(pairs: DataFrame, n: int, texts: DataFrame, threshold: float, name: str) -> tuple[DataFrame, dict]:
+    """a, b, shared, joint, linked of all n pairs (a < b) from their full sets; counts n and linked."""
+    text = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+    both = gathered(pairs, n).join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
+    found = both.coalesce(_spread(pairs, n, PAIRS)).mapInPandas(_overlaps, "a long, b long, shared long, joint long")
+    return counted(found.withColumn("linked", F.col("shared") >= threshold * F.col("joint")), name, linked=F.count_if("linked"))
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of the links a, b: large-star and small-star in turn."""
 
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _stars(links: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """a, b (the smallest node of its component) of every node of the n links a, b but the smallest; and their number.
 
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "edges")
-    before = mark(edges)
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    Large-star and small-star in turn, until the edges stay as they are.
+    """
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    edges, seen = counted(gathered(down, n).distinct(), "edges", mark=mark)
+    while seen["n"]:
+        both = gathered(edges, seen["n"]).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        both = both.select("e.a", "e.b")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above a node hang on the node's least neighbour
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a node and its lower neighbours hang on the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .where("a <> b")
-            .distinct()
-        )
-        after = written(small, "edges")
-        edges, last = after, before
-        before = mark(edges)
-        if before == last:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-            ).distinct()
-
-
-def _across(large: DataFrame, of: DataFrame, sketches: DataFrame, limit: int | None, threshold: float = 0.75) -> DataFrame:
+        hung = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
+        before = seen
+        edges, seen = counted(large.join(low, "a").select(hung).select("e.a", "e.b").where("a <> b").distinct(), "edges", mark=mark)
+        if seen == before:
+            break
+    return edges, seen["n"]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of every node of the links a, b."""
+    links, seen = counted(links.select("a", "b"), "links")
+    stars, _ = _stars(links, seen["n"])
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))
+    alone = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).join(stars, F.col("node") == F.col("a"), "left_anti")
+    return stars.select(F.explode(ends).alias("e")).select("e.node", "e.component").union(alone).distinct()
+
+
+def _across(large: DataFrame, n: int, stars: DataFrame, n_stars: int, sketches: DataFrame, n_sketches: int, limit: int | None, threshold: float) -> DataFrame:
     """Pairs of a bucket that lie in two components and may be links; with a limit the likeliest of each member."""
-    named = large.join(of.withColumnRenamed("node", "m"), "m", "left").withColumn("c", F.coalesce("component", "m"))
+    of = gathered(stars.select(F.col("a").alias("m"), F.col("b").alias("component")), n_stars)
+    named = gathered(large, n).join(of, "m", "left").withColumn("c", F.coalesce("component", "m"))
     counts = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     most = counts.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1")
     member = (
         named.join(most, "bucket")
-        .join(sketches.withColumnRenamed("doc_id", "m"), "m")
-        .withColumn("chunk", F.pmod(F.xxhash64("m"), F.ceil(F.col("n") / BLOCK)))
+        .join(gathered(sketches.withColumnRenamed("node", "m"), n_sketches), "m")
+        .withColumn("chunks", F.ceil(F.col("n") / BLOCK))
+        .withColumn("chunk", F.pmod(F.xxhash64("m"), F.col("chunks")))
+        .withColumn("x", F.struct("m", "c", F.col("c") != F.col("most"), "size", "sketch", "bands"))
     )
 
     def blocks(rows: DataFrame, side: str) -> DataFrame:
-        return rows.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("m", "c", "size", "sketch", "bands")).alias(side)).drop("chunk")
+        return rows.groupBy("bucket", "chunk").agg(F.collect_list("x").alias(side), F.max("chunks").alias("chunks"))
 
-    both = blocks(member.where("c <> most"), "xs").join(blocks(member, "ys"), "bucket").select("bucket", "xs", "ys")
-    return both.mapInPandas(_plausible(limit, threshold), "a long, b long").distinct()
-
-
-def _long_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
-        for first, block in words.blocks(texts):
-            sets = words.shingle_sets(block)
-            sig = signatures(sets, LONG)
-            keys, sketch = bands(sig[:, : ROWS * BANDS]), sig.astype(np.uint8)
-            yield pd.DataFrame(
-                {"doc_id": ids[first : first + len(block)], "size": [len(x) for x in sets], "sketch": [r.tobytes() for r in sketch], "bands": list(keys)}
-            )
+    xs = blocks(member.where("c <> most"), "xs").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    both = xs.join(blocks(member, "ys").drop("chunks"), ["bucket", "chunk"]).select("bucket", "xs", "ys")
+    return both.repartition(_spread(large, n, MEMBERS)).mapInArrow(_plausible(limit, threshold), "a long, b long")
 
 
 def _plausible(limit: int | None, threshold: float):
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for bucket, xs, ys in zip(pdf["bucket"], pdf["xs"], pdf["ys"]):
-                sketch = [np.frombuffer(b"".join(r["sketch"] for r in side), np.uint8).reshape(len(side), -1) for side in (xs, ys)]
-                ids = [np.array([r["m"] for r in side]) for side in (xs, ys)]
-                own = [np.array([r["c"] for r in side]) for side in (xs, ys)]
-                agree = np.stack([(sketch[1][:, :SKETCH] == x).sum(axis=1) for x in sketch[0][:, :SKETCH]])
-                agree[own[0][:, None] == own[1][None, :]] = 0
+    def side(found: pa.Scalar) -> tuple[np.ndarray, ...]:
+        m, c, outside, size, sketch, bands = found.values.flatten()
+        as_array = lambda x: x.to_numpy(zero_copy_only=False)
+        return as_array(m), as_array(c), as_array(outside), as_array(size), _sketches(sketch), as_array(bands.flatten()).reshape(len(m), -1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for bucket, xs, ys in zip(batch["bucket"].to_pylist(), batch["xs"], batch["ys"]):
+                x_id, x_own, _, x_size, x_sketch, x_bands = side(xs)
+                y_id, y_own, y_outside, y_size, y_sketch, y_bands = side(ys)
+                agree = np.stack([_agree(y_sketch, x) for x in x_sketch])
+                agree[x_own[:, None] == y_own[None, :]] = 0
+                agree[np.minimum.outer(x_size, y_size) < threshold * np.maximum.outer(x_size, y_size)] = 0
                 if limit and limit < agree.shape[1]:
-                    agree = np.where(agree >= -np.partition(-agree, limit - 1, axis=1)[:, limit - 1 : limit], agree, 0)
+                    agree[agree < -np.partition(-agree, limit - 1, axis=1)[:, limit - 1 : limit]] = 0
+                elif not limit:  # a pair of two members outside is met from both sides
+                    agree[y_outside[None, :] & (x_id[:, None] > y_id[None, :])] = 0
                 i, j = np.nonzero(agree >= AGREE)
-                # of the buckets that a pair shares, that of its first common band passes it on
-                n = [np.array([r["size"] for r in side], float) for side in (xs, ys)]
-                near = np.minimum(n[0][i], n[1][j]) >= threshold * np.maximum(n[0][i], n[1][j])
-                i, j = i[near], j[near]
-                near = (sketch[0][i] == sketch[1][j]).sum(axis=1) >= LONG_AGREE
-                i, j = i[near], j[near]
-                both = [np.array([r["bands"] for r in side]) for side in (xs, ys)]
-                same = both[0][i] == both[1][j]
-                once = both[0][i, same.argmax(axis=1)] == bucket
-                i, j = i[once], j[once]
-                yield pd.DataFrame({"a": np.minimum(ids[0][i], ids[1][j]), "b": np.maximum(ids[0][i], ids[1][j])})
+                if not limit:  # of the buckets that a pair shares, that of its first common band passes it on
+                    same = x_bands[i] == y_bands[j]
+                    once = x_bands[i, same.argmax(axis=1)] == bucket
+                    i, j = i[once], j[once]
+                found.append(np.stack([np.minimum(x_id[i], y_id[j]), np.maximum(x_id[i], y_id[j])]))
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return compare
 
@@ -258,63 +277,84 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     return _classes(docs, threshold).drop("text_hash")
 
 
+def _sets(rows: DataFrame) -> tuple[DataFrame, dict]:
+    """A row for each set of shingles, with the doc_id and the text that stand for it, and its node; counts n and unnamed."""
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least")
+    same = [F.first(c).alias(c) for c in ("sketch", "bands")]  # equal in all rows of a set
+    found = rows.where("n_shingles > 0").groupBy(*KEY).agg(least, *same)
+    found = found.select(*KEY, F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "sketch", "bands")
+    own = found.where("rep is not null").groupBy("rep").agg(F.min(F.struct(*KEY)).alias("own"))
+    unnamed = F.xxhash64(*KEY).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    node = F.when(F.struct(*KEY) == F.col("own"), F.col("rep")).otherwise(unnamed)
+    return counted(found.join(own, "rep", "left").withColumn("node", node).drop("own"), "sets", unnamed=F.count_if(F.col("node") >= UNNAMED))
+
+
+def _linked(sets: DataFrame, n_sets: int, hashed: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """The stars of all links between the sets."""
+    member = sets.select(F.explode("bands").alias("bucket"), F.col("node").alias("m"))
+    crowded = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("m").alias("leader")).where("n > 1")
+    sized, seen = counted(member.join(crowded, "bucket"), "buckets")
+    n = seen["n"]
+    every = sets.select("node", F.col("n_shingles").alias("size"), "sketch", "bands", "rep", "rep_hash")
+    candidates = gathered(sized, n).select(F.col("m").alias("node")).distinct()
+    sketches, seen = counted(gathered(every, n_sets).join(candidates, "node", "left_semi"), "sketches")
+    n_sketches = seen["n"]
+    chosen = sent(sketches.select("node", "rep", "rep_hash"), n_sketches)
+    stands = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    # rows that repeat a text that stands for a set have equal texts
+    texts = written(hashed.join(chosen, stands).select("node", "text"), "texts")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    leader = gathered(sized, n).where("m <> leader").select(F.col("leader").alias("a"), F.col("m").alias("b")).distinct()
+    part = lambda k: gathered(sketches, n_sketches).select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    likely, seen = counted(leader.join(part("a"), "a").join(part("b"), "b").mapInArrow(_likely(threshold), "a long, b long"), "likely")
+    known, seen = _verified(likely, seen["n"], texts, threshold, "pairs")
+    n_known = seen["n"]
+    stars, n_stars = _stars(known.where("linked"), seen["linked"])
+    large = sized.where("n > 2").drop("leader")
+    for limit in (FIRST, None):
+        pairs, seen = counted(_across(large, n, stars, n_stars, sketches, n_sketches, limit, threshold), "plausible")
+        if not seen["n"]:
+            break
+        fresh = gathered(pairs, seen["n"]).distinct().join(gathered(known.select("a", "b"), n_known), ["a", "b"], "left_anti")
+        fresh, seen = counted(fresh, "fresh")
+        new, seen = _verified(fresh, seen["n"], texts, threshold, "across")
+        known, n_known = known.unionByName(new), n_known + seen["n"]
+        if seen["linked"]:
+            links = stars.unionByName(new.where("linked").select("a", "b"))
+            stars, n_stars = _stars(links, n_stars + seen["linked"])
+    return stars, n_stars
+
+
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """What `classes` gives, with the hash of each row's text."""
     hashed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     rows = written(hashed.mapInPandas(_features, _FEATURES), "features")
-    key = ["n_shingles", "set_a", "set_b"]
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least")
-    found = rows.where("n_shingles > 0").groupBy(*key).agg(least).select(*key, F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"))
-    unnamed = F.xxhash64(*key).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
-    first = F.row_number().over(Window.partitionBy("rep").orderBy(*key)) == 1
-    sets = written(
-        found.where("rep is not null").withColumn("node", F.when(first, F.col("rep")).otherwise(unnamed))
-        .unionByName(found.where("rep is null").withColumn("node", unnamed)), "sets"
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
-    chosen = sets.select("rep", "rep_hash", "node")
-    reps = rows.join(chosen, same).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "sketch", "bands")
-    member = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("m"))
-    crowded = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("m").alias("leader")).where("n > 1")
-    sized = written(member.join(crowded, "bucket"), "buckets")
-    candidates = sized.select(F.col("m").alias("doc_id")).distinct()
-    sketches = written(reps.select("doc_id", "sketch").join(candidates, "doc_id", "left_semi"), "sketches")
-    texts = written(
-        hashed.join(chosen.join(candidates, F.col("node") == candidates["doc_id"], "left_semi"), same)
-        .select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts"
-    )
-    few = sized.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("m").alias("ms"))
-    above = lambda x: F.transform(F.filter("ms", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))
-    inner = few.select(F.explode(F.flatten(F.transform("ms", above))).alias("p")).select("p.a", "p.b")
-    star = sized.where((F.col("n") > SMALL) & (F.col("m") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("m").alias("b"))
-    known = _verified(_likely(inner.union(star).distinct(), sketches), texts, threshold, "pairs")
-    large = sized.where(F.col("n") > SMALL).select("bucket", "m", "n")
-    crowd = large.select(F.col("m").alias("doc_id")).distinct()
-    longer = written(
-        texts.join(crowd, "doc_id", "left_semi").mapInPandas(_long_sketches, "doc_id long, size long, sketch binary, bands array<long>"), "longer"
-    )
-    of = written(components(known.where("linked")), "components")
-    for limit in (FIRST, None):
-        pairs = _across(large, of, longer, limit, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = _verified(pairs, texts, threshold, "across")
-        known = known.unionByName(new)
-        if not new.where("linked").isEmpty():
-            of = written(components(known.where("linked")), "components")
-    own = sets.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # the ids of components that only unnamed sets make; other rows have keys of their own, which match nothing
-    asked = F.when(F.col("component") >= UNNAMED, F.col("component")).otherwise(-1 - F.abs("node"))
-    named = sets.where(F.col("node") >= UNNAMED).select(F.col("node").alias("asked"), F.col("rep").alias("unnamed_id"))
-    top = own.withColumn("asked", asked).join(named, "asked", "left").select(
-        *key, "rep", (F.col("node") == F.col("component")).alias("stands"),
-        F.when(F.col("component") >= UNNAMED, F.col("unnamed_id")).otherwise(F.col("component")).alias("component_id"),
-    )
-    lone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = (F.col("n_shingles") == 0) | (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("rep")))
-    return rows.join(top, key, "left").select("doc_id", "text_hash", "n_shingles", lone.alias("component_id"), kept.alias("kept"))
+    sets, seen = _sets(rows)
+    n_sets = seen["n"]
+    stars, n_stars = _linked(sets, n_sets, hashed, threshold)
+    of = gathered(stars.select(F.col("a").alias("node"), F.col("b").alias("component")), n_stars)
+    top = gathered(sets.select(*KEY, "rep", "node"), n_sets).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    component_id = F.col("component")
+    if seen["unnamed"]:
+        # the ids of components that only unnamed sets make; other rows have keys of their own, which match nothing
+        asked = F.when(F.col("component") >= UNNAMED, F.col("component")).otherwise(-1 - F.abs("node"))
+        named = sets.where(F.col("node") >= UNNAMED).select(F.col("node").alias("asked"), F.col("rep").alias("unnamed_id"))
+        top = top.withColumn("asked", asked).join(named, "asked", "left")
+        component_id = F.when(F.col("component") >= UNNAMED, F.col("unnamed_id")).otherwise(F.col("component"))
+    top = top.select(*KEY, "rep", (F.col("node") == F.col("component")).alias("stands"), component_id.alias("component_id"))
+    out = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    light = rows.select("doc_id", "text_hash", *KEY)
+    full = light.where("n_shingles > 0").join(top, KEY).select(*out, (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("kept"))
+    bare = light.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return full.unionByName(bare)
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The rows of docs that stay: one document of each component, every column as it came."""
-    gone = _classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(gone, same, "left_anti")
+    lost = _classes(docs, threshold).where("not kept").select("doc_id", "text_hash").distinct()
+    lost, seen = counted(lost, "lost")
+    # names that no column of docs has
+    gone, own = (next(x for i in range(len(docs.columns) + 1) if (x := f"__{k}{i}") not in docs.columns) for k in ("gone", "hash"))
+    gone_rows = sent(lost.toDF(gone, own), seen["n"])
+    same = docs["doc_id"].cast("long").eqNullSafe(gone_rows[gone]) & (F.xxhash64(docs["text"]) == gone_rows[own])
+    return docs.join(gone_rows, same, "left_anti")

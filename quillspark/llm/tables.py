@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a partition of a gathered table, and of the largest table of numbers that is broadcast (32 MB at most).
+ROWS, SENT = 1 << 18, 1 << 19
 _SHIPPED: set[str] = set()
 
 
@@ -29,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine) a temporary folder."""
+    """The folder named by spark.checkpoint.dir; where that is unset on one machine, as in tests, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,3 +48,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """The written table, and what its write observed: n, its number of rows, and further aggregates."""
+    seen = Observation()
+    back = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items())), name)
+    return back, seen.get
+
+
+def gathered(df: DataFrame, n: int) -> DataFrame:
+    """A frame of n rows in partitions of about ROWS: a table of fewer rows is one partition, which needs no exchange."""
+    return df.coalesce(max(1, -(-n // ROWS)))
+
+
+def sent(df: DataFrame, n: int) -> DataFrame:
+    """A frame of n narrow rows for the smaller side of a join: broadcast up to SENT rows, else left to the planner."""
+    return F.broadcast(df) if n <= SENT else df

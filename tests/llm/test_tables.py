@@ -193,21 +193,20 @@ def test_every_ngram_is_scored_from_its_counts(spark, monkeypatch):
     texts = {i: " ".join(f"a{k} b{k}" for k in random.choices(range(6000), k=150)) for i in range(200)}
     texts |= {200: "a1 b1 a1 b1 a1 b2", 201: "", 202: None, 203: "a1"}
     learned = {i: ["<s>", *(t or "").split(), "</s>"] for i, t in texts.items() if i % 5 != 1}
-    uni, grams, total, kinds = Counter(), Counter(), Counter(), Counter()
+    uni, grams, total = Counter(), Counter(), Counter()
     for t in learned.values():
         uni.update(t[1:])
         for i in range(1, len(t)):
             grams.update(tuple(t[j : i + 1]) for j in (i - 1, i - 2) if j >= 0)
     for g, c in grams.items():
         total[g[:-1]] += c
-        kinds[g[:-1]] += 1
     n, v = sum(uni.values()), len(uni)
 
     def p(h, w):
         if not h:
             return (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-        low = p(h[1:], w)
-        return (max(grams[*h, w] - 0.75, 0) + 0.75 * kinds[h] * low) / total[h] if total[h] else low
+        prior = backoff_lm.PRIOR[len(h) - 1]
+        return (grams[*h, w] + prior * p(h[1:], w)) / (total[h] + prior)
 
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r for r in backoff_lm.scored(table, F.col("doc_id") % 5 != 1).collect()}
@@ -221,18 +220,6 @@ def test_every_ngram_is_scored_from_its_counts(spark, monkeypatch):
         assert math.isclose(sum(p(h, w) for w in vocabulary) + p(h, "never"), 1.0)
 
 
-def test_automaton_sums_to_one():
-    import numpy as np
-
-    # numbers 0, 1, 2 and the class of others; histories 0 and 1 with kept arcs
-    root = np.log10(np.array([0.5, 0.2, 0.1, 0.2]))
-    arcs = {(1 + 0) << 13 | 1: math.log10(0.4 + 0.5 * 0.2), (1 + 0) << 13 | 0: math.log10(0.1 + 0.5 * 0.5)}
-    model = backoff_lm.Automaton(root, arcs, {1: (0, math.log10(0.5))}, {})
-    first = model.score([0], [0], [0])
-    after = [10 ** (model.score([0, w], [0, backoff_lm.CONTEXTS if w == 3 else w], [0, w]) - first) for w in range(4)]
-    assert math.isclose(sum(after), 1.0)
-
-
 def test_next_document_order(docs, empty):
     got = {r.doc_id: r for r in lz_fingerprint.with_next(docs.dropDuplicates(["doc_id"])).collect()}
     assert len(got) == len(TEXTS) + 1
