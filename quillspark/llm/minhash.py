@@ -45,6 +45,8 @@ SKETCH, AGREE = 256, 158
 UNNAMED = 1 << 62
 #: Members of a block, and partners in another component that each member is first compared with.
 BLOCK, FIRST = 256, 2
+#: Members of buckets that span components get a longer sketch, of which a pair at the threshold agrees in 769 +- 14.
+LONG, LONG_AGREE = 1024, 700
 #: Pairs that one task looks at in full, members of buckets whose blocks one task compares, and bytes of sets it remembers.
 PAIRS, MEMBERS, REMEMBERED = 4000, 4000, 32 << 20
 U32 = np.uint32
@@ -200,6 +202,7 @@ def _stars(links: DataFrame, n: int) -> tuple[DataFrame, int]:
         # large star: neighbours above a node hang on the node's least neighbour
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a node and its lower neighbours hang on the least of them
+        large = gathered(large, 2 * seen["n"])
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         before = seen
@@ -218,15 +221,33 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.explode(ends).alias("e")).select("e.node", "e.component").union(alone).distinct()
 
 
-def _across(large: DataFrame, n: int, stars: DataFrame, n_stars: int, sketches: DataFrame, n_sketches: int, limit: int | None, threshold: float) -> DataFrame:
-    """Pairs of a bucket that lie in two components and may be links; with a limit the likeliest of each member."""
+def _spanning(large: DataFrame, n: int, stars: DataFrame, n_stars: int) -> tuple[DataFrame, int]:
+    """bucket, m, n, c (its component), most of the members of buckets that span components; and their number."""
     of = gathered(stars.select(F.col("a").alias("m"), F.col("b").alias("component")), n_stars)
-    named = gathered(large, n).join(of, "m", "left").withColumn("c", F.coalesce("component", "m"))
+    named = gathered(large, n).join(of, "m", "left").select("bucket", "m", "n", F.coalesce("component", "m").alias("c"))
+    named = gathered(named, n)
     counts = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     most = counts.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1")
+    members, seen = counted(named.join(most, "bucket").drop("cs"), "members")
+    return members, seen["n"]
+
+
+def _longer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        nodes, texts = pdf["node"].to_numpy(), pdf["text"].tolist()
+        for first, block in words.blocks(texts):
+            sets = words.shingle_sets(block)
+            sig = signatures(sets, LONG)
+            keys, sketch = bands(sig[:, : ROWS * BANDS]), sig.astype(np.uint8)
+            yield pd.DataFrame(
+                {"m": nodes[first : first + len(block)], "size": [len(x) for x in sets], "sketch": [r.tobytes() for r in sketch], "bands": list(keys)}
+            )
+
+
+def _across(members: DataFrame, n: int, longer: DataFrame, n_longer: int, limit: int | None, threshold: float) -> DataFrame:
+    """Pairs of a bucket that lie in two components and may be links; with a limit the likeliest of each member."""
     member = (
-        named.join(most, "bucket")
-        .join(gathered(sketches.withColumnRenamed("node", "m"), n_sketches), "m")
+        gathered(gathered(members, n).join(gathered(longer, n_longer), "m"), n)
         .withColumn("chunks", F.ceil(F.col("n") / BLOCK))
         .withColumn("chunk", F.pmod(F.xxhash64("m"), F.col("chunks")))
         .withColumn("x", F.struct("m", "c", F.col("c") != F.col("most"), "size", "sketch", "bands"))
@@ -237,7 +258,7 @@ def _across(large: DataFrame, n: int, stars: DataFrame, n_stars: int, sketches:
 
     xs = blocks(member.where("c <> most"), "xs").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
     both = xs.join(blocks(member, "ys").drop("chunks"), ["bucket", "chunk"]).select("bucket", "xs", "ys")
-    return both.repartition(_spread(large, n, MEMBERS)).mapInArrow(_plausible(limit, threshold), "a long, b long")
+    return both.repartition(_spread(members, n, MEMBERS)).mapInArrow(_plausible(limit, threshold), "a long, b long")
 
 
 def _plausible(limit: int | None, threshold: float):
@@ -252,7 +273,7 @@ def _plausible(limit: int | None, threshold: float):
             for bucket, xs, ys in zip(batch["bucket"].to_pylist(), batch["xs"], batch["ys"]):
                 x_id, x_own, _, x_size, x_sketch, x_bands = side(xs)
                 y_id, y_own, y_outside, y_size, y_sketch, y_bands = side(ys)
-                agree = np.stack([_agree(y_sketch, x) for x in x_sketch])
+                agree = np.stack([_agree(y_sketch[:, :SKETCH], x) for x in x_sketch[:, :SKETCH]])
                 agree[x_own[:, None] == y_own[None, :]] = 0
                 agree[np.minimum.outer(x_size, y_size) < threshold * np.maximum.outer(x_size, y_size)] = 0
                 if limit and limit < agree.shape[1]:
@@ -260,6 +281,8 @@ def _plausible(limit: int | None, threshold: float):
                 elif not limit:  # a pair of two members outside is met from both sides
                     agree[y_outside[None, :] & (x_id[:, None] > y_id[None, :])] = 0
                 i, j = np.nonzero(agree >= AGREE)
+                near = _agree(x_sketch[i], y_sketch[j]) >= LONG_AGREE
+                i, j = i[near], j[near]
                 if not limit:  # of the buckets that a pair shares, that of its first common band passes it on
                     same = x_bands[i] == y_bands[j]
                     once = x_bands[i, same.argmax(axis=1)] == bucket
@@ -295,7 +318,7 @@ def _linked(sets: DataFrame, n_sets: int, hashed: DataFrame, threshold: float) -
     crowded = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("m").alias("leader")).where("n > 1")
     sized, seen = counted(member.join(crowded, "bucket"), "buckets")
     n = seen["n"]
-    every = sets.select("node", F.col("n_shingles").alias("size"), "sketch", "bands", "rep", "rep_hash")
+    every = sets.select("node", F.col("n_shingles").alias("size"), "sketch", "rep", "rep_hash")
     candidates = gathered(sized, n).select(F.col("m").alias("node")).distinct()
     sketches, seen = counted(gathered(every, n_sets).join(candidates, "node", "left_semi"), "sketches")
     n_sketches = seen["n"]
@@ -306,17 +329,25 @@ def _linked(sets: DataFrame, n_sets: int, hashed: DataFrame, threshold: float) -
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     leader = gathered(sized, n).where("m <> leader").select(F.col("leader").alias("a"), F.col("m").alias("b")).distinct()
     part = lambda k: gathered(sketches, n_sketches).select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-    likely, seen = counted(leader.join(part("a"), "a").join(part("b"), "b").mapInArrow(_likely(threshold), "a long, b long"), "likely")
+    both = gathered(leader.join(part("a"), "a"), n).join(part("b"), "b")
+    likely, seen = counted(both.mapInArrow(_likely(threshold), "a long, b long"), "likely")
     known, seen = _verified(likely, seen["n"], texts, threshold, "pairs")
     n_known = seen["n"]
     stars, n_stars = _stars(known.where("linked"), seen["linked"])
-    large = sized.where("n > 2").drop("leader")
+    large, longer, n_longer = sized.where("n > 2").drop("leader"), None, 0
     for limit in (FIRST, None):
-        pairs, seen = counted(_across(large, n, stars, n_stars, sketches, n_sketches, limit, threshold), "plausible")
-        if not seen["n"]:
+        members, n_members = _spanning(large, n, stars, n_stars)
+        if not n_members:
             break
+        if longer is None:  # later passes have no members besides
+            crowd = gathered(members, n_members).select(F.col("m").alias("node")).distinct()
+            longer, seen = counted(texts.join(crowd, "node", "left_semi").mapInPandas(_longer, "m long, size long, sketch binary, bands array<long>"), "longer")
+            n_longer = seen["n"]
+        pairs, seen = counted(_across(members, n_members, longer, n_longer, limit, threshold), "plausible")
         fresh = gathered(pairs, seen["n"]).distinct().join(gathered(known.select("a", "b"), n_known), ["a", "b"], "left_anti")
         fresh, seen = counted(fresh, "fresh")
+        if not seen["n"]:
+            continue
         new, seen = _verified(fresh, seen["n"], texts, threshold, "across")
         known, n_known = known.unionByName(new), n_known + seen["n"]
         if seen["linked"]:
