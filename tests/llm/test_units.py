@@ -218,11 +218,27 @@ def test_packing_cuts_without_padding():
         assert at == n
 
 
-def test_token_ids_match_whole_encoding():
+def test_token_ids_are_those_of_the_tokenizer():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    texts = ["a  b", " x", "x ", "a\n b", "it's  'll x", "<|endoftext|> a", "é  b c", "a  b", "a\x00b c", "日本 語 12,3 a's", "plain words, here.\nAnd more"]
-    for text, ids in zip(texts, packing.Ids(P.path("byte_bpe_50k.json")).of(texts)):
-        assert t.encode(text, add_special_tokens=False).ids == list(np.frombuffer(ids, "<u4"))
+    path = P.path("byte_bpe_50k.json")
+    t, ids = Tokenizer.from_file(path), packing.Ids(path)
+    assert ids._ranked
+    random.seed(2)
+    texts = ["a  b", " x", "x ", "a\n b", "it's  'll x", "<|endoftext|> a", "é  b c", "a\u00a0 b", "a\x00b c", "日本 語 12,3 a's", "plain words, here.\nAnd more"]
+    texts += ["x" * 3000, " " * 3000, "\n" * 5000 + "a", "!?" * 4000, "".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(3000)), "", None]
+    texts += ["".join(random.choices("ab cde' stl\n\t1é,.İ", k=200)) for _ in range(300)]
+    texts += ["".join(chr(random.choice((random.randint(1, 0x2FF), random.randint(0x1F300, 0x1F6FF), 32))) for _ in range(80)) for _ in range(200)]
+    for text in texts:
+        assert t.encode(text or "", add_special_tokens=False).ids == list(np.frombuffer(ids.of(text), "<u4")), text
+
+
+def test_other_tokenizer_files():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    ids = packing.Ids(path)
+    assert not ids._ranked
+    assert list(np.frombuffer(ids.of("Some words, here"), "<u4")) == Tokenizer.from_file(path).encode("Some words, here", add_special_tokens=False).ids
