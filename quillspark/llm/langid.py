@@ -4,7 +4,8 @@ Words (runs of letters, lower case) seen in training score by their log frequenc
 word every position scores by the longest character n-gram that training holds there, from `LONGEST` down to single
 characters, each by its log frequency in each language. The sums over a text are log likelihoods of the languages.
 
-The model is fitted on at most ROWS labelled rows, the same for the same table; its size is bounded by theirs.
+The model is fitted on at most ROWS labelled documents of at most LEARNED characters each (of rows that repeat a
+doc_id one), the same for the same table; its size is bounded by theirs.
 
 Defined results: null texts and texts without letters are `und` with score 0; ties go to the first language by code
 point; repeated rows are scored each; other columns are dropped; an empty table, or one without labels, gives `und`.
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from quillspark.llm.sampling import bounded
 
 ROWS, LONGEST, LEAST = 2000, 5, 2
+#: Characters of the longest text that is learned from.
+LEARNED = 1 << 15
 #: Evidence counts as from so many words at most, for the score.
 EVIDENCE = 25
 _WORD = re.compile(r"[^\W\d_]+")
@@ -112,10 +115,10 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 def trained(docs: DataFrame, learn: Column, rows: int = ROWS) -> Model:
     """The model of at most `rows` of the labelled rows of docs (doc_id, text, lang) where `learn` holds."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = bounded(labelled.select("doc_id"), rows, "langid")
-    found = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
-    return fit([(r.text, r.lang) for r in sorted(found, key=lambda r: (r.doc_id, r.text, r.lang))])
+    labelled = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") <= LEARNED)).select("doc_id", "text", "lang")
+    chosen = bounded(labelled.select("doc_id").distinct(), rows, "langid")
+    own = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row"))
+    return fit([(r.row.text, r.row.lang) for r in sorted(own.collect(), key=lambda r: r.doc_id)])
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:

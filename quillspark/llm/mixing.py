@@ -48,8 +48,12 @@ def exponential_key(key: Column, quality: Column, seed: str = "mix") -> Column:
     return -F.log(u) / quality
 
 
-def mix(docs: DataFrame, labels: DataFrame | None, parts: int = 512, **shares) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, labels: DataFrame | None, parts: int | None = None, extra: tuple[str, ...] = (), **shares) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source).
+
+    extra: ("source",) gives the source too. parts: of each source; by default more where the session shuffles into more.
+    """
+    parts = parts or max(512, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     kinds = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
     if labels is None:
@@ -80,17 +84,22 @@ def mix(docs: DataFrame, labels: DataFrame | None, parts: int = 512, **shares) -
     epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budget = whole - epochs * F.col("source_size") - (F.col("first") + F.col("nth") * F.col("size"))
     return spread.select(
-        "doc_id", "size", "source_size", "target", (epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", budget))).alias("taken")
+        "doc_id", *extra, "size", "source_size", "target", (epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", budget))).alias("taken")
     )
 
 
 def selected(docs: DataFrame, labels: DataFrame | None, **shares) -> DataFrame:
-    """The rows of docs of which the mix takes words, as often as it takes the whole of them (a part counts as once).
+    """The rows of docs of which the mix takes words, as often as it takes the whole of them (a part counts as once),
+    every column as it came, whatever its name.
 
-    Rows that repeat a doc_id, source and size are one document here; it comes as often as its likeliest row.
+    Rows that repeat a doc_id, source and size are one document here; it comes as often as its likeliest row. Rows
+    without words never come. An empty table gives an empty result.
     """
-    counted = mix(docs.select("doc_id", "text", "source"), labels, **shares)
-    times = counted.where("taken > 0").groupBy("doc_id", F.col("size").alias("__size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("long").alias("__times"))
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    back = sized.alias("d").join(times.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.__size = t.__size"))
-    return back.select("d.*", "t.__times").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__size", "__times", "__n")
+    counted = mix(docs.select("doc_id", "text", "source"), labels, extra=("source",), **shares)
+    taken = counted.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("long").alias("times"))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    held = docs.select(row, F.col("doc_id").alias("id"), F.col("source").alias("from"), size)
+    same = held["id"].eqNullSafe(taken["doc_id"]) & held["from"].eqNullSafe(taken["source"]) & (held["size"] == taken["size"])
+    back = held.join(taken, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return back.select("row.*")
