@@ -20,21 +20,63 @@ def clean_html(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"[\s\x{A0}]+", " ")), F.lit(""))
 
 
+# The patterns of years of experience in order; the first group is a number, the second may be one.
+EXPERIENCE = (
+    r"опыт работы.*?(\d+)[-–]*(\d*)\s*(год|лет|года)",
+    r"стаж работы.*?(\d+)[-–]*(\d*)\s*(год|лет|года)",
+    r"опыт.*?от\s*(\d+)\s*(год|лет|года)",
+    r"(\d+)[-–](\d+)\s*(год|лет|года).*?опыт",
+    r"требуемый опыт.*?(\d+)[-–]*(\d*)\s*(год|лет|года)",
+)
+# Words that say that no experience is asked for, and the range of years.
+NO_EXPERIENCE = ("нет опыта", "без опыта", "no experience", "entry level", "internship")
+YEARS = r"(?iu)(?:от\s+|from\s+)?(\d+(?:\.\d+)?)\s*(?:[-–до]+\s*(\d+(?:\.\d+)?)\s*)?(?:год|лет|года|years?|yrs?|yr)"
+# Patterns of education levels in order.
+EDUCATION = (
+    (r"(?i)доктор\s+наук", "doctor_of_sciences"),
+    (r"(?i)кандидат\s+наук", "candidate_of_sciences"),
+    (r"(?i)аспирант|аспирантур", "phd_student"),
+    (r"(?i)магистр|магистратур|master", "masters"),
+    (r"(?i)бакалавр|bachelor", "bachelors"),
+    (r"(?i)высш[а-я]*\s*(?:образован|профессиональн)", "higher_education"),
+    (r"(?i)неполное\s*высш", "incomplete_higher"),
+    (r"(?i)средн[а-я]*\s*(?:специальн|профессиональн|техническ)", "secondary_vocational"),
+    (r"(?i)средн[а-я]*\s*образован", "secondary"),
+    (r"(?i)\bPhD\b|doctorate|doctoral", "doctorate"),
+    (r"(?i)master'?s?\s*degree|M\.?Sc|M\.?A\.|MBA", "masters"),
+    (r"(?i)bachelor'?s?\s*degree|B\.?Sc|B\.?A\.|undergraduate", "bachelors"),
+    (r"(?i)associate'?s?\s*degree|A\.?A\.|A\.?S\.", "associates"),
+    (r"(?i)high\s*school\s*diploma|GED", "high_school"),
+)
+
+
 def experience_years(text: Column) -> Column:
     """Years of experience: a range's mean, or one number; the first pattern that matches wins."""
-    t = F.lower(text)
-    low, high = first(t, r"(\d+)\s*[-–]\s*(\d+)\s*(?:years|лет|года)", 1), first(t, r"(\d+)\s*[-–]\s*(\d+)\s*(?:years|лет|года)", 2)
-    one = F.coalesce(first(t, r"(\d+)\+?\s*(?:years?|лет|года?)(?:\b|$)"), first(t, r"опыт\S*\s+(?:работы\s+)?от\s+(\d+)"))
-    return F.coalesce((low.cast("double") + high.cast("double")) / 2, one.cast("double"))
+    t, found = F.lower(text), []
+    for pattern in EXPERIENCE:
+        low, high = first(t, pattern, 1).cast("double"), first(t, pattern, 2)
+        # the second group of a pattern without a range is the word for years, no number
+        found.append(F.when(high.rlike(r"^\d+$"), (low + F.when(high.rlike(r"^\d+$"), high).cast("double")) / 2).otherwise(low))
+    return F.coalesce(*found)
+
+
+def experience_range(name: Column) -> Column:
+    """{min, max} of a range of years; {0, 0} where no experience is asked for; null where nothing is said."""
+    lower = F.lower(F.trim(name))
+    none = None
+    for words in NO_EXPERIENCE:
+        hit = F.contains(lower, F.lit(words))
+        none = hit if none is None else none | hit
+    low, high = first(name, YEARS, 1).cast("double"), first(name, YEARS, 2).cast("double")
+    pair = lambda a, b: F.struct(a.cast("double").alias("min"), b.cast("double").alias("max"))
+    return F.when(none, pair(F.lit(0.0), F.lit(0.0))).when(low.isNotNull(), pair(low, high))
 
 
 def education_level(text: Column) -> Column:
     """The first that matches of ordered levels."""
-    levels = [("phd", r"phd|ph\.d|doctor|доктор наук|кандидат наук"), ("master", r"master|магистр"), ("bachelor", r"bachelor|бакалавр"), ("higher", r"higher education|высшее"), ("secondary", r"college|среднее")]
-    out = None
-    for name, pattern in levels:
-        hit = text.rlike(f"(?iu){pattern}")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+    out = F
+    for pattern, name in EDUCATION:
+        out = out.when(text.rlike(pattern.replace("(?i)", "(?iu)")), name)
     return out
 
 

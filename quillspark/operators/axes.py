@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The weight of each of seven levels; a level's threshold on an axis is 1 + 4 * weight.
-LEVELS = (0.10, 0.25, 0.40, 0.50, 0.60, 0.80, 0.95)
+# The weight of each of seven levels; a level's threshold on an axis is 1 + 4 * weight.
+LEVELS = (0.10, 0.25, 0.40, 0.60, 0.80, 0.95, 1.00)
+# The shares by which a role has its archetype, and the names of the archetypes.
+SIGNIFICANT, LEADING, TALKING, METHODICAL = 0.15, 0.5, 0.3, 0.35
+ARCHETYPES = ("Техник", "Инженер", "Исследователь", "Ведущий специалист", "Методолог", "Гибрид")
+SUPER_CATEGORIES = ("experimental", "computational", "communication", "domain")
 FLAT, MIDDLE, MANY = 1e-12, 3.0, 15
 
 
@@ -52,13 +56,61 @@ def categorised(phrases: DataFrame, phrase: str, rules: list[tuple[str, list[str
     return phrases.where(p != "").withColumn("category", chain).where("category is not null")
 
 
-def archetypes(fractions: DataFrame, cut: float = 0.35, analyst: float = 0.45) -> DataFrame:
-    """archetype of each role by its fractions of experimental, computational and analytical skills; the order matters."""
-    e, c, a = F.col("experimental") > cut, F.col("computational") > cut, F.col("analytical") > analyst
-    return fractions.withColumn(
-        "archetype",
-        F.when(e & c, "integrator").when(e, "technician").when(c, "engineer").when(a, "analyst").otherwise("generalist"),
+def super_fractions(skills: DataFrame) -> DataFrame:
+    """role, experimental, computational, communication, domain (shares of the classified skills, to four places),
+    significant (how many shares are above SIGNIFICANT) of skills (role, super_category); unclassified ones are null."""
+    known = F.col("super_category").isin(*SUPER_CATEGORIES)
+    total = F.greatest(F.count_if(known), F.lit(1))
+    exact = skills.groupBy("role").agg(*[(F.count_if(F.coalesce(F.col("super_category") == c, F.lit(False))) / total).alias(c) for c in SUPER_CATEGORIES])
+    significant = sum((F.when(F.col(c) > SIGNIFICANT, 1).otherwise(0) for c in SUPER_CATEGORIES), F.lit(0))
+    return exact.withColumn("significant", significant)
+
+
+def archetypes(fractions: DataFrame) -> DataFrame:
+    """fractions with the archetype of each role by its shares; the first rule that holds wins."""
+    technician, engineer, researcher, lead, methodologist, hybrid = ARCHETYPES
+    broad, talk = F.col("significant") >= 3, F.col("communication")
+    rule = (
+        F.when(F.col("experimental") > LEADING, technician)
+        .when(F.col("computational") > LEADING, engineer)
+        .when(broad & (talk < TALKING), researcher)
+        .when(broad & (talk >= TALKING), lead)
+        .when(talk >= METHODICAL, methodologist)
+        .otherwise(hybrid)
     )
+    return fractions.withColumn("archetype", rule)
+
+
+def axis_names(skills: DataFrame, longest: int = 60) -> DataFrame:
+    """axis, name of skills (axis, pos, skill, category): the category of half of them or more, else two categories
+    where the first has 0.3 or more, else the first three skills, or two if those are too long together. Of equally
+    frequent categories the one met first counts as first."""
+    total = skills.groupBy("axis").agg(
+        F.count("*").alias("n"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "skill"))), 1, 3), lambda s: s["skill"]).alias("first")
+    )  # an axis has some tens of skills
+    counts = skills.where("category is not null").groupBy("axis", "category").agg(F.count("*").alias("k"), F.min("pos").alias("pos"))
+    ranked = counts.groupBy("axis").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "pos", "category"))).alias("c"))
+    both = total.join(ranked, "axis", "left")
+    share = -F.col("c")[0]["k"] / F.col("n")
+    three = F.array_join("first", ", ")
+    plain = F.when(F.length(three) > longest, F.array_join(F.slice("first", 1, 2), ", ")).otherwise(three)
+    two = F.concat(F.col("c")[0]["category"], F.lit(" + "), F.try_element_at("c", F.lit(2))["category"])
+    name = F.when(share >= 0.5, F.col("c")[0]["category"]).when((F.size("c") >= 2) & (share >= 0.3), two).otherwise(plain)
+    return both.select("axis", name.alias("name"))
+
+
+def graded(roles: DataFrame, count: str = "members") -> DataFrame:
+    """roles with grade: 4 to 1 for the highest fifth's cut that the members reach, 0 below all and for no members.
+
+    The cut of grade g is the member count at place floor(n g / 5) of all, ascending (the last where that is 0).
+    """
+    sizes = roles.agg(F.array_sort(F.collect_list(count)).alias("sorted"))  # one number for each role
+    place = lambda g: F.floor(F.size("sorted") * F.lit(g) / 5).cast("int")
+    cut = lambda g: F.when(place(g) < 1, F.element_at("sorted", -1)).otherwise(F.element_at("sorted", F.greatest(place(g), F.lit(1))))
+    grade = F.when(F.col(count) <= 0, 0)
+    for g in (4, 3, 2, 1):
+        grade = grade.when(F.col(count) >= cut(g), g)
+    return roles.crossJoin(F.broadcast(sizes)).withColumn("grade", grade.otherwise(0)).drop("sorted")
 
 
 def role_models(scores: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.text import top
@@ -29,12 +29,56 @@ def transitions(profile: DataFrame, least: float = 0.5, most: float = 20.0, keep
     return top(near.where((F.col("cosine") >= least) & (F.col("gap") <= most)), ["source"], [F.desc("cosine"), F.asc("gap"), F.asc("target")], keep)
 
 
-def trajectory(profile: DataFrame, levels: int = 7, junior: float = 0.4, power: float = 1.5) -> DataFrame:
-    """role, axis, level, value: growth from max(1, junior share of the peak) to the peak over the levels."""
-    start = F.greatest(F.lit(1.0), F.round(F.col("proficiency") * junior, 2))
+# The share of the peak that a junior has, and the power of the growth curve, by axis.
+JUNIOR = {"experimental": 0.45, "domain_knowledge": 0.40, "management": 0.25, "professional_texts": 0.30, "data_analysis": 0.40, "computational": 0.45, "t_profile": 0.40}
+GROWTH = {"experimental": 0.7, "domain_knowledge": 1.0, "management": 2.2, "professional_texts": 1.6, "data_analysis": 0.9, "computational": 0.8, "t_profile": 1.0}
+
+
+def _of_axis(values: dict[str, float], other: float) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("axis")), F.lit(other))
+
+
+def juniors(profile: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """profile with junior: a share of the proficiency by axis, 1 at least."""
+    share = _of_axis(shares or JUNIOR, 0.4)
+    return profile.withColumn("junior", F.greatest(F.lit(1.0), F.round(F.col("proficiency") * share, 2)))
+
+
+def trajectory(profile: DataFrame, levels: int = 7, shares: dict[str, float] | None = None, powers: dict[str, float] | None = None) -> DataFrame:
+    """role, axis, level, value: growth from the junior value to the peak over the levels, by each axis' own curve."""
     t = (F.col("level") - 1) / (levels - 1)
-    rows = profile.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
-    return rows.select("role", "axis", "level", F.round(start + (F.col("proficiency") - start) * F.pow(t, F.lit(power)), 2).alias("value"))
+    rows = juniors(profile, shares).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    value = F.col("junior") + (F.col("proficiency") - F.col("junior")) * F.pow(t, _of_axis(powers or GROWTH, 1.0))
+    return rows.select("role", "axis", "level", F.round(value, 2).alias("value"))
+
+
+def matched(profile: DataFrame, vectors: DataFrame, warmth: float = 0.35, flat: float = 0.3) -> DataFrame:
+    """id, role, confidence, level, is_flat: the role whose profile correlates best with each vector (id, axis, value).
+
+    confidence is the softmax share of the best correlation in per cent, level (from 0) the nearest of the role's
+    trajectory; a vector whose centred length is below `flat` correlates 0 with all, so the first role wins.
+    """
+    centred = lambda df, by, x: df.withColumn("c", F.col(x) - F.avg(x).over(Window.partitionBy(by)))
+    v = centred(vectors, "id", "value").withColumnRenamed("c", "vc")
+    p = centred(profile, "role", "proficiency").withColumnRenamed("c", "pc")
+    lengths = v.groupBy("id").agg(F.sqrt(F.sum(F.col("vc") * F.col("vc"))).alias("vn")).crossJoin(
+        F.broadcast(p.groupBy("role").agg(F.sqrt(F.sum(F.col("pc") * F.col("pc"))).alias("pn")))
+    )  # vectors times roles, of which there are tens
+    dots = v.join(F.broadcast(p), "axis").groupBy("id", "role").agg(F.sum(F.col("vc") * F.col("pc")).alias("d"))
+    none = (F.col("vn") < flat) | (F.col("pn") < 1e-9)
+    corr = lengths.join(dots, ["id", "role"], "left").withColumn("r", F.when(none, 0.0).otherwise(F.round(F.col("d") / (F.col("vn") * F.col("pn")), 9)))
+    best = corr.groupBy("id").agg(
+        F.max_by("role", F.struct("r", _backwards("role"))).alias("role"), F.max("r").alias("top"), F.sum(F.exp(F.col("r") / warmth)).alias("all"), F.max(F.col("vn") < flat).alias("is_flat")
+    )
+    near = vectors.join(best.select("id", "role"), "id").join(F.broadcast(trajectory(profile).withColumnRenamed("value", "t")), ["role", "axis"])
+    far = near.groupBy("id", "level").agg(F.round(F.sqrt(F.sum(F.pow(F.col("value") - F.col("t"), F.lit(2.0)))), 9).alias("far"))
+    level = far.groupBy("id").agg((F.min_by("level", F.struct("far", "level")) - 1).alias("level"))
+    return best.join(level, "id").select("id", "role", F.round(F.exp(F.col("top") / warmth) / F.col("all") * 100).cast("int").alias("confidence"), "level", "is_flat")
+
+
+def _backwards(name: str) -> Column:
+    """A key that is greater for a name that comes earlier."""
+    return F.transform(F.split(name, ""), lambda c: -F.ascii(c))
 
 
 def stages(profile: DataFrame, stage_profiles: dict[str, dict[str, float]], digits: int = 6) -> DataFrame:

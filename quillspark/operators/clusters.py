@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.vectors import cosine, dot, norm
+from quillspark.functions.vectors import cosine, norm
 
 
 def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
@@ -21,19 +25,45 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 def nearest(rows: DataFrame, key: str, vector: str, centres: DataFrame, label: str) -> DataFrame:
     """key, nearest, similarity: the most similar of the centres, of equal ones the least label.
 
-    Centres are one row per label, a number that is chosen and doesn't grow with the rows; they are broadcast.
+    Centres are one row per label, a number that is chosen and doesn't grow with the rows; they go to the rows as one
+    array, so rows are neither multiplied nor shuffled.
     """
-    named = centres.select(F.col(label).alias("__label"), F.col("centroid").alias("__c"))
-    pairs = rows.select(key, vector).crossJoin(F.broadcast(named)).withColumn("similarity", cosine(F.col(vector), F.col("__c")))
-    best = F.max_by(F.struct(F.col("__label").alias("nearest"), "similarity"), F.struct("similarity", -F.col("__label")))
-    return pairs.groupBy(key).agg(best.alias("b")).select(key, "b.nearest", "b.similarity")
+    named = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c")))).alias("__all"))
+    similarity = F.transform("__all", lambda c: F.struct(cosine(F.col(vector), c["c"]).alias("similarity"), c["label"].alias("label")))
+    better = lambda a, b: F.when(a["similarity"].isNull() | (b["similarity"] > a["similarity"]), b).otherwise(a)
+    found = rows.select(key, vector).crossJoin(F.broadcast(named)).withColumn("__s", similarity)  # one row
+    best = F.aggregate(F.slice("__s", 2, F.size("__s")), F.col("__s")[0], better)
+    return found.select(key, best.alias("b")).select(key, F.col("b.label").alias("nearest"), "b.similarity")
+
 
+def similar_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = 1024) -> DataFrame:
+    """a, b, similarity of all pairs of rows whose vectors have a dot product of `least` or more; a < b.
 
-def similar_pairs(rows: DataFrame, key: str, vector: str, block: str, least: float) -> DataFrame:
-    """a, b, similarity of the pairs of a block (rows that share its value) at `least` or more; a < b."""
-    side = lambda k: rows.select(F.col(block).alias("__block"), F.col(key).alias(k), F.col(vector).alias(f"__{k}"))
-    found = side("a").join(side("b"), "__block").where("a < b").withColumn("similarity", dot(F.col("__a"), F.col("__b")))
-    return found.where(F.col("similarity") >= least).select("a", "b", "similarity")
+    Exact, so every row meets every other: blocks of rows meet in tasks of their own, as products of matrices, and
+    only pairs that count come out. It is for distinct titles or phrases, not for whole corpora.
+    """
+    n = rows.agg(F.count("*").alias("n"))
+    parted = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).crossJoin(F.broadcast(n))
+    placed = parted.withColumn("parts", F.ceil(F.col("n") / block)).withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")))
+    blocks = placed.groupBy("part", "parts").agg(F.collect_list(F.struct("k", "v")).alias("rows"))
+    own = blocks.select(F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"), F.col("rows").alias("xs"), F.col("part").alias("x"))
+    both = own.join(blocks.select(F.col("part").alias("other"), F.col("rows").alias("ys")), "other").select("xs", "ys", (F.col("x") == F.col("other")).alias("same"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for xs, ys, same in zip(batch["xs"], batch["ys"], batch["same"].to_pylist()):
+                (xk, xv), (yk, yv) = (side.values.flatten() for side in (xs, ys))
+                x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (xv, yv))
+                dots = x @ y.T
+                i, j = np.nonzero(dots >= least)
+                a, b = xk.take(pa.array(i)), yk.take(pa.array(j))
+                order = pc.less(a, b)
+                keep = pc.not_equal(a, b) if not same else order
+                low, high = pc.if_else(order, a, b), pc.if_else(order, b, a)
+                yield pa.RecordBatch.from_arrays([low, high, pa.array(dots[i, j])], ["a", "b", "similarity"]).filter(keep)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return both.mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def separation(centres: DataFrame, label: str) -> DataFrame:
@@ -55,29 +85,30 @@ def davies_bouldin(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return pairs.groupBy("a").agg(F.max(ratio).alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
 
 
-def greedy_leaders(rows: DataFrame, block: str, key: str, weight: str, vector: str, least: float) -> DataFrame:
-    """block, key, leader, weight: in falling weight (then key) a row joins the first leader of its block at `least`
-    cosine or more, else leads. Blocks bound the work; each is one group."""
+def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: float) -> DataFrame:
+    """key, leader, weight: in falling weight (then key) a row joins the first leader at `least` cosine or more, else
+    leads. Only rows that are similar to another, with the links between them, meet in one task."""
+    unit = F.transform(vector, lambda x: x.cast("double") / (norm(F.col(vector)) + 1e-12))
+    links = similar_pairs(rows.select(key, unit.alias("__v")), key, "__v", least - 1e-9)
+    of = lambda k: rows.select(F.col(key).alias(k), F.col(weight).cast("double").alias(f"w_{k}"))
+    known = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("g", F.lit(0))
+    kind = rows.schema[key].dataType.simpleString()
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([weight, key], ascending=[False, True])
-        vectors = np.array(pdf[vector].tolist(), dtype=float)
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12
-        leaders: list[int] = []
-        own = []
-        for i in range(len(pdf)):
-            close = np.flatnonzero(vectors[leaders] @ vectors[i] >= least - 1e-9) if leaders else []
-            if len(close):
-                own.append(leaders[close[0]])
-            else:
-                leaders.append(i)
-                own.append(i)
-        keys = pdf[key].to_numpy()
-        return pd.DataFrame({block: pdf[block].to_numpy(), key: keys, "leader": keys[own], weight: pdf[weight].to_numpy()})
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"{block} {types[block]}, {key} {types[key]}, leader {types[key]}, {weight} {types[weight]}"
-    return rows.select(block, key, weight, vector).groupBy(block).applyInPandas(lead, schema)
+        weights = dict(zip(pdf["a"], pdf["w_a"])) | dict(zip(pdf["b"], pdf["w_b"]))
+        order = {k: i for i, k in enumerate(sorted(weights, key=lambda k: (-weights[k], k)))}
+        near: dict = {}
+        for a, b in zip(pdf["a"], pdf["b"]):
+            first, second = (a, b) if order[a] < order[b] else (b, a)
+            near.setdefault(second, []).append(first)
+        leader: dict = {}
+        for k in order:
+            above = [x for x in near.get(k, []) if leader[x] == x]
+            leader[k] = min(above, key=order.get) if above else k
+        return pd.DataFrame({"k": list(leader), "leader": list(leader.values())})
+
+    found = known.groupBy("g").applyInPandas(lead, f"k {kind}, leader {kind}")
+    return rows.select(key, weight).join(found, F.col(key) == F.col("k"), "left").select(key, F.coalesce("leader", key).alias("leader"), weight)
 
 
 def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:

@@ -21,26 +21,19 @@ def document_frequency(rows: DataFrame, term: str) -> DataFrame:
 
 
 def frequent(rows: DataFrame, term: str, least: int) -> DataFrame:
-    """The pairs whose term is in `least` documents or more."""
-    kept = document_frequency(rows, term).where(F.col("df") >= least).select(term)
-    return rows.join(kept, term, "left_semi")
+    """The pairs whose term is in `least` documents or more, with df, the number of those."""
+    return rows.join(document_frequency(rows, term).where(F.col("df") >= least), term)
 
 
-def tfidf(rows: DataFrame, doc: str, term: str) -> DataFrame:
-    """The pairs with weight = ln(1 + documents / documents with the term) / terms of the document.
+def tfidf(rows: DataFrame, doc: str) -> DataFrame:
+    """Pairs with their df get weight = ln(1 + documents / df) / terms of the document.
 
-    All counts are of the pairs given, so after any cap or filter applied to them.
+    All counts are of the pairs given, so after any cap or filter applied to them; df must be of these documents.
     """
-    per_term = document_frequency(rows, term)
-    total = rows.agg(F.count_distinct(doc).alias("n_docs"))
+    total = rows.select(doc).distinct().agg(F.count("*").alias("n_docs"))
     in_doc = F.count("*").over(Window.partitionBy(doc))
-    return (
-        rows.withColumn("n_terms", in_doc)
-        .join(per_term, term)
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("weight", F.log(1 + F.col("n_docs") / F.col("df")) / F.col("n_terms"))
-        .drop("n_docs", "n_terms", "df")
-    )
+    weighted = rows.withColumn("n_terms", in_doc).crossJoin(F.broadcast(total))  # one row
+    return weighted.withColumn("weight", F.log(1 + F.col("n_docs") / F.col("df")) / F.col("n_terms")).drop("n_docs", "n_terms", "df")
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -69,7 +69,7 @@ def soft_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axes.rubric_scores(profile(spark, sf_dir), rubric).select("role", "soft", F.round("proficiency", 4).alias("proficiency"))
 
 
-_LEVELS = "l(level, weight) AS (VALUES (1, 0.10), (2, 0.25), (3, 0.40), (4, 0.50), (5, 0.60), (6, 0.80), (7, 0.95))"
+_LEVELS = "l(level, weight) AS (VALUES (1, 0.10), (2, 0.25), (3, 0.40), (4, 0.60), (5, 0.80), (6, 0.95), (7, 1.00))"
 
 
 @query(
@@ -102,18 +102,20 @@ def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT p_brand AS role, count(*) AS n, avg(CASE WHEN p_size <= 15 THEN 1.0 ELSE 0 END) AS experimental, avg(CASE WHEN p_size > 35 THEN 1.0 ELSE 0 END) AS computational,
-avg(CASE WHEN p_size > 15 AND p_size <= 35 THEN 1.0 ELSE 0 END) AS analytical FROM part GROUP BY p_brand)
-SELECT role, CASE WHEN experimental > 0.35 AND computational > 0.35 THEN 'integrator' WHEN experimental > 0.35 THEN 'technician' WHEN computational > 0.35 THEN 'engineer'
-WHEN analytical > 0.45 THEN 'analyst' ELSE 'generalist' END AS archetype, round(experimental, 4) AS experimental, round(computational, 4) AS computational, round(analytical, 4) AS analytical FROM f"""
+    """WITH k AS (SELECT p_brand AS role, CASE WHEN p_size <= 14 THEN 'experimental' WHEN p_size <= 24 THEN 'computational' WHEN p_size <= 36 THEN 'communication' WHEN p_size <= 46 THEN 'domain' END AS c FROM part),
+f AS (SELECT role, greatest(count(c), 1) AS n, count(*) FILTER (c = 'experimental') AS e, count(*) FILTER (c = 'computational') AS p, count(*) FILTER (c = 'communication') AS m, count(*) FILTER (c = 'domain') AS d FROM k GROUP BY role),
+g AS (SELECT role, e / n::DOUBLE AS e, p / n::DOUBLE AS p, m / n::DOUBLE AS m, d / n::DOUBLE AS d FROM f),
+h AS (SELECT *, (e > 0.15)::INTEGER + (p > 0.15)::INTEGER + (m > 0.15)::INTEGER + (d > 0.15)::INTEGER AS significant FROM g)
+SELECT role, round(e, 4) AS experimental, round(p, 4) AS computational, round(m, 4) AS communication, round(d, 4) AS domain, significant, CASE WHEN e > 0.5 THEN 'Техник' WHEN p > 0.5 THEN 'Инженер'
+WHEN significant >= 3 AND m < 0.3 THEN 'Исследователь' WHEN significant >= 3 THEN 'Ведущий специалист' WHEN m >= 0.35 THEN 'Методолог' ELSE 'Гибрид' END AS archetype FROM h"""
 )
 def archetype_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    """Brands by the shares of four kinds of sizes; the largest sizes are of no kind."""
     size = F.col("p_size")
-    fractions = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("role")).agg(
-        share(size <= 15).alias("experimental"), share(size > 35).alias("computational"), share((size > 15) & (size <= 35)).alias("analytical")
-    )
-    return axes.archetypes(fractions).select("role", "archetype", *[F.round(c, 4).alias(c) for c in ("experimental", "computational", "analytical")])
+    kind = F.when(size <= 14, "experimental").when(size <= 24, "computational").when(size <= 36, "communication").when(size <= 46, "domain")
+    skills = table(spark, sf_dir, "part").select(F.col("p_brand").alias("role"), kind.alias("super_category"))
+    found = axes.archetypes(axes.super_fractions(skills))
+    return found.select("role", *[F.round(c, 4).alias(c) for c in axes.SUPER_CATEGORIES], "significant", "archetype")
 
 
 @query(

@@ -19,10 +19,35 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return career.transitions(profile(spark, sf_dir))
 
 
-@query(f"""WITH {_PROFILE}, l AS (SELECT unnest(range(1, 8))::INTEGER AS level), j AS (SELECT *, greatest(1.0, round(proficiency * 0.4, 2)) AS j FROM prof)
-SELECT role, axis, level, round(j + (proficiency - j) * ((level - 1) / 6.0::DOUBLE) ^ 1.5, 2) AS value FROM j, l""")
+#: The axes of the profiles in the order of the fixed axes of a trajectory.
+_NAMES = dict(zip([f"a{i}" for i in range(1, 8)], career.JUNIOR))
+_NAMED = """nm(axis, name, f, g) AS (VALUES ('a1', 'experimental', 0.45::DOUBLE, 0.7::DOUBLE), ('a2', 'domain_knowledge', 0.40, 1.0), ('a3', 'management', 0.25, 2.2), ('a4', 'professional_texts', 0.30, 1.6), ('a5', 'data_analysis', 0.40, 0.9), ('a6', 'computational', 0.45, 0.8), ('a7', 't_profile', 0.40, 1.0)),
+j AS (SELECT role, name AS axis, proficiency, greatest(1.0, round(proficiency * f, 2)) AS j, g FROM prof JOIN nm USING (axis)),
+tr AS (SELECT role, axis, level, round(j + (proficiency - j) * pow((level - 1) / 6.0::DOUBLE, g), 2) AS value FROM j, (SELECT unnest(range(1, 8))::INTEGER AS level))"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv])
+    return profile(spark, sf_dir).withColumn("axis", F.element_at(names, F.col("axis")))
+
+
+@query(f"WITH {_PROFILE}, {_NAMED} SELECT role, axis, level, value FROM tr")
 def career_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return career.trajectory(profile(spark, sf_dir))
+    return career.trajectory(_named(spark, sf_dir))
+
+
+@query(f"""WITH {_PROFILE}, {_NAMED}, u AS (SELECT doc_id AS id, name AS axis, 1 + (doc_id * ascii(axis[2]) % 9) / 2.0::DOUBLE AS value FROM labels, nm WHERE doc_id IS NOT NULL),
+v AS (SELECT *, value - avg(value) OVER (PARTITION BY id) AS vc FROM u), p AS (SELECT *, proficiency - avg(proficiency) OVER (PARTITION BY role) AS pc FROM j),
+d AS (SELECT id, role, CASE WHEN sqrt(sum(vc * vc)) < 0.3 OR sqrt(sum(pc * pc)) < 1e-9 THEN 0 ELSE round(sum(vc * pc) / (sqrt(sum(vc * vc)) * sqrt(sum(pc * pc))), 9) END AS r, sqrt(sum(vc * vc)) < 0.3 AS is_flat FROM v JOIN p USING (axis) GROUP BY id, role),
+b AS (SELECT id, arg_max(role, r) AS x, max(r) AS top, sum(exp(r / 0.35)) AS total, bool_or(is_flat) AS is_flat FROM d GROUP BY id), w AS (SELECT id, min(role) AS role FROM d JOIN b USING (id) WHERE r = top GROUP BY id),
+f AS (SELECT id, level, round(sqrt(sum((u.value - tr.value) ^ 2)), 9) AS far FROM u JOIN w USING (id) JOIN tr USING (role, axis) GROUP BY id, level), l AS (SELECT id, level - 1 AS level FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY far, level) = 1)
+SELECT id, role, round(exp(top / 0.35) / total * 100)::INTEGER AS confidence, level, is_flat FROM b JOIN w USING (id) JOIN l USING (id)""")
+def role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role nearest to each of many made profiles."""
+    ids = table(spark, sf_dir, "labels").where("doc_id is not null").select(F.col("doc_id").alias("id"))
+    axes = F.explode(F.array(*[F.struct(F.lit(name).alias("axis"), F.lit(ord(a[1])).alias("k")) for a, name in _NAMES.items()])).alias("x")
+    vectors = ids.select("id", axes).select("id", "x.axis", (1 + F.col("id") * F.col("x.k") % 9 / 2.0).alias("value"))
+    return career.matched(_named(spark, sf_dir), vectors)
 
 
 _STAGES = {"early": {"a1": 5, "a2": 1, "a3": 1}, "middle": {"a4": 4, "a5": 4}, "late": {"a6": 5, "a7": 3}}

@@ -19,9 +19,8 @@ from quillspark.operators.text import frequent, tfidf, tokens, top
 Scorer = Callable[[DataFrame], DataFrame]
 # Roles of software work by their numbers, and the words of the two rules.
 IT_ROLES = (96, 123, 124, 125, 126)
-IT_WORDS = r"(?iu)developer|программист|разработчик|devops|frontend|backend|тестировщик"
-STEM_WORDS = r"(?iu)исследован|research|лаборатор|физик|хими|биолог|матем"
-BUCKETS = 256
+IT_WORDS = r"[Pp]rogramm|[Пп]рограмм|[RrРр]азработчик"
+STEM_WORDS = r"лаборатор|эксперимент|исследовани|научн|анализ|синтез|моделирован"
 
 
 @dataclass(frozen=True)
@@ -74,15 +73,15 @@ def skills(rows: DataFrame, config: Config) -> DataFrame:
     """vacancy_id, skill_phrase, frequency, tfidf_weight of the first distinct terms that come in enough vacancies."""
     kept = rows.where(F.length(F.trim("description")) >= 20)
     pairs = kept.select("vacancy_id", F.explode(F.slice(tokens(F.col("description")), 1, config.max_skills)).alias("skill_phrase"))
-    weighted = tfidf(frequent(pairs, "skill_phrase", config.min_document_frequency), "vacancy_id", "skill_phrase")
+    weighted = tfidf(frequent(pairs, "skill_phrase", config.min_document_frequency), "vacancy_id")
     return weighted.select("vacancy_id", "skill_phrase", F.lit(1).alias("frequency"), F.round("weight", 6).alias("tfidf_weight"))
 
 
 def roles(rows: DataFrame, config: Config, scorers: Scorers = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """title, role of distinct titles (leaders within blocks of their first letters), and role, label, centroid, members."""
+    """title, role of distinct titles (greedy leaders over all titles), and role, label, centroid, members."""
     titles = rows.select("title").where("title <> ''").groupBy("title").agg(F.count("*").alias("n"))
-    vectors = scorers.embed(titles.select("title")).join(titles, "title").withColumn("block", F.lower(F.substring("title", 1, 3)))
-    leaders = clusters.greedy_leaders(vectors, "block", "title", "n", "embedding", 0.6)
+    vectors = scorers.embed(titles.select("title")).join(titles, "title")
+    leaders = clusters.greedy_leaders(vectors, "title", "n", "embedding", 0.6)
     named = leaders.select("title", F.col("leader").alias("role"))
     found = clusters.centroids(vectors.join(named, "title"), "role", "embedding")
     return named, found.withColumnRenamed("members", "member_count")

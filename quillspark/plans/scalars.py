@@ -14,17 +14,47 @@ def clean_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(F.coalesce(tx.clean_html(F.col("html")), F.lit(""))).alias("text_md5"))
 
 
-@query(r"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_custkey % 9) || '-' || (o_custkey % 9 + 4) || ' years' WHEN 1 THEN (o_custkey % 12) || '+ years' WHEN 2 THEN 'no' ELSE 'about ' || (o_custkey % 7) || ' year' END AS s FROM orders)
-SELECT o_orderkey, coalesce((nullif(regexp_extract(s, '(\d+)-(\d+) years', 1), '')::DOUBLE + nullif(regexp_extract(s, '(\d+)-(\d+) years', 2), '')::DOUBLE) / 2, nullif(regexp_extract(s, '(\d+)\+? years?', 1), '')::DOUBLE) AS years FROM t""")
+_SAID = (
+    "Опыт работы от # лет", "требуемый опыт #-9 лет", "стаж работы: # года", "Опыт: от # лет в лаборатории", "от 1-# года, нужен опыт", "без требований",
+    "Нет опыта", "#-7 years", "от # до 8 лет", "#.5 yrs", "entry level, # years", "Кандидат наук, магистратура", "Неполное высшее", "высшее образование",
+    "среднее специальное", "PhD or M.Sc. in physics", "Bachelor's degree", "high school diploma", "АСПИРАНТ", "доктор  наук",
+)
+_SAID_SQL = "t AS (SELECT o_orderkey, replace([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SAID) + f"][1 + o_orderkey % {len(_SAID)}], '#', (o_custkey % 12)::VARCHAR) AS s FROM orders)"
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a phrase about experience or education each, a number in it."""
+    phrases = F.array(*[F.lit(x) for x in _SAID])
+    phrase = F.element_at(phrases, (F.col("o_orderkey") % len(_SAID) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.replace(phrase, F.lit("#"), (F.col("o_custkey") % 12).cast("string")).alias("s"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_YEARS_SQL = ", ".join(
+    f"CASE WHEN regexp_matches(regexp_extract(lower(s), {_quoted(p)}, 2), '^[0-9]+$') THEN (regexp_extract(lower(s), {_quoted(p)}, 1)::DOUBLE + TRY_CAST(regexp_extract(lower(s), {_quoted(p)}, 2) AS DOUBLE)) / 2 "
+    f"ELSE TRY_CAST(regexp_extract(lower(s), {_quoted(p)}, 1) AS DOUBLE) END"
+    for p in tx.EXPERIENCE
+)
+
+
+@query(f"WITH {_SAID_SQL} SELECT o_orderkey, coalesce({_YEARS_SQL}) AS years FROM t")
 def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, k = F.col("o_custkey"), F.col("o_orderkey") % 4
-    s = (
-        F.when(k == 0, F.concat((n % 9).cast("string"), F.lit("-"), (n % 9 + 4).cast("string"), F.lit(" years")))
-        .when(k == 1, F.concat((n % 12).cast("string"), F.lit("+ years")))
-        .when(k == 2, "no")
-        .otherwise(F.concat(F.lit("about "), (n % 7).cast("string"), F.lit(" year")))
-    )
-    return table(spark, sf_dir, "orders").select("o_orderkey", tx.experience_years(s).alias("years"))
+    return _said(spark, sf_dir).select("o_orderkey", tx.experience_years(F.col("s")).alias("years"))
+
+
+_NONE_SQL = " OR ".join(f"contains(lower(trim(s)), {_quoted(x)})" for x in tx.NO_EXPERIENCE)
+_RANGE = tx.YEARS.replace("(?iu)", "(?i)")
+
+
+@query(f"""WITH {_SAID_SQL} SELECT o_orderkey, CASE WHEN {_NONE_SQL} THEN 0 ELSE TRY_CAST(regexp_extract(s, {_quoted(_RANGE)}, 1) AS DOUBLE) END AS low,
+CASE WHEN {_NONE_SQL} THEN 0 ELSE TRY_CAST(regexp_extract(s, {_quoted(_RANGE)}, 2) AS DOUBLE) END AS high FROM t""")
+def experience_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and most years that a phrase asks for."""
+    found = _said(spark, sf_dir).select("o_orderkey", tx.experience_range(F.col("s")).alias("r"))
+    return found.select("o_orderkey", F.col("r.min").alias("low"), F.col("r.max").alias("high"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders""")
@@ -84,9 +114,9 @@ def years_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.years_word(F.col("p_size")).alias("word"))
 
 
-@query(r"""WITH m AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'PhD' WHEN 1 THEN 'магистр' WHEN 2 THEN 'Bachelor' WHEN 3 THEN 'ВЫСШЕЕ' WHEN 4 THEN 'college' ELSE '' END || ' нужен' AS s FROM conversations)
-SELECT conv_id, turn, CASE WHEN regexp_matches(s, '(?i)phd') THEN 'phd' WHEN regexp_matches(s, '(?i)магистр') THEN 'master' WHEN regexp_matches(s, '(?i)bachelor') THEN 'bachelor' WHEN regexp_matches(s, '(?i)высшее') THEN 'higher' WHEN regexp_matches(s, '(?i)college') THEN 'secondary' END AS level FROM m""")
+_LEVEL_SQL = " ".join(f"WHEN regexp_matches(s, {_quoted(p)}) THEN '{name}'" for p, name in tx.EDUCATION)
+
+
+@query(f"WITH {_SAID_SQL} SELECT o_orderkey, CASE {_LEVEL_SQL} END AS level FROM t")
 def education_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array(*[F.lit(x) for x in ("PhD", "магистр", "Bachelor", "ВЫСШЕЕ", "college", "")])
-    s = F.concat(F.element_at(words, ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")), F.lit(" нужен"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.education_level(s).alias("level"))
+    return _said(spark, sf_dir).select("o_orderkey", tx.education_level(F.col("s")).alias("level"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import axes, sets
 from quillspark.operators import schemes as sc
-from quillspark.operators import sets
 from quillspark.plans.registry import query, table
 from quillspark.plans.sets import _baskets
 
@@ -33,35 +33,24 @@ def scheme_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.per_group(pairs, "g", run, "coverage double, separation double, coherence double, combined double")
 
 
-@query("""WITH n AS (SELECT n_name AS role, count(*) AS members FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY members) AS pos, count(*) OVER () AS total FROM n),
-c AS (SELECT g, (SELECT members FROM r WHERE pos = greatest((total * g) // 5, 1) LIMIT 1) AS cut FROM (VALUES (1), (2), (3), (4)) v(g))
-SELECT role, members, 1 + (SELECT count(*) FROM c WHERE members >= cut) AS grade FROM n""")
+@query("""WITH n AS (SELECT n_name AS role, count(c_custkey) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), l AS (SELECT list_sort(list(members)) AS lo, count(*) AS n FROM n)
+SELECT role, members, CASE WHEN members <= 0 THEN 0 WHEN members >= lo[n * 4 // 5] THEN 4 WHEN members >= lo[n * 3 // 5] THEN 3 WHEN members >= lo[n * 2 // 5] THEN 2 WHEN members >= lo[n // 5] THEN 1 ELSE 0 END AS grade FROM n, l""")
 def quintile_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A role's grade is 1 more than the number of fifths' cuts that its members reach."""
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    n = rows.groupBy(F.col("n_name").alias("role")).agg(F.count("*").alias("members"))
-    sizes = n.agg(F.array_sort(F.collect_list("members")).alias("sorted"))  # one number for each role
-    cut = lambda g: F.element_at("sorted", F.greatest(F.floor(F.size("sorted") * F.lit(g) / 5).cast("int"), F.lit(1)))
-    grade = sum((F.when(F.col("members") >= cut(g), 1).otherwise(0) for g in (1, 2, 3, 4)), F.lit(1))
-    return n.crossJoin(F.broadcast(sizes)).select("role", "members", grade.cast("long").alias("grade"))
+    """Grades 0 to 4 of nations by their customers."""
+    customers = table(spark, sf_dir, "customer")
+    rows = table(spark, sf_dir, "nation").join(customers, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    n = rows.groupBy(F.col("n_name").alias("role")).agg(F.count("c_custkey").alias("members"))
+    return axes.graded(n).select("role", "members", "grade")
 
 
-@query("""WITH k AS (SELECT p_brand AS axis, p_type AS category, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, n / sum(n) OVER (PARTITION BY axis)::DOUBLE AS share, row_number() OVER (PARTITION BY axis ORDER BY n DESC, category) AS pos FROM k),
-p AS (SELECT axis, max(CASE WHEN pos = 1 THEN category END) AS c1, max(CASE WHEN pos = 2 THEN category END) AS c2, max(CASE WHEN pos = 3 THEN category END) AS c3, max(CASE WHEN pos = 1 THEN share END) AS s1, max(CASE WHEN pos = 2 THEN share END) AS s2 FROM r GROUP BY axis)
-SELECT axis, CASE WHEN s1 >= 0.5 OR c2 IS NULL THEN c1 WHEN s2 >= 0.3 OR c3 IS NULL THEN c1 || ' / ' || c2 ELSE c1 || ', ' || c2 || ', ' || c3 END AS name FROM p""")
+@query("""WITH k AS (SELECT p_brand AS axis, p_partkey AS pos, p_name AS skill, nullif(split_part(p_type, ' ', 1), 'PROMO') AS category FROM part), t AS (SELECT axis, count(*) AS n, list(skill ORDER BY pos)[1:3] AS f FROM k GROUP BY axis),
+r AS (SELECT axis, category, count(*) AS n, min(pos) AS pos FROM k WHERE category IS NOT NULL GROUP BY 1, 2), c AS (SELECT axis, list(category ORDER BY n DESC, pos) AS cs, max(n) AS top FROM r GROUP BY axis)
+SELECT axis, CASE WHEN top / n::DOUBLE >= 0.5 THEN cs[1] WHEN len(cs) >= 2 AND top / n::DOUBLE >= 0.3 THEN cs[1] || ' + ' || cs[2] WHEN length(array_to_string(f, ', ')) > 60 THEN array_to_string(f[1:2], ', ') ELSE array_to_string(f, ', ') END AS name FROM t LEFT JOIN c USING (axis)""")
 def axis_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A majority category names an axis, else two with a large share, else three."""
-    counts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("axis"), F.col("p_type").alias("category")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("axis"))
-    ranked = counts.withColumn("share", share).withColumn("pos", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("n"), F.asc("category"))))
-    at = lambda c, i: F.max(F.when(F.col("pos") == i, F.col(c)))
-    wide = ranked.groupBy("axis").agg(*[at("category", i).alias(f"c{i}") for i in (1, 2, 3)], at("share", 1).alias("s1"), at("share", 2).alias("s2"))
-    name = (
-        F.when((F.col("s1") >= 0.5) | F.col("c2").isNull(), F.col("c1"))
-        .when((F.col("s2") >= 0.3) | F.col("c3").isNull(), F.concat_ws(" / ", "c1", "c2"))
-        .otherwise(F.concat_ws(", ", "c1", "c2", "c3"))
-    )
-    return wide.select("axis", name.alias("name"))
+    """Brands named by the first words of their parts' types, or by their first parts."""
+    category = F.nullif(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("PROMO"))
+    skills = table(spark, sf_dir, "part").select(F.col("p_brand").alias("axis"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("skill"), category.alias("category"))
+    return axes.axis_names(skills)
 
 
 @query("""SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source < 'src5')""")

@@ -1,6 +1,6 @@
 """Overlap of skill sets between groups, and co-occurrence of skills in baskets.
 
-Segments of customers stand for specialties, the brands of the parts they order for skills.
+Segments of customers stand for specialties, the kinds of the parts they order for skills.
 """
 
 from __future__ import annotations
@@ -12,20 +12,20 @@ from quillspark.operators import sets
 from quillspark.plans.registry import query, table
 
 _COUNTS = """
-k AS (SELECT c_mktsegment AS specialty, p_brand || '/' || p_type AS skill, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40 GROUP BY 1, 2)
+k AS (SELECT c_mktsegment AS specialty, p_brand || '/' || p_type || '/' || p_size AS skill, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
 """
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
-    lines = t("lineitem").where("l_quantity > 40").select("l_orderkey", "l_partkey")
+    lines = t("lineitem").select("l_orderkey", "l_partkey")
     joined = (
         lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(t("part").select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     )
-    return joined.groupBy(F.col("c_mktsegment").alias("specialty"), F.concat_ws("/", "p_brand", "p_type").alias("skill")).agg(F.count("*").alias("cnt"))
+    return joined.groupBy(F.col("c_mktsegment").alias("specialty"), F.concat_ws("/", "p_brand", "p_type", "p_size").alias("skill")).agg(F.count("*").alias("cnt"))
 
 
 @query(f"""WITH {_COUNTS}, z AS (SELECT specialty, count(*) AS n FROM k GROUP BY 1),

@@ -19,7 +19,7 @@ w AS (SELECT p.*, ln(1 + (SELECT count(DISTINCT doc_id) FROM p) / df::DOUBLE) /
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return text.tfidf(text.frequent(text.pairs(docs, "doc_id", "text", keep=("source", "lang")), "term", _LEAST), "doc_id", "term")
+    return text.tfidf(text.frequent(text.pairs(docs, "doc_id", "text", keep=("source", "lang")), "term", _LEAST), "doc_id")
 
 
 @query(f"WITH {_PAIRS} SELECT doc_id, term, round(weight, 6) AS weight FROM w")

@@ -53,18 +53,19 @@ def cluster_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.separation(_centres(spark, sf_dir), "label").select(F.round("separation", 6).alias("separation"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v), 6) AS similarity FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_dot_product(x.v, y.v) >= 0.85""")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v), 6) AS similarity FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_dot_product(x.v, y.v) >= 0.45""")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one label at cosine 0.85 or more (the vectors have length one)."""
-    found = clusters.similar_pairs(_vectors(spark, sf_dir), "vec_id", "embedding", "label", 0.85)
+    """All pairs at cosine 0.45 or more (the vectors have length one; none here comes near the 0.85 of dedup)."""
+    found = clusters.similar_pairs(_vectors(spark, sf_dir), "vec_id", "embedding", 0.45)
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _vectors(spark, sf_dir).select("label", "vec_id", (F.col("vec_id") % 7).alias("frequency"), "embedding")
-    return clusters.greedy_leaders(rows, "label", "vec_id", "frequency", "embedding", 0.85)
+    """Leaders at cosine 0.45 over all vectors; tests hold it against a loop over all rows."""
+    rows = _vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 7).alias("frequency"), "embedding")
+    return clusters.greedy_leaders(rows, "vec_id", "frequency", "embedding", 0.45)
 
 
 @query(
