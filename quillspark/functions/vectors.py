@@ -15,7 +15,8 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column, eps: float = 1e-12) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + eps))
+    # an array of one binds the length, which is then computed once a vector
+    return F.transform(F.array(norm(a) + eps), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

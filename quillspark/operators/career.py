@@ -21,12 +21,45 @@ def similarities(profile: DataFrame) -> DataFrame:
 
 
 def transitions(profile: DataFrame, least: float = 0.5, most: float = 20.0, keep: int = 2, digits: int = 6) -> DataFrame:
-    """source, target, cosine, gap, rank: of roles that share a dominant axis, the `keep` likest within the gap."""
+    """source, target, cosine, gap, rank, fallback: of roles that share a dominant axis, the `keep` likest within the
+    gap; a source without any has the likest of all other roles as its fallback."""
     dominant = top(profile, ["role"], [F.desc("proficiency"), F.asc("axis")], 2).select("role", "axis")
     side = lambda k: dominant.select(F.col("role").alias(k), "axis")
     shared = side("source").join(side("target"), "axis").where("source <> target").select("source", "target").distinct()
-    near = similarities(profile).join(shared, ["source", "target"]).select("source", "target", F.round("cosine", digits).alias("cosine"), F.round("gap", digits).alias("gap"))
-    return top(near.where((F.col("cosine") >= least) & (F.col("gap") <= most)), ["source"], [F.desc("cosine"), F.asc("gap"), F.asc("target")], keep)
+    rounded = similarities(profile).select("source", "target", F.round("cosine", digits).alias("cosine"), F.round("gap", digits).alias("gap"))
+    order = [F.desc("cosine"), F.asc("gap"), F.asc("target")]
+    near = rounded.join(shared, ["source", "target"]).where((F.col("cosine") >= least) & (F.col("gap") <= most))
+    kept = top(near, ["source"], order, keep)
+    rest = top(rounded.join(kept.select("source").distinct(), "source", "left_anti"), ["source"], order, 1)
+    return kept.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
+
+
+# Fixed value: what leadership asks for.
+LEADERSHIP = {"management": 4.0, "domain_knowledge": 4.0}
+
+
+def leadership(profile: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
+    """source, target (-1), gap of every role: how far its juniors are from what leadership asks for."""
+    need = F.create_map(*[F.lit(x) for kv in (target or LEADERSHIP).items() for x in kv])
+    missing = F.greatest(F.lit(0.0), F.try_element_at(need, F.col("axis")) - F.col("junior"))
+    return juniors(profile).groupBy(F.col("role").alias("source")).agg(F.round(F.sum(missing), 6).alias("gap")).select("source", F.lit("-1").alias("target"), "gap")
+
+
+def best_switch(profile: DataFrame, target: dict[str, float] | None = None, **limits) -> DataFrame:
+    """source, target, gap: of each role's transitions the one of the least gap, else leadership."""
+    found = top(transitions(profile, **limits), ["source"], [F.asc("gap"), F.asc("target")], 1, "nth").select("source", "target", "gap")
+    rest = leadership(profile, target).join(found.select("source"), "source", "left_anti")
+    return found.unionByName(rest)
+
+
+def stage_teams(residents: DataFrame, keep: int = 4, support: int = 2) -> DataFrame:
+    """stage, role, grade, place of residents (role, stage, members, grade, transversal): the `keep` largest of each
+    stage by members (then role), and after them the largest transversal role, at grade `support`, in every stage."""
+    own = top(residents.where("not transversal and stage is not null"), ["stage"], [F.desc("members"), F.asc("role")], keep, "place")
+    best = residents.where("transversal").agg(F.min_by("role", F.struct(-F.col("members"), "role")).alias("role")).where("role is not null")
+    stages = residents.where("stage is not null").select("stage").distinct()
+    helpers = stages.crossJoin(F.broadcast(best)).select("stage", "role", F.lit(support).alias("grade"), F.lit(keep + 1).alias("place"))
+    return own.select("stage", "role", "grade", "place").unionByName(helpers)
 
 
 # The share of the peak that a junior has, and the power of the growth curve, by axis.

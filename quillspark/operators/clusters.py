@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.vectors import cosine, norm
+from quillspark.functions.vectors import cosine, norm, normalised
 
 
 def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
@@ -88,7 +88,7 @@ def davies_bouldin(rows: DataFrame, label: str, vector: str) -> DataFrame:
 def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: float) -> DataFrame:
     """key, leader, weight: in falling weight (then key) a row joins the first leader at `least` cosine or more, else
     leads. Only rows that are similar to another, with the links between them, meet in one task."""
-    unit = F.transform(vector, lambda x: x.cast("double") / (norm(F.col(vector)) + 1e-12))
+    unit = normalised(F.col(vector))
     links = similar_pairs(rows.select(key, unit.alias("__v")), key, "__v", least - 1e-9)
     of = lambda k: rows.select(F.col(key).alias(k), F.col(weight).cast("double").alias(f"w_{k}"))
     known = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("g", F.lit(0))

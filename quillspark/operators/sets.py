@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.text import top
@@ -35,14 +35,25 @@ def unique(rows: DataFrame, group: str, item: str, count: str, least: int, elsew
     return kept.where((F.col("lo").isNull()) | ((F.col("lo") == F.col(group)) & (F.col("hi") == F.col(group)))).select(group, item, count)
 
 
-def differentiating(rows: DataFrame, group: str, item: str, count: str, n: int) -> DataFrame:
-    """a, b, item, score, rank: the n items of each pair of groups with the greatest count in a / (1 + count in b)."""
+def differences(rows: DataFrame, group: str, item: str, count: str) -> DataFrame:
+    """a, b, item, score: the count in a / (1 + count in b) of the items of a, for each ordered pair of groups, of which
+    there are few."""
     groups = rows.select(F.col(group).alias("b")).distinct()
     own = rows.select(F.col(group).alias("a"), item, F.col(count).alias("n_a"))
     other = rows.select(F.col(group).alias("b"), item, F.col(count).alias("n_b"))
-    paired = own.join(F.broadcast(groups), F.col("a") != F.col("b")).join(other, ["b", item], "left")
-    scored = paired.select("a", "b", item, F.round(F.col("n_a") / (1.0 + F.coalesce("n_b", F.lit(0))), 4).alias("score"))
-    return top(scored, ["a", "b"], [F.desc("score"), F.asc(item)], n)
+    paired = own.join(groups, F.col("a") != F.col("b")).join(other, ["b", item], "left")
+    return paired.select("a", "b", item, F.round(F.col("n_a") / (1.0 + F.coalesce("n_b", F.lit(0))), 4).alias("score"))
+
+
+def differentiating(rows: DataFrame, group: str, item: str, count: str, n: int) -> DataFrame:
+    """a, b, item, score, rank: the n items of each pair of groups with the greatest score."""
+    return top(differences(rows, group, item, count), ["a", "b"], [F.desc("score"), F.asc(item)], n)
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two array columns as sets; 1 where both are empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
 def cooccurrence(rows: DataFrame, basket: str, item: str) -> DataFrame:

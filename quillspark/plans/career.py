@@ -13,8 +13,9 @@ from quillspark.plans.registry import query, table
 @query(f"""WITH {_PROFILE}, d AS (SELECT role, axis FROM prof QUALIFY row_number() OVER (PARTITION BY role ORDER BY proficiency DESC, axis) <= 2),
 h AS (SELECT DISTINCT x.role AS source, y.role AS target FROM d x JOIN d y USING (axis) WHERE x.role <> y.role),
 sm AS (SELECT x.role AS source, y.role AS target, round(sum(x.proficiency * y.proficiency) / sqrt(sum(x.proficiency ^ 2) * sum(y.proficiency ^ 2)), 6) AS cosine,
-  round(sum(greatest(0.0, y.proficiency - x.proficiency)), 6) AS gap FROM prof x JOIN prof y USING (axis) WHERE x.role <> y.role GROUP BY 1, 2)
-SELECT source, target, cosine, gap, row_number() OVER (PARTITION BY source ORDER BY cosine DESC, gap, target) AS rank FROM sm JOIN h USING (source, target) WHERE cosine >= 0.5 AND gap <= 20 QUALIFY rank <= 2""")
+  round(sum(greatest(0.0, y.proficiency - x.proficiency)), 6) AS gap FROM prof x JOIN prof y USING (axis) WHERE x.role <> y.role GROUP BY 1, 2),
+k AS (SELECT source, target, cosine, gap, row_number() OVER (PARTITION BY source ORDER BY cosine DESC, gap, target) AS rank, false AS fallback FROM sm JOIN h USING (source, target) WHERE cosine >= 0.5 AND gap <= 20 QUALIFY rank <= 2)
+SELECT * FROM k UNION ALL SELECT source, target, cosine, gap, row_number() OVER (PARTITION BY source ORDER BY cosine DESC, gap, target) AS rank, true FROM sm WHERE source NOT IN (SELECT source FROM k) QUALIFY rank = 1""")
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return career.transitions(profile(spark, sf_dir))
 
@@ -50,6 +51,27 @@ def role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return career.matched(_named(spark, sf_dir), vectors)
 
 
+@query(f"""WITH {_PROFILE}, {_NAMED}, need(axis, n) AS (VALUES ('management', 4.0::DOUBLE), ('domain_knowledge', 4.0))
+SELECT role AS source, '-1' AS target, round(sum(greatest(0.0, n - j)), 6) AS gap FROM j JOIN need USING (axis) GROUP BY role""")
+def leadership_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return career.leadership(_named(spark, sf_dir))
+
+
+_TIGHT = """d AS (SELECT role, axis FROM n WHERE true QUALIFY row_number() OVER (PARTITION BY role ORDER BY proficiency DESC, axis) <= 2),
+h AS (SELECT DISTINCT x.role AS source, y.role AS target FROM d x JOIN d y USING (axis) WHERE x.role <> y.role),
+sm AS (SELECT x.role AS source, y.role AS target, round(sum(x.proficiency * y.proficiency) / sqrt(sum(x.proficiency ^ 2) * sum(y.proficiency ^ 2)), 6) AS cosine,
+  round(sum(greatest(0.0, y.proficiency - x.proficiency)), 6) AS gap FROM n x JOIN n y USING (axis) WHERE x.role <> y.role GROUP BY 1, 2),
+k AS (SELECT source, target, cosine, gap FROM sm JOIN h USING (source, target) WHERE cosine >= 0.97 AND gap <= 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY cosine DESC, gap, target) <= 2),
+r AS (SELECT * FROM k UNION ALL SELECT * FROM sm WHERE source NOT IN (SELECT source FROM k) QUALIFY row_number() OVER (PARTITION BY source ORDER BY cosine DESC, gap, target) = 1)"""
+
+
+@query(f"""WITH {_PROFILE}, {_NAMED}, n AS (SELECT role, axis, proficiency FROM j), {_TIGHT}
+SELECT source, target, gap FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY gap, target) = 1""")
+def best_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transition of the least gap of each role, under limits so tight that some roles need the fallback."""
+    return career.best_switch(_named(spark, sf_dir), least=0.97, most=2.0)
+
+
 _STAGES = {"early": {"a1": 5, "a2": 1, "a3": 1}, "middle": {"a4": 4, "a5": 4}, "late": {"a6": 5, "a7": 3}}
 
 
@@ -73,3 +95,42 @@ def stage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT role, axis, round(best - proficiency, 4) AS gap, row_number() OVER (PARTITION BY role ORDER BY round(best - proficiency, 4) DESC, axis) AS rank FROM prof JOIN b USING (axis) QUALIFY rank <= 3""")
 def growth_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return career.top_gaps(profile(spark, sf_dir))
+
+
+_TEAMS = """mb AS (SELECT n_name AS role, count(c_custkey) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), lo AS (SELECT list_sort(list(members)) AS lo, count(*) AS n FROM mb),
+gr AS (SELECT role, members, CASE WHEN members <= 0 THEN 0 WHEN members >= lo[n * 4 // 5] THEN 4 WHEN members >= lo[n * 3 // 5] THEN 3 WHEN members >= lo[n * 2 // 5] THEN 2 WHEN members >= lo[n // 5] THEN 1 ELSE 0 END AS grade FROM mb, lo),
+dm AS (SELECT role, bool_or(axis IN ('a5', 'a6')) AS transversal FROM (SELECT role, axis FROM prof QUALIFY row_number() OVER (PARTITION BY role ORDER BY proficiency DESC, axis) <= 2) GROUP BY role),
+st AS (SELECT n_name AS role, r_name AS stage FROM nation JOIN region ON n_regionkey = r_regionkey), rs AS (SELECT role, stage, members, grade, transversal FROM gr JOIN dm USING (role) JOIN st USING (role))"""
+
+
+def _residents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with their region as stage, customers as members, and two axes that make a role transversal."""
+    from quillspark.operators import axes
+    from quillspark.operators.text import top
+
+    nations, customers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    counts = nations.join(customers, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("role")).agg(F.count("c_custkey").alias("members"))
+    dominant = top(profile(spark, sf_dir), ["role"], [F.desc("proficiency"), F.asc("axis")], 2)
+    transversal = dominant.groupBy("role").agg(F.max(F.col("axis").isin("a5", "a6")).alias("transversal"))
+    stages = nations.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("role"), F.col("r_name").alias("stage"))
+    return axes.graded(counts).join(transversal, "role").join(stages, "role").select("role", "stage", "members", "grade", "transversal")
+
+
+@query(f"""WITH {_PROFILE}, {_TEAMS}, o AS (SELECT stage, role, grade, row_number() OVER (PARTITION BY stage ORDER BY members DESC, role) AS place FROM rs WHERE NOT transversal QUALIFY place <= 4),
+b AS (SELECT role FROM rs WHERE transversal ORDER BY members DESC, role LIMIT 1)
+SELECT stage, role, grade, place FROM o UNION ALL SELECT DISTINCT stage, b.role, 2, 5 FROM rs, b""")
+def stage_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return career.stage_teams(_residents(spark, sf_dir))
+
+
+@query(f"WITH {_PROFILE}, {_TEAMS} SELECT stage, grade, role AS title FROM rs WHERE NOT transversal")
+def role_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell of each role that belongs to one stage."""
+    return _residents(spark, sf_dir).where("not transversal").select("stage", "grade", F.col("role").alias("title"))
+
+
+@query(f"WITH {_PROFILE}, {_TEAMS} SELECT role, grade, role AS label FROM (SELECT role FROM rs WHERE transversal), (SELECT unnest(range(5))::INTEGER AS grade)")
+def transversal_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transversal roles have their label at every grade."""
+    roles = _residents(spark, sf_dir).where("transversal").select("role")
+    return roles.select("role", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("grade")).withColumn("label", F.col("role"))

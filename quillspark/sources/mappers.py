@@ -153,3 +153,24 @@ def archive_rows(rows: DataFrame, fields: str = "fields") -> DataFrame:
     at = lambda i: F.nullif(F.try_element_at(F.col(fields), F.lit(i + 1)), F.lit(""))
     decoded = rows.select(*[at(i).alias(n) for i, n in enumerate(names)])
     return decoded.where("timestamp is not null and timestamp <> 'timestamp'")
+
+
+# Experience codes and their labels.
+EXPERIENCE_LABELS = {"noExperience": "Нет опыта", "between1And3": "От 1 года до 3 лет", "between3And6": "От 3 до 6 лет", "moreThan6": "Более 6 лет"}
+
+
+def experience_label(code: Column) -> Column:
+    """The label of an experience code; null for another."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in EXPERIENCE_LABELS.items() for x in kv]), code)
+
+
+def publication_day(value: Column) -> Column:
+    """A date as text, whether written plainly or as an object with $date."""
+    return F.coalesce(F.get_json_object(value, "$['$date']"), value)
+
+
+def valid_roles(roles: Column) -> Column:
+    """The roles of a JSON list whose id is a whole number and whose name isn't empty, as {id, name}."""
+    parsed = F.from_json(roles, "array<struct<id: string, name: string>>")
+    typed = F.transform(F.coalesce(parsed, F.array()), lambda r: F.struct(r["id"].try_cast("int").alias("id"), r["name"].alias("name")))
+    return F.filter(typed, lambda r: r["id"].isNotNull() & (F.trim(r["name"]) != ""))
