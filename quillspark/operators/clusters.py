@@ -105,10 +105,10 @@ def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: f
         for k in order:
             above = [x for x in near.get(k, []) if leader[x] == x]
             leader[k] = min(above, key=order.get) if above else k
-        return pd.DataFrame({"k": list(leader), "leader": list(leader.values())})
+        return pd.DataFrame({"__k": list(leader), "__leader": list(leader.values())})
 
-    found = known.groupBy("g").applyInPandas(lead, f"k {kind}, leader {kind}")
-    return rows.select(key, weight).join(found, F.col(key) == F.col("k"), "left").select(key, F.coalesce("leader", key).alias("leader"), weight)
+    found = known.groupBy("g").applyInPandas(lead, f"__k {kind}, __leader {kind}")
+    return rows.select(key, weight).join(found, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__leader", key).alias("leader"), weight)
 
 
 def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:

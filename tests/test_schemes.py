@@ -12,7 +12,9 @@ def test_distances_and_schemes():
     assert d[0, 1] == 1 - 8 / 12 and (np.diag(d) == 0).all() and (d == d.T).all()
     good, bad = sc.scheme(COUNTS, np.array([0, 0, 1, 1])), sc.scheme(COUNTS, np.array([0, 1, 0, 1]))
     assert good["combined"] > bad["combined"] and good["coverage"] == 1.0
-    assert sc.scheme(COUNTS, np.arange(4))["combined"] == 0.001
+    assert good["coherence"] == 18.5 / 2 / 0.5 and good["separation"] == 1.0
+    # no axis has two skills: three of four measures are at their floor, separation is 1, and k = n halves the mean
+    assert np.isclose(sc.scheme(COUNTS, np.arange(4))["combined"], 4 / 3001 / 2)
 
 
 def test_counts_and_significance():
@@ -29,5 +31,20 @@ def test_rand_index_and_stability():
     assert sc.stability(np.stack([a, a, a], axis=1))[0] == 1.0 and sc.stability(np.zeros((1, 2), int)) == (0.0, 0.0, 0.0)
 
 
-def test_power():
-    assert sc.power(3, 5.0) == 0.0 and sc.power(20, 4.0) > 0.9 > 0.2 > sc.power(10, 0.0)
+def test_evaluation():
+    rng = np.random.default_rng(3)
+    group = np.repeat(np.arange(3), 6)
+    counts = np.where(group[:, None] == group[None, :], 40, 2) + rng.integers(0, 3, (18, 18))
+    counts = (counts + counts.T) / 2
+    np.fill_diagonal(counts, 50)
+    found = sc.evaluated(counts, range(2, 6), draws=30)
+    assert found["optimal"].sum() == 1 and found["stability"].idxmax() == 1 and found["stability"][1] > 0.9
+    assert np.isclose(found["combined"][1], sc.combined(1.0, 1.0, found["stability"][1], found["coherence"][1], 3, 18))
+    assert (found["combined_low"] <= found["combined_high"]).all()
+
+
+def test_names():
+    skills = ["a", "b", "c", "d", "e"]
+    found = sc.names(skills, {"a": "X", "b": "X", "c": "X"}, [{"a"}, set(skills)], draws=20).set_index("strategy")
+    assert found["name"].to_dict() == {"top3": "a, b, c", "top1": "a", "heuristic": "X"}
+    assert (found["distinctiveness"] == 1 - 1 / 5).all() and found["optimal"].sum() == 1
