@@ -11,18 +11,22 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of the batches that Python workers get at once.
+BATCH = 8 << 20
 #: Rows of a partition of a gathered table, and of the largest table of numbers that is broadcast (32 MB at most).
 ROWS, SENT = 1 << 18, 1 << 19
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers of the application, which needn't have it on their path."""
+    """Gives this package to the Python workers of the application, which needn't have it on their path, and bounds the
+    bytes of their batches: a few long texts are then no more to hold than many short ones."""
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         to = Path(tempfile.mkdtemp(prefix="quillspark-")) / package.name
         context.addPyFile(shutil.make_archive(str(to), "zip", package.parent, package.name))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
         _SHIPPED.add(context.applicationId)
 
 

@@ -257,6 +257,125 @@ def test_query_rows(spark, name):
     assert got.select("doc_id").exceptAll(docs.select("doc_id")).isEmpty() and got.count() == docs.count()
 
 
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def test_ids_of_all_pieces(spark):
+    """Every piece's checksum against the tokenizers library, and the layout of sequences."""
+    P = pytest.importorskip("public_tokenizers")
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in documents(spark).collect()}
+    seen, sequences = {}, {}
+    for r in queries.op9_packing(spark, DATA).collect():
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(seen) == set(ids)
+    for pieces, whole in [(p, len(ids[i])) for i, p in seen.items()] + [(p, None) for p in sequences.values()]:
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at and n > 0
+            at += n
+        assert at == whole if whole else at <= 1024
+
+
+def test_three_limits_bind(spark):
+    rows = [(i, "some words of a text " * (1 + i * 7 % 40), 0.25 * (i % 5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bearing double")
+    pieces = packing.pack_documents(docs, tokens=256, segments=4, loss=100, share=F.col("bearing")).collect()
+    share, sequences, total = {i: s for i, _, s in rows}, {}, Counter()
+    for r in pieces:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        total[r.doc_id] += r.length
+    assert all(total[r.doc_id] == r.doc_tokens for r in pieces)
+    full = [0, 0, 0]
+    for own in sequences.values():
+        loss = sum(r.length * int(r.doc_tokens * share[r.doc_id]) / r.doc_tokens for r in own)
+        assert sum(r.length for r in own) <= 256 and len(own) <= 4 and loss <= 100 + 1e-6
+        full = [f + x for f, x in zip(full, (sum(r.length for r in own) == 256, len(own) == 4, loss > 95))]
+    assert all(full)
+
+
+def test_gif_digests(spark):
+    import hashlib
+
+    got = {r.doc_id: r for r in queries.op6_gif(spark, DATA).collect()}
+    media = {}
+    for r in documents(spark).collect():
+        raw = (r.text or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
+        d = got[r.doc_id]
+        assert (d.n_bytes, d.payload_bytes, d.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert d.tail_crc32 == zlib.crc32(payload[-32:]) and media.setdefault(r.text, (d.media_bytes, d.media_sha256, d.feature)) == (d.media_bytes, d.media_sha256, d.feature)
+
+
+def test_languages_of_held_out_documents(spark):
+    lang = {r.doc_id: r.lang for r in documents(spark).collect()}
+    rows = queries.op4_language(spark, DATA).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    judged = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert len(judged) > 30 and sum(judged) >= 0.97 * len(judged)
+
+
+def test_quality_of_held_out_documents(spark):
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    rows = queries.op10_quality(spark, DATA).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for r in rows)
+    good = [r.predicted for r in rows if r.held_out and quality.get(r.doc_id) == 1]
+    assert good and sum(good) >= 0.95 * len(good)
+
+
+CLASHING = ("__size", "__times", "__n", "__gone0", "__hash0", "node", "size", "row", "times", "id", "from", "share", "block", "learn", "target", "key", "part", "copies")
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    return docs.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHING)])
+
+
+def test_stages_on_odd_tables(spark, docs, empty, clashing, monkeypatch):
+    """Nulls, repeated rows, ties, long texts, no rows, and columns named as the operators might name theirs."""
+    import corpus_pipeline as p
+
+    monkeypatch.setattr("quillspark.llm.byte_cnn.STEPS", 50)
+    for table in (clashing, clashing.limit(0)):
+        n = table.count()
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, table, DATA)
+            assert out.columns == table.columns, name
+            rows = out.collect()
+            assert len(rows) <= 2 * n and all(r[c] == f"x{i}" for r in rows for i, c in enumerate(CLASHING)), name
+        packed = p.pack_sequences(spark, table, DATA)
+        assert packed.groupBy("doc_id").count().count() == table.select("doc_id").distinct().count()
+
+
+def test_operators_on_odd_tables(spark, docs, clashing):
+    from quillspark.llm import byte_cnn, gif, langid
+
+    model, network = langid.fit([("the words of one", "en"), ("les mots du texte", "fr")] * 2), byte_cnn.fit([], [])
+    runs = {
+        "fingerprint": lz_fingerprint.with_next, "classes": minhash.classes, "place": lambda d: hash_tree.place(d, hash_tree.tree(16)),
+        "mix": lambda d: mixing.mix(d, None), "language": lambda d: langid.predicted(d, model), "quality": lambda d: byte_cnn.scored(d, network),
+        "gif": lambda d: gif.digests(gif.stored(d)), "lm": lambda d: backoff_lm.scored(d, F.lit(True)),
+    }
+    want = Counter(r.doc_id for r in docs.collect())
+    for name, run in runs.items():
+        assert Counter(r.doc_id for r in run(clashing).select("doc_id").collect()) == want, name
+        assert run(clashing.limit(0)).count() == 0, name
+    pages = clashing.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *CLASHING)
+    assert html_blocks.extracted(pages).count() == docs.count() and html_blocks.extracted(pages.limit(0)).count() == 0
+    same = {}
+    for r in langid.predicted(docs, model).collect():
+        same.setdefault(r.doc_id, set()).add((r.lang_pred, r.score))
+    assert all(len(x) == 1 for x in same.values())  # repeated rows score the same
+    assert langid.fit([("w", "b"), ("w", "a")]).predict("w")[0] == "a"  # ties go to the first language
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
