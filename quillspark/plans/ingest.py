@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import store
 from quillspark.plans.registry import query, table
+from quillspark.sources import archive
 
 
 @query("""WITH a AS (SELECT doc_id AS id, 'first' AS run, n_chars FROM documents WHERE source < 'src5'), b AS (SELECT doc_id AS id, 'second' AS run, n_chars + 1 AS n_chars FROM documents WHERE source >= 'src3')
@@ -83,3 +84,46 @@ def message_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
         F.size(F.regexp_extract_all("text", F.lit(r"(#[\p{L}\d_]+)"), 1)).cast("long").alias("n_tags"),
     )
+
+
+_CAPTURES = """c AS (SELECT strftime(ts, '%Y%m%d%H%M%S') AS timestamp, CASE event_id % 3 WHEN 0 THEN 'http://www.' ELSE 'https://' END || 'Jobs.org/' || event_type || '/' || user_id || CASE event_id % 4 WHEN 0 THEN '?q=1' WHEN 1 THEN '/' ELSE '' END AS original,
+CASE WHEN event_id % 10 = 9 THEN 'image/png' ELSE 'text/html' END AS mimetype, CASE WHEN event_id % 11 = 0 THEN '404' ELSE '200' END AS statuscode FROM events),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(original), '^https?://(?:www\\.)?', ''), '[?#].*$', ''), '/$', '') AS key FROM c)"""
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as captures of an archive's index."""
+    i = F.col("event_id")
+    scheme = F.when(i % 3 == 0, "http://www.").otherwise("https://")
+    tail = F.when(i % 4 == 0, "?q=1").when(i % 4 == 1, "/").otherwise("")
+    return table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"), F.concat(scheme, F.lit("Jobs.org/"), "event_type", F.lit("/"), F.col("user_id").cast("string"), tail).alias("original"),
+        F.when(i % 10 == 9, "image/png").otherwise("text/html").alias("mimetype"), F.when(i % 11 == 0, "404").otherwise("200").alias("statuscode"),
+    )
+
+
+@query(f"""WITH {_CAPTURES} SELECT timestamp, original, mimetype, statuscode FROM k WHERE starts_with(key, 'jobs.org/view/') AND timestamp >= '20240105' AND timestamp[1:8] <= '20240120' AND statuscode = '200'
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY timestamp, original) = 1""")
+def index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest good capture of each address under a pattern in a time range."""
+    return archive.index_query(_captures(spark, sf_dir), "jobs.org/view/*", "20240105", "20240120", collapse=True)
+
+
+@query(f"""WITH {_CAPTURES}, w AS (SELECT *, make_date(2024, 1, 1) + ((strptime(timestamp[1:8], '%Y%m%d')::DATE - make_date(2024, 1, 1)) // 7 * 7)::INTEGER AS win FROM k WHERE starts_with(key, 'jobs.org/') AND statuscode = '200' AND mimetype = 'text/html' AND timestamp[1:4] = '2024'),
+f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY key, win ORDER BY timestamp, original) = 1)
+SELECT strftime(win, '%Y-%m-%d') AS first_day, timestamp, original FROM f QUALIFY row_number() OVER (PARTITION BY original ORDER BY timestamp) = 1""")
+def weekly_archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year in windows of seven days, each address once."""
+    found = archive.yearly(_captures(spark, sf_dir), "jobs.org/*", 2024)
+    return found.select(F.date_format("window", "yyyy-MM-dd").alias("first_day"), "timestamp", "original")
+
+
+@query("""SELECT source, year, CASE WHEN year BETWEEN 2013 AND 2016 THEN 'linkedin.com/jobs2/view/*' WHEN year BETWEEN 2019 AND 2026 THEN 'linkedin.com/jobs/view/*' ELSE 'none' END AS pattern, count(*) AS n
+FROM (SELECT event_type AS source, 2013 + (user_id % 14)::INTEGER AS year FROM events) GROUP BY 1, 2, 3""")
+def era_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures by source and year with the pattern of the year's era."""
+    pattern = F
+    for first, last, address in archive.ERAS:
+        pattern = pattern.when(F.col("year").between(first, last), address)
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), (F.col("user_id") % 14 + 2013).cast("int").alias("year"))
+    return rows.groupBy("source", "year", pattern.otherwise("none").alias("pattern")).agg(F.count("*").alias("n"))

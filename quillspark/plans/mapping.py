@@ -9,9 +9,9 @@ from quillspark.operators import mapping
 from quillspark.plans.registry import query, table
 
 _GLOSSARY = {
-    "metal": ("Steel", "copper ", "brass", "tin"), "colour": ("red", "blue", "green", "steel"), "size": ("small", "large", "mini"), "coat": ("polished", "plated", "anodized"),
+    "tool": ("Anvil", "gear ", "bolt", "rod"), "colour": ("red", "blue", "rod"), "size": ("small", "large"), "state": ("new", "old", "hot", "cold"),
 }
-_GIVEN = {"burnished": "coat", "unknown": "nowhere", "blue": "metal"}
+_GIVEN = {"widget": "tool", "gizmo": "nowhere", "unknown": "size", "blue": "tool"}
 _VALUES = ", ".join(f"('{axis}', '{skill}')" for axis, skills in _GLOSSARY.items() for skill in skills)
 _LETTERS = "list_transform(range(0, 26), lambda i: (length(lower({0})) - length(replace(lower({0}), chr((97 + i)::INTEGER), '')))::DOUBLE)"
 
@@ -24,7 +24,7 @@ _SCORES = f"""
 gl(axis, skill) AS (VALUES {_VALUES}), g AS (SELECT DISTINCT axis, lower(trim(skill)) AS key FROM gl),
 tg AS (SELECT key, axis, 1.0 / count(*) OVER (PARTITION BY key) AS tag FROM g),
 rs AS (SELECT DISTINCT p_brand AS role, unnest(string_split(p_name, ' ')) AS skill FROM part),
-bf AS (SELECT * FROM tg UNION ALL SELECT v.key, v.axis, 1.0 FROM (VALUES ('burnished', 'coat'), ('unknown', 'nowhere'), ('blue', 'metal')) v(key, axis)
+bf AS (SELECT * FROM tg UNION ALL SELECT v.key, v.axis, 1.0 FROM (VALUES ('widget', 'tool'), ('gizmo', 'nowhere'), ('unknown', 'size'), ('blue', 'tool')) v(key, axis)
   WHERE v.key IN (SELECT lower(trim(skill)) FROM rs) AND v.key NOT IN (SELECT key FROM tg) AND v.axis IN (SELECT axis FROM tg)),
 ge AS (SELECT axis, {_LETTERS.format("skill")} AS l FROM gl), gu AS (SELECT axis, {_unit("l")} AS v FROM ge),
 gc AS (SELECT axis, list(m ORDER BY i) AS c FROM (SELECT axis, i, avg(x) AS m FROM (SELECT axis, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM gu) GROUP BY axis, i) GROUP BY axis),

@@ -155,10 +155,10 @@ def weights_by_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("p_brand").alias("skill")).distinct().join(maps, "skill", "left").select("skill", F.coalesce(F.array_join(entries, ","), F.lit("")).alias("weights"))
 
 
-_EXCLUDED, _WANTED = ["STEEL", "almond"], ["the", "und"]
+_EXCLUDED, _WANTED = ["ANVIL", "gear"], ["the", "und"]
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT (contains(lower(p_name), 'steel') OR contains(lower(p_name), 'almond'))")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT (contains(lower(p_name), 'anvil') OR contains(lower(p_name), 'gear'))")
 def title_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(~ch.contains_any(F.col("p_name"), _EXCLUDED, False)).select("p_partkey", "p_name")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import axes, sets
 from quillspark.operators import schemes as sc
+from quillspark.operators.text import top
 from quillspark.plans.registry import query, table
 from quillspark.plans.sets import _baskets
 
@@ -33,6 +34,48 @@ def scheme_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.per_group(pairs, "g", run, "coverage double, separation double, coherence double, combined double")
 
 
+@query()
+def scheme_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemes of 2 to 6 axes over brands, with intervals and the optimal number."""
+    pairs = sets.cooccurrence(_baskets(spark, sf_dir), "basket", "item").withColumn("g", F.lit(1))
+    schema = (
+        "k long, coverage double, separation double, coherence double, stability double, combined double, stability_low double, "
+        "stability_high double, combined_low double, combined_high double, optimal boolean"
+    )
+    return sc.per_group(pairs, "g", lambda pdf: sc.evaluated(sc.count_matrix(pdf)[1], range(2, 7)), schema)
+
+
+@query()
+def cluster_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouette of three clusters of brands and how often shuffled labels reach it."""
+    pairs = sets.cooccurrence(_baskets(spark, sf_dir), "basket", "item").withColumn("g", F.lit(1))
+    run = lambda pdf: pd.DataFrame([sc.significance(sc.jaccard_distances(sc.count_matrix(pdf)[1]), 3)], columns=["silhouette", "p"])
+    return sc.per_group(pairs, "g", run, "silhouette double, p double")
+
+
+@query()
+def specialty_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate names of segments by their foremost brands, with the manufacturer as category."""
+    lines, orders, customers, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
+    joined = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    )
+    counts = joined.groupBy(F.col("c_mktsegment").alias("specialty"), F.col("p_brand").alias("skill")).agg(F.count("*").alias("n"))
+    best = top(counts, ["specialty"], [F.desc("n"), F.asc("skill")], 10)
+    lists = best.groupBy("specialty").agg(F.array_sort(F.collect_list(F.struct("rank", "skill"))).alias("s"))
+    every = lists.agg(F.collect_list(F.struct("specialty", F.transform("s", lambda x: x["skill"]).alias("skills"))).alias("all"))  # one row a specialty
+    rows = lists.select("specialty").crossJoin(F.broadcast(every))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["specialty"].iloc[0]
+        by = {x["specialty"]: list(x["skills"]) for x in pdf["all"].iloc[0]}
+        categories = {skill: skill[:7] for skills in by.values() for skill in skills}
+        found = sc.names(by[name], categories, [set(x) for k, x in by.items() if k != name])
+        return found.assign(specialty=name)[["specialty", *found.columns]]
+
+    return sc.per_group(rows, "specialty", run, "specialty string, strategy string, name string, stability double, distinctiveness double, optimal boolean")
+
+
 @query("""WITH n AS (SELECT n_name AS role, count(c_custkey) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), l AS (SELECT list_sort(list(members)) AS lo, count(*) AS n FROM n)
 SELECT role, members, CASE WHEN members <= 0 THEN 0 WHEN members >= lo[n * 4 // 5] THEN 4 WHEN members >= lo[n * 3 // 5] THEN 3 WHEN members >= lo[n * 2 // 5] THEN 2 WHEN members >= lo[n // 5] THEN 1 ELSE 0 END AS grade FROM n, l""")
 def quintile_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
