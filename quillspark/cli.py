@@ -1,59 +1,197 @@
-"""Commands: run a registered query or the phases over a table of canonical records."""
+"""Commands: queries by name, the phases one by one or all, collection and its ledger, census and reports.
+
+Phases meet in tables under the warehouse of the configuration, so each can be run again by itself.
+"""
 
 from __future__ import annotations
 
 import argparse
+import logging
+import logging.handlers
+from collections.abc import Callable
+from datetime import UTC, datetime
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark import config as settings
+from quillspark.operators import axes, store
 from quillspark.plans import phases, registry
-from quillspark.sources import readers
+from quillspark.sources import archive, mappers, open_data, readers, reports
+
+log = logging.getLogger("quillspark")
+# Fixed value: how soft competences follow from axes.
+SOFT = {"communication": {"professional_texts": 0.5, "management": 0.5}, "leadership": {"management": 1.0}, "analysis": {"data_analysis": 0.6, "computational": 0.4}}
+
+
+def logged(path: str | None) -> None:
+    """Messages go to the console, and to a file that is begun anew at 5 MB where one is named."""
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        handlers.append(logging.handlers.RotatingFileHandler(path, maxBytes=5 << 20, backupCount=3, encoding="utf-8"))
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s", handlers=handlers, force=True)
+
+
+class Run:
+    """One call of the program: its session, configuration and arguments."""
+
+    def __init__(self, spark: SparkSession, conf: settings.Config, given: argparse.Namespace):
+        self.spark, self.conf, self.given = spark, conf, given
+
+    def table(self, name: str) -> DataFrame:
+        return readers.parquet(self.spark, self.conf.path(name))
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        readers.write_parquet(df, self.conf.path(name))
+        return self.table(name)
+
+    def stem(self) -> DataFrame:
+        return self.table("classified").where("stem_category = 'STEM_RESEARCH'")
+
+
+def classify(run: Run) -> None:
+    rows = run.keep("classified", phases.classified(readers.parquet(run.spark, run.given.records), run.conf))
+    rows.groupBy("stem_category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stem_category").show(truncate=False)
+
+
+def extract_skills(run: Run) -> None:
+    run.keep("extracted_skills", phases.skills(run.stem(), run.conf)).agg(F.count("*").alias("pairs"), F.count_distinct("skill_phrase").alias("skills")).show()
+
+
+def roles(run: Run) -> None:
+    named, found = phases.roles(run.stem(), run.conf)
+    run.keep("titles", named)
+    run.keep("roles", found).select("role", "member_count").orderBy(F.desc("member_count"), "role").show(50, truncate=60)
+
+
+def skills(run: Run) -> None:
+    run.keep("skills_per_role", phases.skills_per_role(run.table("extracted_skills"), run.stem(), run.table("titles"))).groupBy("role").count().show(50, truncate=60)
+
+
+def characteristics(run: Run) -> None:
+    scores = run.keep("characteristic_scores", phases.axis_scores(run.table("skills_per_role"), readers.parquet(run.spark, run.given.glossary)))
+    scores.groupBy("axis").agg(F.round(F.avg("proficiency"), 4).alias("mean")).orderBy("axis").show()
+
+
+def soft(run: Run) -> None:
+    found = run.keep("soft_scores", axes.rubric_scores(run.table("characteristic_scores"), SOFT))
+    found.groupBy("role").pivot("soft", sorted(SOFT)).agg(F.round(F.first("proficiency"), 2)).orderBy("role").show(50, truncate=40)
+
+
+def model(run: Run) -> None:
+    built = phases.models(run.table("characteristic_scores"), run.table("roles"), run.table("skills_per_role"), run.conf)
+    readers.write_documents(built, run.conf.path("models"), "role")
+
+
+def validate(run: Run) -> None:
+    found = phases.validation(run.table("classified"), run.table("roles"), run.table("characteristic_scores"))
+    reports.write_json(found, f"{run.conf.path('reports')}/metrics.json", datetime.now(UTC).isoformat())
+    print(phases.markdown([(r.metric, r.value) for r in found.collect()]))
+
+
+def everything(run: Run) -> None:
+    for step in (classify, extract_skills, roles, skills, characteristics, soft, model, validate):
+        log.info("%s", step.__name__)
+        step(run)
+
+
+def collect(run: Run) -> None:
+    """Open data into the store: new ids alone come in, and the run is noted in the ledger."""
+    listed = lambda x: [k for k in (x or "").split(",") if k]
+    rows = open_data.collected(run.spark, run.given.folder, listed(run.given.texts), listed(run.given.regions), **({"split": "always"} if run.given.all_regions else {}))
+    new = rows.select("id", "data")
+    if run.given.dry_run:
+        print(f"{new.count()} records")
+        return
+    path = run.conf.path("raw")
+    held = readers.optional(run.spark, path, "id string, data string")
+    fresh = new.join(held.select("id"), "id", "left_anti")
+    fresh.write.mode("append").parquet(path)
+    entry = [(run.given.run or f"trudvsem-{datetime.now(UTC):%m%d_%H%M}", "trudvsem", new.count(), datetime.now(UTC).isoformat())]
+    run.spark.createDataFrame(entry, "run_id string, source string, fetched long, at string").write.mode("append").parquet(run.conf.path("runs"))
+
+
+def verify(run: Run) -> None:
+    rows = run.table("raw")
+    store.field_presence(mappers.mapped(rows.select(F.col("data").alias("raw"), F.lit("").alias("capture_ts")), "trudvsem").select("id", "name", "description"), ["id", "name", "description"]).show()
+    run.table("runs").groupBy("source").agg(F.count("*").alias("runs"), F.sum("fetched").alias("fetched")).show()
+
+
+def merge(run: Run) -> None:
+    out, n = store.merged(readers.parquet(run.spark, run.given.into), readers.parquet(run.spark, run.given.other), "id", [F.asc("id")])
+    readers.write_parquet(out, run.given.out)
+    print(f"{n.first().n} records merged")
+
+
+def census(run: Run) -> None:
+    captures = archive.index_responses(run.spark, run.given.folder)
+    rows = reports.census(captures.withColumn("source", F.lit(run.given.source)).withColumn("pattern", F.lit(run.given.pattern)).where(archive.matches(F.col("original"), run.given.pattern)))
+    made = datetime.now(UTC).isoformat()
+    print(reports.table(rows, made))
+    if run.given.out:
+        reports.write_json(rows, run.given.out, made)
+
+
+def generate(run: Run) -> None:
+    readers.write_parquet(readers.generated(run.spark, run.given.rows, run.given.seed), run.given.out)
+
+
+def query(run: Run) -> None:
+    df = registry.queries()[run.given.name](run.spark, run.given.folder)
+    if run.given.out:
+        readers.write_parquet(df, run.given.out)
+    else:
+        df.show(20, truncate=60)
+
+
+#: Name, function, what it does, its arguments (an option with a default, or a name that must be given).
+COMMANDS: list[tuple[str, Callable[[Run], None], str, list]] = [
+    ("query", query, "run one query over a folder of tables", ["name", "folder", ("--out", None)]),
+    ("classify", classify, "categories of canonical records", ["records"]),
+    ("extract-skills", extract_skills, "skills of the research postings", []),
+    ("roles", roles, "roles of their titles", []),
+    ("skills", skills, "skills by role", []),
+    ("characteristics", characteristics, "scores of roles on axes", ["glossary"]),
+    ("soft", soft, "soft competences of roles", []),
+    ("model", model, "models of roles as JSON documents", []),
+    ("validate", validate, "metrics of a run", []),
+    ("all", everything, "all phases in order", ["records", "glossary"]),
+    ("collect", collect, "open data into the store", ["folder", ("--texts", ""), ("--regions", ""), ("--run", None), ("--all-regions", False), ("--dry-run", False)]),
+    ("verify", verify, "fields of the store and totals of the ledger", []),
+    ("merge", merge, "two stores into one", ["into", "other", "out"]),
+    ("census", census, "captures of an archive by year", ["folder", "source", "pattern", ("--out", None)]),
+    ("generate", generate, "made postings", ["out", ("--rows", 10_000), ("--seed", 42)]),
+]
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillspark")
     parser.add_argument("--config")
     parser.add_argument("--domain", default=None)
+    parser.add_argument("--log", default=None, help="a file for messages")
     sub = parser.add_subparsers(dest="command", required=True)
     sub.add_parser("list", help="names of all queries")
-    one = sub.add_parser("query", help="run one query over a folder of tables")
-    one.add_argument("name")
-    one.add_argument("folder")
-    one.add_argument("--out")
-    run = sub.add_parser("all", help="classify, extract skills, find roles, score axes and write models")
-    run.add_argument("records")
-    run.add_argument("glossary")
+    for name, _, says, arguments in COMMANDS:
+        one = sub.add_parser(name, help=says)
+        for a in arguments:
+            if isinstance(a, str):
+                one.add_argument(a)
+            elif a[1] is False:
+                one.add_argument(a[0], action="store_true")
+            else:
+                one.add_argument(a[0], default=a[1], type=int if isinstance(a[1], int) else str)
     given = parser.parse_args(argv)
     if given.command == "list":
         print("\n".join(sorted(registry.queries())))
         return 0
-    spark = SparkSession.builder.appName("quillspark").getOrCreate()
-    if given.command == "query":
-        df = registry.queries()[given.name](spark, given.folder)
-        if given.out:
-            readers.write_parquet(df, given.out)
-        else:
-            df.show(20, truncate=60)
-        return 0
+    logged(given.log)
     conf = settings.load(given.config)
     if given.domain:
         conf = settings.Config(**{**conf.__dict__, "domain": given.domain})
-
-    def step(name, df):
-        """Phases meet in tables, so that each can be run again by itself."""
-        readers.write_parquet(df, conf.path(name))
-        return readers.parquet(spark, conf.path(name))
-
-    rows = step("classified", phases.classified(readers.parquet(spark, given.records), conf))
-    stem = rows.where("stem_category = 'STEM_RESEARCH'")
-    skills = step("extracted_skills", phases.skills(stem, conf))
-    named, found = phases.roles(stem, conf)
-    named, found = step("titles", named), step("roles", found)
-    role_skills = step("skills_per_role", phases.skills_per_role(skills, stem, named))
-    scores = step("characteristic_scores", phases.axis_scores(role_skills, readers.parquet(spark, given.glossary)))
-    readers.write_documents(phases.models(scores, found, role_skills, conf), conf.path("models"), "role")
-    print(phases.markdown([(r.metric, r.value) for r in phases.validation(rows, found, scores).collect()]))
+    spark = SparkSession.builder.appName("quillspark").getOrCreate()
+    next(run for name, run, _, _ in COMMANDS if name == given.command)(Run(spark, conf, given))
     return 0
 
 

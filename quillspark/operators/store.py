@@ -14,6 +14,23 @@ def insert_or_ignore(stored: DataFrame, new: DataFrame, key: str, order: list[Co
     return stored.unionByName(fresh.select(*stored.columns))
 
 
+def merged(stored: DataFrame, new: DataFrame, key: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """What `insert_or_ignore` gives, and one row: n, how many rows came in."""
+    out = insert_or_ignore(stored, new, key, order)
+    return out, new.select(key).distinct().join(stored.select(key), key, "left_anti").agg(F.count("*").alias("n"))
+
+
+def updated_fields(stored: DataFrame, changes: DataFrame, key: str, data: str, schema: str, fields: list[str]) -> DataFrame:
+    """The stored rows with fields of their JSON column (of the schema) set to what changes has for their key; null
+    keeps the old value."""
+    renamed = changes.select(F.col(key).alias("__key"), F.struct(*fields).alias("__new"))
+    old = F.from_json(data, schema)
+    names = [f.name for f in changes.sparkSession.createDataFrame([], schema).schema]
+    value = lambda n: F.coalesce(F.col("__new")[n], old[n]) if n in fields else old[n]
+    joined = stored.join(renamed, F.col(key) == F.col("__key"), "left").withColumn(data, F.to_json(F.struct(*[value(n).alias(n) for n in names])))
+    return joined.select(*stored.columns)
+
+
 def updated(stored: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The stored rows with the columns that changes has for their key (null keeps the old value)."""
     renamed = changes.select(key, *[F.col(c).alias(f"__{c}") for c in columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import store
 from quillspark.plans.registry import query, table
-from quillspark.sources import archive
+from quillspark.sources import archive, reports
 
 
 @query("""WITH a AS (SELECT doc_id AS id, 'first' AS run, n_chars FROM documents WHERE source < 'src5'), b AS (SELECT doc_id AS id, 'second' AS run, n_chars + 1 AS n_chars FROM documents WHERE source >= 'src3')
@@ -127,3 +127,40 @@ def era_census(spark: SparkSession, sf_dir: str) -> DataFrame:
         pattern = pattern.when(F.col("year").between(first, last), address)
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), (F.col("user_id") % 14 + 2013).cast("int").alias("year"))
     return rows.groupBy("source", "year", pattern.otherwise("none").alias("pattern")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_CAPTURES}, s AS (SELECT split_part(key, '/', 2) AS source, 'jobs.org/' || split_part(key, '/', 2) || '/*' AS pattern, timestamp[1:4]::INTEGER AS year, key FROM k)
+SELECT source, pattern, year, count(*) AS captures, count(DISTINCT key) AS urls FROM s GROUP BY 1, 2, 3""")
+def census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures and distinct addresses by source, pattern and year."""
+    return reports.census(_sourced(spark, sf_dir))
+
+
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.split_part(archive.address_key(F.col("original")), F.lit("/"), F.lit(2))
+    rows = _captures(spark, sf_dir).withColumn("source", source)
+    return rows.withColumn("pattern", F.concat(F.lit("jobs.org/"), "source", F.lit("/*")))
+
+
+@query(f"""WITH {_CAPTURES}, s AS (SELECT split_part(key, '/', 2) AS source, 'jobs.org/' || split_part(key, '/', 2) || '/*' AS pattern, timestamp[1:4]::INTEGER AS year, key FROM k),
+n AS (SELECT source, pattern, year, count(*) AS c, count(DISTINCT key) AS u FROM s GROUP BY 1, 2, 3)
+SELECT source, year, rpad(source, 24, ' ') || ' ' || rpad(pattern, 36, ' ') || ' ' || lpad(year::VARCHAR, 6, ' ') || '  ' || lpad(format('{{:,}}', c), 10, ' ') || ' ' || lpad(format('{{:,}}', u), 8, ' ') AS line FROM n""")
+def census_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The census as lines of a fixed-width table."""
+    return reports.census_lines(reports.census(_sourced(spark, sf_dir)))
+
+
+@query("""WITH a AS (SELECT doc_id FROM documents WHERE source < 'src5'), b AS (SELECT DISTINCT doc_id FROM documents WHERE source >= 'src3') SELECT count(*) AS n FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)""")
+def merge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a merge brings in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return store.merged(docs.where("source < 'src5'"), docs.where("source >= 'src3'"), "doc_id", [F.asc("source")])[1]
+
+
+@query("""SELECT c_custkey, CASE WHEN s_suppkey IS NULL THEN c_name ELSE s_name END AS description, c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
+def json_field_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of a JSON column rewritten where there is a new value, the others kept."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("description"), F.col("c_acctbal").cast("double").alias("balance"))).alias("data"))
+    changes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("description"))
+    out = store.updated_fields(rows, changes, "c_custkey", "data", "description string, balance double", ["description"])
+    return out.select("c_custkey", F.get_json_object("data", "$.description").alias("description"), F.get_json_object("data", "$.balance").cast("double").alias("c_acctbal"))

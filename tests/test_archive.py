@@ -89,3 +89,28 @@ def test_channel_messages(spark, tmp_path):
     got = lambda **k: sorted(r.id for r in open_data.channel_messages(spark, str(tmp_path / "m.jsonl"), **k).collect())
     assert got(keywords=["хим"]) == [0, 3, 9] and got(keywords=["хим"], last=2) == [3, 9] and got() == [0, 1, 3, 4, 9]
     assert open_data.channel_messages(spark, str(tmp_path / "m.jsonl")).where(F.col("text") == "").count() == 0
+
+
+def test_commands(spark, tmp_path, capsys):
+    from quillspark import cli
+
+    (tmp_path / "c.yaml").write_text(f"warehouse: {tmp_path}/w\n")
+    call = lambda *a: cli.main(["--config", str(tmp_path / "c.yaml"), "--domain", "d", *map(str, a)])
+    stored(tmp_path / "s", None, None, range(120))
+    call("collect", tmp_path / "s", "--dry-run")
+    assert "120 records" in capsys.readouterr().out
+    call("collect", tmp_path / "s", "--run", "r1")
+    call("collect", tmp_path / "s", "--run", "r2")
+    assert spark.read.parquet(f"{tmp_path}/w/raw").count() == 120 and spark.read.parquet(f"{tmp_path}/w/runs").count() == 2
+    call("verify")
+    call("merge", f"{tmp_path}/w/raw/domain=d", f"{tmp_path}/w/raw/domain=d", tmp_path / "m")
+    assert "0 records merged" in capsys.readouterr().out
+    (tmp_path / "i").mkdir()
+    rows = [["timestamp", "original", "mimetype", "statuscode", "digest", "length"], *([f"2020010{i}000000", f"https://a.org/v/{i % 2}", "text/html", "200", "d", "1"] for i in range(1, 6))]
+    (tmp_path / "i" / "1.json").write_text(json.dumps(rows))
+    call("census", tmp_path / "i", "site", "a.org/*", "--out", tmp_path / "r" / "c.json")
+    out = capsys.readouterr().out
+    assert "Total estimated records: 5" in out and f"{'site':<24} {'a.org/*':<36} {2020:>6}  {5:>10,} {2:>8,}" in out
+    assert json.loads((tmp_path / "r" / "c.json").read_text())["results"][0]["urls"] == 2
+    call("generate", tmp_path / "g", "--rows", 30)
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 30
