@@ -21,8 +21,6 @@ from quillspark.plans import phases, registry
 from quillspark.sources import archive, mappers, open_data, readers, reports
 
 log = logging.getLogger("quillspark")
-# Fixed value: how soft competences follow from axes.
-SOFT = {"communication": {"professional_texts": 0.5, "management": 0.5}, "leadership": {"management": 1.0}, "analysis": {"data_analysis": 0.6, "computational": 0.4}}
 
 
 def logged(path: str | None) -> None:
@@ -76,8 +74,8 @@ def characteristics(run: Run) -> None:
 
 
 def soft(run: Run) -> None:
-    found = run.keep("soft_scores", axes.rubric_scores(run.table("characteristic_scores"), SOFT))
-    found.groupBy("role").pivot("soft", sorted(SOFT)).agg(F.round(F.first("proficiency"), 2)).orderBy("role").show(50, truncate=40)
+    found = run.keep("soft_scores", axes.rubric_scores(run.table("characteristic_scores"), axes.SOFT))
+    found.groupBy("role").pivot("soft", list(axes.SOFT)).agg(F.round(F.first("proficiency"), 2)).orderBy("role").show(50, truncate=40)
 
 
 def model(run: Run) -> None:

@@ -11,6 +11,13 @@ LEVELS = (0.10, 0.25, 0.40, 0.60, 0.80, 0.95, 1.00)
 SIGNIFICANT, LEADING, TALKING, METHODICAL = 0.15, 0.5, 0.3, 0.35
 ARCHETYPES = ("Техник", "Инженер", "Исследователь", "Ведущий специалист", "Методолог", "Гибрид")
 SUPER_CATEGORIES = ("experimental", "computational", "communication", "domain")
+# How soft competences follow from axes.
+SOFT = {
+    "thinking": {"data_analysis": 0.45, "computational": 0.35, "experimental": 0.20},
+    "teamwork": {"professional_texts": 0.40, "management": 0.35, "experimental": 0.25},
+    "leadership": {"management": 0.70, "professional_texts": 0.20, "domain_knowledge": 0.10},
+    "professional_culture": {"professional_texts": 0.50, "domain_knowledge": 0.30, "management": 0.20},
+}
 FLAT, MIDDLE, MANY = 1e-12, 3.0, 15
 
 
@@ -44,16 +51,14 @@ def achieved(scores: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame
 
 
 def categorised(phrases: DataFrame, phrase: str, rules: list[tuple[str, list[str]]]) -> DataFrame:
-    """phrase, category: the first rule with a trigger that the phrase holds or that holds the phrase."""
-    p = F.col(phrase)
-    chain = None
+    """phrase, category: the first rule with a trigger that the phrase holds or that holds the phrase; case and ends
+    don't matter. Rules are a short fixed list, which each phrase goes through by itself."""
+    p = F.lower(F.trim(phrase))
+    chain = F
     for category, triggers in rules:
-        hit = None
-        for t in triggers:
-            either = F.contains(p, F.lit(t)) | F.contains(F.lit(t), p)
-            hit = either if hit is None else hit | either
-        chain = F.when(hit, category) if chain is None else chain.when(hit, category)
-    return phrases.where(p != "").withColumn("category", chain).where("category is not null")
+        listed = F.array(*[F.lit(t) for t in triggers])
+        chain = chain.when(F.exists(listed, lambda t: F.contains(p, t) | F.contains(t, p)), category)
+    return phrases.where(p != "").withColumn("category", chain.otherwise(None)).where("category is not null")
 
 
 def super_fractions(skills: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import axes
+from quillspark.operators import axes, skill_rules
 from quillspark.operators.text import top
 from quillspark.plans.registry import query, table
 
@@ -101,6 +101,23 @@ def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(found, "word", "left").select("p_partkey", "word", F.coalesce("category", F.lit("other")).alias("category"))
 
 
+_TERMS = ("Python", "рентген", "СТАТИСТИКА", "  sql ", "статья", "синтез", "квантовый", "управление проектами", "клетка", "ит", "unknown thing", "")
+_RULES_SQL = "rules(category, trig, pos) AS (VALUES " + ", ".join(f"('{c}', '{t}', {i})" for i, (c, ts) in enumerate(skill_rules.CATEGORIES) for t in ts) + ")"
+_KINDS_SQL = "kinds(category, kind) AS (VALUES " + ", ".join(f"('{c}', '{k}')" for c, k in skill_rules.KINDS.items()) + ")"
+
+
+@query(f"""WITH {_RULES_SQL}, {_KINDS_SQL}, w AS (SELECT DISTINCT p_partkey, [{", ".join(repr(t) for t in _TERMS)}][1 + p_size % {len(_TERMS)}] AS skill FROM part),
+m AS (SELECT skill, arg_min(category, pos) AS category FROM (SELECT DISTINCT skill FROM w) JOIN rules ON contains(lower(trim(skill)), trig) OR contains(trig, lower(trim(skill))) WHERE trim(skill) <> '' GROUP BY skill)
+SELECT p_partkey, skill, category, kind FROM w JOIN m USING (skill) LEFT JOIN kinds USING (category)""")
+def skill_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills by the fixed rules, and the kind of work of their categories."""
+    skill = F.element_at(F.array(*[F.lit(t) for t in _TERMS]), (F.col("p_size") % len(_TERMS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", skill.alias("skill"))
+    found = axes.categorised(rows.select("skill").distinct(), "skill", skill_rules.CATEGORIES)
+    kinds = F.create_map(*[F.lit(x) for kv in skill_rules.KINDS.items() for x in kv])
+    return rows.join(found, "skill").select("p_partkey", "skill", "category", F.try_element_at(kinds, F.col("category")).alias("kind"))
+
+
 @query(
     """WITH k AS (SELECT p_brand AS role, CASE WHEN p_size <= 14 THEN 'experimental' WHEN p_size <= 24 THEN 'computational' WHEN p_size <= 36 THEN 'communication' WHEN p_size <= 46 THEN 'domain' END AS c FROM part),
 f AS (SELECT role, greatest(count(c), 1) AS n, count(*) FILTER (c = 'experimental') AS e, count(*) FILTER (c = 'computational') AS p, count(*) FILTER (c = 'communication') AS m, count(*) FILTER (c = 'domain') AS d FROM k GROUP BY role),
