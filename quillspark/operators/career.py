@@ -114,15 +114,20 @@ def _backwards(name: str) -> Column:
     return F.transform(F.split(name, ""), lambda c: -F.ascii(c))
 
 
-def stages(profile: DataFrame, stage_profiles: dict[str, dict[str, float]], digits: int = 6) -> DataFrame:
-    """role, stage, similarity: the stage whose profile is likest, of equal ones the first name."""
+def stages(profile: DataFrame, stage_profiles: dict[str, dict[str, float]], transversal: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
+    """role, stage, similarity, transversal: the stage whose profile is likest, of equal ones the first name; roles with
+    one of the `transversal` axes among their two dominant ones belong to no stage."""
     rows = [(s, a, float(x)) for s, axes in stage_profiles.items() for a, x in axes.items()]
     table = profile.sparkSession.createDataFrame(rows, "stage string, axis string, need double")
     own = profile.groupBy("role").agg(F.sqrt(F.sum(F.col("proficiency") * F.col("proficiency"))).alias("length"))
     dots = profile.join(F.broadcast(table), "axis").groupBy("role", "stage").agg(F.sum(F.col("proficiency") * F.col("need")).alias("d"))
     need = table.groupBy("stage").agg(F.sqrt(F.sum(F.col("need") * F.col("need"))).alias("n"))
-    sims = dots.join(own, "role").join(F.broadcast(need), "stage").select("role", "stage", F.round(F.col("d") / (F.col("length") * F.col("n")), digits).alias("similarity"))
-    return top(sims, ["role"], [F.desc("similarity"), F.asc("stage")], 1).select("role", "stage", "similarity")
+    sims = dots.join(own, "role").join(F.broadcast(need), "stage").select("role", "stage", F.round(F.col("d") / (F.col("length") * F.col("n") + 1e-9), digits).alias("similarity"))
+    best = top(sims, ["role"], [F.desc("similarity"), F.asc("stage")], 1)
+    dominant = top(profile, ["role"], [F.desc("proficiency"), F.asc("axis")], 2, "nth")
+    across = dominant.groupBy("role").agg(F.max(F.col("axis").isin(*transversal) if transversal else F.lit(False)).alias("transversal"))
+    of_stage = lambda c: F.when(~F.col("transversal"), F.col(c)).alias(c)
+    return best.join(across, "role").select("role", of_stage("stage"), of_stage("similarity"), "transversal")
 
 
 def coverage(profile: DataFrame, teams: DataFrame, requirements: dict[str, float]) -> DataFrame:
@@ -132,8 +137,7 @@ def coverage(profile: DataFrame, teams: DataFrame, requirements: dict[str, float
     return supply.join(F.broadcast(table), "axis").select("team", "axis", "supply", "required", (F.col("supply") >= F.col("required") - 0.01).alias("covered"))
 
 
-def top_gaps(profile: DataFrame, keep: int = 3) -> DataFrame:
-    """role, axis, gap, rank: where a role is farthest below the best on an axis."""
-    best = profile.groupBy("axis").agg(F.max("proficiency").alias("best"))
-    gaps = profile.join(F.broadcast(best), "axis").select("role", "axis", F.round(F.col("best") - F.col("proficiency"), 4).alias("gap"))
-    return top(gaps, ["role"], [F.desc("gap"), F.asc("axis")], keep)
+def top_gaps(profile: DataFrame, keep: int = 3, shares: dict[str, float] | None = None) -> DataFrame:
+    """role, axis, gap, rank: where a role's juniors are farthest below its own peak."""
+    gaps = juniors(profile, shares).select("role", "axis", F.round(F.greatest(F.lit(0.0), F.col("proficiency") - F.col("junior")), 4).alias("gap"))
+    return top(gaps.where("gap > 0"), ["role"], [F.desc("gap"), F.asc("axis")], keep)

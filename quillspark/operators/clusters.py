@@ -111,6 +111,46 @@ def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: f
     return rows.select(key, weight).join(found, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__leader", key).alias("leader"), weight)
 
 
+def silhouettes(rows: DataFrame, key: str, label: str, vector: str, noise: int = -1, block: int = 1024) -> DataFrame:
+    """One row: silhouette (mean, Euclidean), n_clusters, n_noise; 0.0 for fewer than two clusters. Noise is left out.
+
+    Exact, so every row meets every other: blocks of rows meet in tasks of their own, which pass on one sum of distances
+    for each row and cluster.
+    """
+    kept = rows.where(F.col(label) != noise).select(F.col(key).alias("k"), F.col(label).cast("long").alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    n = kept.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("parts"))
+    placed = kept.crossJoin(F.broadcast(n)).withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")))
+    blocks = placed.groupBy("part", "parts").agg(F.collect_list(F.struct("k", "l", "v")).alias("rows"))
+    own = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), F.col("rows").alias("xs"))
+    both = own.join(blocks.select(F.col("part").alias("other"), F.col("rows").alias("ys")), "other").select("xs", "ys")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for xs, ys in zip(batch["xs"], batch["ys"]):
+                (xk, xl, xv), (_, yl, yv) = (side.values.flatten() for side in (xs, ys))
+                x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (xv, yv))
+                away = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T), 0))
+                kinds, of = np.unique(yl.to_numpy(), return_inverse=True)
+                sums = np.stack([away[:, of == i].sum(axis=1) for i in range(len(kinds))], axis=1)
+                at = np.repeat(np.arange(len(xk)), len(kinds))
+                columns = [xk.take(pa.array(at)), xl.take(pa.array(at)), pa.array(np.tile(kinds, len(xk))), pa.array(sums.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "l", "other", "s"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    sums = both.mapInArrow(compare, f"k {kind}, l long, other long, s double").groupBy("k", "l", "other").agg(F.sum("s").alias("s"))
+    sizes = kept.groupBy(F.col("l").alias("other")).agg(F.count("*").alias("n"))
+    means = sums.join(F.broadcast(sizes), "other")  # one row for each cluster
+    inner = F.col("l") == F.col("other")
+    each = means.groupBy("k", "l").agg(
+        F.max(F.when(inner, F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"), F.max(F.when(inner, F.col("n"))).alias("own"), F.min(F.when(~inner, F.col("s") / F.col("n"))).alias("b")
+    )
+    value = F.when(F.col("own") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    mean = each.agg(F.avg(value).alias("m"))
+    counts = rows.agg(F.count_distinct(F.when(F.col(label) != noise, F.col(label))).alias("n_clusters"), F.count_if(F.col(label) == noise).alias("n_noise"))
+    full = counts.crossJoin(F.broadcast(mean))
+    return full.select(F.when(F.col("n_clusters") < 2, 0.0).otherwise(F.coalesce("m", F.lit(0.0))).alias("silhouette"), "n_clusters", "n_noise")
+
+
 def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:
     """Labels of k clusters of a square distance matrix by average linkage."""
     n = len(distance)

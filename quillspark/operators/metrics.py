@@ -18,6 +18,13 @@ def f1_by_class(rows: DataFrame, truth: str, pred: str, classes: list) -> DataFr
     return counted.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
 
 
+def f1_summary(rows: DataFrame, truth: str, pred: str, classes: list) -> DataFrame:
+    """One row: macro (mean F1 of the classes) and weighted (by how often each is true) F1."""
+    per = f1_by_class(rows, truth, pred, classes).withColumn("support", F.col("tp") + F.col("fn"))
+    weighted = F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), F.lit(0.0))
+    return per.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro"), weighted.alias("weighted"))
+
+
 def _choose2(x: Column) -> Column:
     return x * (x - 1) / 2
 

@@ -77,10 +77,11 @@ _STAGES = {"early": {"a1": 5, "a2": 1, "a3": 1}, "middle": {"a4": 4, "a5": 4}, "
 
 @query(f"""WITH {_PROFILE}, g(stage, axis, need) AS (VALUES ('early', 'a1', 5.0::DOUBLE), ('early', 'a2', 1.0), ('early', 'a3', 1.0), ('middle', 'a4', 4.0), ('middle', 'a5', 4.0), ('late', 'a6', 5.0), ('late', 'a7', 3.0)),
 nd AS (SELECT stage, sqrt(sum(need * need)) AS n FROM g GROUP BY stage), o AS (SELECT role, sqrt(sum(proficiency ^ 2)) AS l FROM prof GROUP BY role),
-sm AS (SELECT role, stage, round(sum(proficiency * need) / (max(l) * max(nd.n)), 6) AS similarity FROM prof JOIN g USING (axis) JOIN nd USING (stage) JOIN o USING (role) GROUP BY role, stage)
-SELECT role, stage, similarity FROM sm QUALIFY row_number() OVER (PARTITION BY role ORDER BY similarity DESC, stage) = 1""")
+sm AS (SELECT role, stage, round(sum(proficiency * need) / (max(l) * max(nd.n) + 1e-9), 6) AS similarity FROM prof JOIN g USING (axis) JOIN nd USING (stage) JOIN o USING (role) GROUP BY role, stage),
+dm AS (SELECT role, bool_or(axis IN ('a5', 'a6')) AS transversal FROM (SELECT role, axis FROM prof QUALIFY row_number() OVER (PARTITION BY role ORDER BY proficiency DESC, axis) <= 2) GROUP BY role)
+SELECT role, CASE WHEN NOT transversal THEN stage END AS stage, CASE WHEN NOT transversal THEN similarity END AS similarity, transversal FROM sm JOIN dm USING (role) QUALIFY row_number() OVER (PARTITION BY role ORDER BY sm.similarity DESC, sm.stage) = 1""")
 def stage_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return career.stages(profile(spark, sf_dir), _STAGES)
+    return career.stages(profile(spark, sf_dir), _STAGES, ("a5", "a6"))
 
 
 @query(f"""WITH {_PROFILE}, t AS (SELECT r_name AS team, n_name AS role FROM nation JOIN region ON n_regionkey = r_regionkey), q(axis, required) AS (VALUES ('a1', 3.0::DOUBLE), ('a2', 3.5), ('a3', 4.0), ('a4', 4.5))
@@ -91,10 +92,11 @@ def stage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return career.coverage(profile(spark, sf_dir), teams, {"a1": 3.0, "a2": 3.5, "a3": 4.0, "a4": 4.5})
 
 
-@query(f"""WITH {_PROFILE}, b AS (SELECT axis, max(proficiency) AS best FROM prof GROUP BY axis)
-SELECT role, axis, round(best - proficiency, 4) AS gap, row_number() OVER (PARTITION BY role ORDER BY round(best - proficiency, 4) DESC, axis) AS rank FROM prof JOIN b USING (axis) QUALIFY rank <= 3""")
+@query(f"""WITH {_PROFILE}, {_NAMED}, x AS (SELECT role, axis, round(greatest(0.0, proficiency - j), 4) AS gap FROM j)
+SELECT role, axis, gap, row_number() OVER (PARTITION BY role ORDER BY gap DESC, axis) AS rank FROM x WHERE gap > 0 QUALIFY rank <= 3""")
 def growth_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return career.top_gaps(profile(spark, sf_dir))
+    """What each role's juniors lack most of its own peak."""
+    return career.top_gaps(_named(spark, sf_dir))
 
 
 _TEAMS = """mb AS (SELECT n_name AS role, count(c_custkey) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), lo AS (SELECT list_sort(list(members)) AS lo, count(*) AS n FROM mb),

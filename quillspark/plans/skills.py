@@ -122,3 +122,14 @@ def classification_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = labels.join(docs, "doc_id").select(F.col("quality").alias("truth"), (F.col("n_chars") > 500).cast("int").alias("pred"))
     return f1_by_class(rows, "truth", "pred", [0, 1]).select("class", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
+
+
+@query("""WITH p AS (SELECT quality AS truth, CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END AS pred FROM labels JOIN documents d USING (doc_id)),
+c AS (SELECT k, count(*) FILTER (truth = k AND pred = k) AS tp, count(*) FILTER (truth <> k AND pred = k) AS fp, count(*) FILTER (truth = k AND pred <> k) AS fn FROM p, (VALUES (0), (1)) v(k) GROUP BY k),
+f AS (SELECT tp + fn AS support, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1 FROM c) SELECT round(avg(f1), 6) AS macro, round(sum(f1 * support) / sum(support), 6) AS weighted FROM f""")
+def classification_f1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators.metrics import f1_summary
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = labels.join(docs, "doc_id").select(F.col("quality").alias("truth"), (F.col("n_chars") > 500).cast("int").alias("pred"))
+    return f1_summary(rows, "truth", "pred", [0, 1]).select(F.round("macro", 6).alias("macro"), F.round("weighted", 6).alias("weighted"))

@@ -213,6 +213,22 @@ def experience_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_size >= 0").groupBy(bin_label(F.col("p_size"), [0, 1, 3, 5, 10]).alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH x AS (SELECT p_brand AS role, CASE WHEN p_size > 45 THEN NULL ELSE p_size / 3.0::DOUBLE END AS years FROM part)
+SELECT role, count(years) AS n, count(*) - count(years) AS unknown, round(quantile_cont(years, 0.5), 4) AS median, count(*) FILTER (years >= 0 AND years < 1) AS b0, count(*) FILTER (years >= 1 AND years < 3) AS b1,
+count(*) FILTER (years >= 3 AND years < 5) AS b2, count(*) FILTER (years >= 5 AND years < 10) AS b3, count(*) FILTER (years >= 10) AS b4 FROM x GROUP BY role""")
+def experience_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram, median and number of unknown values of each role's years."""
+    years = F.when(F.col("p_size") <= 45, F.col("p_size") / 3.0)
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("role"), years.alias("years"))
+    bins = [(0, 1), (1, 3), (3, 5), (5, 10), (10, None)]
+    inside = lambda lo, hi: (F.col("years") >= lo) & (F.col("years") < hi) if hi else F.col("years") >= lo
+    counts = rows.groupBy("role").agg(
+        F.count("years").alias("n"), F.count_if(F.col("years").isNull()).alias("unknown"), *[F.count_if(inside(lo, hi)).alias(f"b{i}") for i, (lo, hi) in enumerate(bins)]
+    )
+    medians = st.quantiles(rows, "role", "years", (0.5,)).select("role", F.round(F.col("q")[0], 4).alias("median"))
+    return counts.join(medians, "role", "left").select("role", "n", "unknown", "median", *[f"b{i}" for i in range(5)])
+
+
 @query()
 def resampled_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation and block bootstrap over the monthly means of each priority, all months of all orders."""

@@ -86,3 +86,13 @@ SELECT round(avg(r), 6) AS davies_bouldin FROM r"""
 )
 def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.davies_bouldin(_vectors(spark, sf_dir), "label", "embedding").select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
+
+
+@query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id = 0 THEN -1 ELSE label END AS l, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT * FROM e WHERE l <> -1),
+d AS (SELECT x.vec_id, x.l, y.l AS o, sum(list_distance(x.v, y.v)) AS s, count(*) AS n FROM k x, k y GROUP BY 1, 2, 3),
+i AS (SELECT vec_id, max(CASE WHEN l = o THEN n END) AS own, max(CASE WHEN l = o AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN l <> o THEN s / n END) AS b FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, (SELECT count(DISTINCT l) FROM k) AS n_clusters, 1::BIGINT AS n_noise FROM i""")
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the labels as clusters; the first vector stands for noise."""
+    rows = _vectors(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") == 0, -1).otherwise(F.col("label")).alias("l"), "embedding")
+    return clusters.silhouettes(rows, "vec_id", "l", "embedding").select(F.round("silhouette", 6).alias("silhouette"), "n_clusters", "n_noise")
