@@ -71,10 +71,15 @@ def _of_axis(values: dict[str, float], other: float) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("axis")), F.lit(other))
 
 
+def _two_places(x: Column) -> Column:
+    """A value of 0 or more to two places, by its binary value (F.round goes by the shortest decimal: 1.275 to 1.28)."""
+    return F.floor(x * 100 + 0.5) / 100
+
+
 def juniors(profile: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
     """profile with junior: a share of the proficiency by axis, 1 at least."""
     share = _of_axis(shares or JUNIOR, 0.4)
-    return profile.withColumn("junior", F.greatest(F.lit(1.0), F.round(F.col("proficiency") * share, 2)))
+    return profile.withColumn("junior", F.greatest(F.lit(1.0), _two_places(F.col("proficiency") * share)))
 
 
 def trajectory(profile: DataFrame, levels: int = 7, shares: dict[str, float] | None = None, powers: dict[str, float] | None = None) -> DataFrame:
@@ -82,7 +87,7 @@ def trajectory(profile: DataFrame, levels: int = 7, shares: dict[str, float] | N
     t = (F.col("level") - 1) / (levels - 1)
     rows = juniors(profile, shares).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
     value = F.col("junior") + (F.col("proficiency") - F.col("junior")) * F.pow(t, _of_axis(powers or GROWTH, 1.0))
-    return rows.select("role", "axis", "level", F.round(value, 2).alias("value"))
+    return rows.select("role", "axis", "level", _two_places(value).alias("value"))
 
 
 def matched(profile: DataFrame, vectors: DataFrame, warmth: float = 0.35, flat: float = 0.3) -> DataFrame:
