@@ -49,6 +49,8 @@ BLOCK, FIRST = 256, 2
 LONG, LONG_AGREE = 1024, 700
 #: Pairs that one task looks at in full, members of buckets whose blocks one task compares, and bytes of sets it remembers.
 PAIRS, MEMBERS, REMEMBERED = 4000, 4000, 32 << 20
+#: Rows with sketches count as so many rows of numbers where tables are gathered (64 MB of them a partition at most).
+WIDE = 4
 U32 = np.uint32
 #: What tells sets apart: their size and two sums of their hashes.
 KEY = ["n_shingles", "set_a", "set_b"]
@@ -247,7 +249,7 @@ def _longer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _across(members: DataFrame, n: int, longer: DataFrame, n_longer: int, limit: int | None, threshold: float) -> DataFrame:
     """Pairs of a bucket that lie in two components and may be links; with a limit the likeliest of each member."""
     member = (
-        gathered(gathered(members, n).join(gathered(longer, n_longer), "m"), n)
+        gathered(gathered(members, n, WIDE).join(gathered(longer, n_longer, WIDE), "m"), n, WIDE)
         .withColumn("chunks", F.ceil(F.col("n") / BLOCK))
         .withColumn("chunk", F.pmod(F.xxhash64("m"), F.col("chunks")))
         .withColumn("x", F.struct("m", "c", F.col("c") != F.col("most"), "size", "sketch", "bands"))
@@ -320,7 +322,7 @@ def _linked(sets: DataFrame, n_sets: int, hashed: DataFrame, threshold: float) -
     n = seen["n"]
     every = sets.select("node", F.col("n_shingles").alias("size"), "sketch", "rep", "rep_hash")
     candidates = gathered(sized, n).select(F.col("m").alias("node")).distinct()
-    sketches, seen = counted(gathered(every, n_sets).join(candidates, "node", "left_semi"), "sketches")
+    sketches, seen = counted(gathered(every, n_sets, WIDE).join(candidates, "node", "left_semi"), "sketches")
     n_sketches = seen["n"]
     chosen = sent(sketches.select("node", "rep", "rep_hash"), n_sketches)
     stands = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
@@ -328,8 +330,8 @@ def _linked(sets: DataFrame, n_sets: int, hashed: DataFrame, threshold: float) -
     texts = written(hashed.join(chosen, stands).select("node", "text"), "texts")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     leader = gathered(sized, n).where("m <> leader").select(F.col("leader").alias("a"), F.col("m").alias("b")).distinct()
-    part = lambda k: gathered(sketches, n_sketches).select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-    both = gathered(leader.join(part("a"), "a"), n).join(part("b"), "b")
+    part = lambda k: gathered(sketches, n_sketches, WIDE).select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    both = gathered(leader.join(part("a"), "a"), n, WIDE).join(part("b"), "b")
     likely, seen = counted(both.mapInArrow(_likely(threshold), "a long, b long"), "likely")
     known, seen = _verified(likely, seen["n"], texts, threshold, "pairs")
     n_known = seen["n"]

@@ -61,9 +61,10 @@ def counted(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
     return back, seen.get
 
 
-def gathered(df: DataFrame, n: int) -> DataFrame:
-    """A frame of n rows in partitions of about ROWS: a table of fewer rows is one partition, which needs no exchange."""
-    return df.coalesce(max(1, -(-n // ROWS)))
+def gathered(df: DataFrame, n: int, wide: int = 1) -> DataFrame:
+    """A frame of n rows in partitions of about ROWS / wide: a table of fewer rows is one partition, which needs no
+    exchange. wide: how many times the bytes of a few numbers a row has."""
+    return df.coalesce(max(1, -(-n * wide // ROWS)))
 
 
 def sent(df: DataFrame, n: int) -> DataFrame:
