@@ -1,4 +1,7 @@
-"""From raw documents to packed training sequences, one operator of quillspark.llm a stage."""
+"""From raw documents to packed training sequences, one operator of quillspark.llm a stage.
+
+All stages but the last pass rows on as they came, extra columns of any name too, and give no rows for an empty table.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,11 @@ from quillspark.llm.tables import ship, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on labels, doesn't take for junk."""
+    """Documents that the classifier, trained on labels, doesn't take for junk.
+
+    Null and empty texts are scored like any other; rows that repeat a text stay or go together; without labels of both
+    kinds all stay, unless all labels are bad.
+    """
     ship(spark)
     labels = table(spark, sf_dir, "labels")
     network = byte_cnn.trained(table(spark, sf_dir, "documents"), labels, remainder(F.col("doc_id"), 5) != 0)
@@ -19,24 +26,39 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that labelled documents have."""
+    """Documents in a language that labelled documents have.
+
+    Null texts and texts without letters go; ties go to the first language by code point, and to no document whose best
+    language has less than half of the odds; without labelled rows all texts with letters stay.
+    """
     ship(spark)
     return langid.accepted(docs, langid.trained(docs, remainder(F.col("doc_id"), 3) != 1))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: every row of the one with the smallest doc_id and its text.
+
+    Texts without words are linked with nothing and stay; rows without a doc_id are decided by their own text.
+    """
     ship(spark)
     return minhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them."""
+    """The documents that the mix takes, as often as it takes them (a part of a document counts as once).
+
+    Null and empty texts have no words and go; a null source is a source of its own; a document without a label has
+    weight 1; rows that repeat a doc_id, source and size come each as often as the likeliest of them.
+    """
     return mixing.selected(docs, table(spark, sf_dir, "labels"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences."""
+    """The pieces of training sequences.
+
+    Null and empty texts give the end id alone; repeated rows are documents of their own; long texts are cut; an empty
+    table gives no pieces.
+    """
     ship(spark)
     return packing.pack_documents(docs)
 
