@@ -28,8 +28,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that labelled documents have.
 
-    Null texts and texts without letters go; ties go to the first language by code point, and to no document whose best
-    language has less than half of the odds; without labelled rows all texts with letters stay.
+    Null texts, texts without letters and texts whose best language has less than half of the odds go; ties go to the
+    first language by code point; without labelled rows all texts with letters stay.
     """
     ship(spark)
     return langid.accepted(docs, langid.trained(docs, remainder(F.col("doc_id"), 3) != 1))
