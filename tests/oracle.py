@@ -6,6 +6,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def connection(sf_dir: str):
 
 
 def _plain(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return ""
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return str(bool(x))
