@@ -131,7 +131,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS, seed: str = "1:") ->
     """The k vectors (vec_id, v) of smallest sha256 of the seed and the vec_id."""
     h = F.sha2(F.concat(F.lit(seed), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
     chosen = vectors.select(h.alias("h"), "v").orderBy("h", "v").limit(k).collect()
-    return np.array([r.v for r in sorted(chosen, key=lambda r: (r.h, list(r.v)))], np.int64).reshape(len(chosen), -1)
+    return np.array([r.v for r in sorted(chosen, key=lambda r: (r.h, list(r.v)))], np.int64).reshape(len(chosen), -1 if chosen else 0)
 
 
 def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, scale: float = SCALE) -> DataFrame:
