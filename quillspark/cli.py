@@ -6,6 +6,7 @@ Phases meet in tables under the warehouse of the configuration, so each can be r
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import logging.handlers
 from collections.abc import Callable
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import config as settings
+from quillspark import stages
 from quillspark.operators import axes, store
 from quillspark.plans import phases, registry
-from quillspark.sources import archive, mappers, open_data, readers, reports
+from quillspark.sources import archive, keyed, mappers, open_data, readers, reports
 
 log = logging.getLogger("quillspark")
 
@@ -95,32 +97,48 @@ def everything(run: Run) -> None:
         step(run)
 
 
+LEDGER = "run_id string, source string, params string, fetched long, stored long, at string, state string"
+
+
+def noted(run: Run, run_id: str, source: str, state: str, params: str | None = None, fetched: int | None = None, stored: int | None = None) -> None:
+    """One more event of a run in the ledger, which is only appended to (see store.ledger_state)."""
+    event = [(run_id, source, params, fetched, stored, datetime.now(UTC).isoformat(), state)]
+    run.spark.createDataFrame(event, LEDGER).coalesce(1).write.mode("append").parquet(run.conf.path("runs"))
+
+
 def collect(run: Run) -> None:
-    """Open data into the store: new ids alone come in, and the run is noted in the ledger."""
+    """Open data into the store: new ids alone come in. The run's start, finish and both counts are noted in the ledger;
+    a run that ended early has a start alone."""
     listed = lambda x: [k for k in (x or "").split(",") if k]
     rows = open_data.collected(run.spark, run.given.folder, listed(run.given.texts), listed(run.given.regions), **({"split": "always"} if run.given.all_regions else {}))
-    new = rows.select("id", "data")
     if run.given.dry_run:
-        print(f"{new.count()} records")
+        print(f"{rows.count()} records")
         return
-    path = run.conf.path("raw")
-    held = readers.optional(run.spark, path, "id string, data string")
-    fresh = new.join(held.select("id"), "id", "left_anti")
-    fresh.write.mode("append").parquet(path)
-    entry = [(run.given.run or f"trudvsem-{datetime.now(UTC):%m%d_%H%M}", "trudvsem", new.count(), datetime.now(UTC).isoformat())]
-    run.spark.createDataFrame(entry, "run_id string, source string, fetched long, at string").write.mode("append").parquet(run.conf.path("runs"))
+    run_id = run.given.run or f"trudvsem-{datetime.now(UTC):%m%d_%H%M}"
+    given = {k: v for k, v in vars(run.given).items() if k in ("folder", "texts", "regions", "all_regions")}
+    noted(run, run_id, "trudvsem", "started", json.dumps(given))
+    # fetched once: what comes is written before it is counted, compared and stored
+    found, seen = stages.counted(rows.select("id", F.lit(run_id).alias("run_id"), F.lit(datetime.now(UTC).isoformat()).alias("fetched_at"), "data"), "collected")
+    stored = keyed.insert(found, run.conf.path("raw"), "id", "fetched_at")
+    noted(run, run_id, "trudvsem", "finished", None, seen["n"], stored)
+    print(f"{seen['n']} records fetched, {stored} stored")
 
 
 def verify(run: Run) -> None:
     rows = run.table("raw")
     store.field_presence(mappers.mapped(rows.select(F.col("data").alias("raw"), F.lit("").alias("capture_ts")), "trudvsem").select("id", "name", "description"), ["id", "name", "description"]).show()
-    run.table("runs").groupBy("source").agg(F.count("*").alias("runs"), F.sum("fetched").alias("fetched")).show()
+    state = store.ledger_state(run.table("runs"), "run_id", "at")
+    state.groupBy("source").agg(
+        F.count("*").alias("runs"), F.count_if(F.col("state") == "finished").alias("finished"), F.sum("fetched").alias("fetched"), F.sum("stored").alias("stored")
+    ).show()
 
 
 def merge(run: Run) -> None:
-    out, n = store.merged(readers.parquet(run.spark, run.given.into), readers.parquet(run.spark, run.given.other), "id", [F.asc("id")])
-    readers.write_parquet(out, run.given.out)
-    print(f"{n.first().n} records merged")
+    into, other = (readers.parquet(run.spark, p) for p in (run.given.into, run.given.other))
+    order = [F.asc(c) for c in into.columns]
+    fresh, seen = stages.counted(store.fresh(into, other, "id", order), "merged")
+    readers.write_parquet(into.unionByName(fresh.select(*into.columns)), run.given.out)
+    print(f"{seen['n']} records merged")
 
 
 def census(run: Run) -> None:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 def insert_or_ignore(stored: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The stored rows and the new ones of keys not stored; of several new rows of a key the first in order."""
+    return stored.unionByName(fresh(stored, new, key, order).select(*stored.columns))
+
+
+def fresh(stored: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The new rows of keys not stored; of several rows of a key the first in order."""
     from quillspark.operators.text import top
 
-    fresh = top(new.join(stored.select(key), key, "left_anti"), [key], order, 1, "__nth").drop("__nth")
-    return stored.unionByName(fresh.select(*stored.columns))
+    return top(new.join(stored.select(key), key, "left_anti"), [key], order, 1, "__nth").drop("__nth")
 
 
 def merged(stored: DataFrame, new: DataFrame, key: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import stages
 from quillspark.sources.mappers import archive_rows
 
 # Which address patterns a network's archive has in which years; the years between have none.
@@ -121,15 +122,31 @@ def fetched(captures: DataFrame, fetch: Fetch, base: str = "http://web.archive.o
                 errors.append(None if ok else "type" if status == 200 else "missing" if 400 <= status < 500 and status != 429 else "failed")
             yield pdf.assign(html=pages, error=errors)
 
+    stages.ship(captures.sparkSession)
     return captures.select("timestamp", "original").mapInPandas(run, "timestamp string, original string, html string, error string")
 
 
-def recovered(missing: DataFrame, fetch: Fetch, passes: int = 2, **options) -> DataFrame:
-    """What `fetched` gives after further passes over what failed; missing pages aren't asked for again."""
-    done = fetched(missing, fetch, **options)
-    for _ in range(passes - 1):
-        again = done.where("error = 'failed'").select("timestamp", "original")
-        done = done.where("error is null or error <> 'failed'").unionByName(fetched(again, fetch, **options))
+def recovered(
+    missing: DataFrame, fetch: Fetch, passes: int = 3, again: tuple[str, ...] = ("failed",), pause: float = 0.0, sleep: Callable[[float], None] = time.sleep, **options
+) -> DataFrame:
+    """What `fetched` gives for each distinct capture after passes over those whose error is in `again`.
+
+    Every pass is written with what it fetched, and the next reads its failures from there: a page is asked for once a
+    pass, failing before, and comes once. pause: seconds before the second pass, twice as many before the third, and so on.
+    """
+    left, done = missing.select("timestamp", "original").distinct(), None
+    for nth in range(passes):
+        if nth and pause:
+            sleep(pause * nth)
+        failed = F.coalesce(F.col("error").isin(*again), F.lit(False))
+        found, seen = stages.counted(fetched(left, fetch, **options), "recovered", failed=F.count_if(failed))
+        last = nth == passes - 1 or not seen["failed"]
+        kept = found if last else found.where(~failed)
+        done = kept if done is None else done.unionByName(kept)
+        if last:
+            break
+        # as many tasks as a first pass would have for these pages
+        left = found.where(failed).select("timestamp", "original").repartition(max(1, min(missing.sparkSession.sparkContext.defaultParallelism, seen["failed"])))
     return done
 
 

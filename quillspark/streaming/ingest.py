@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillspark.sources import keyed
+
 
 def records(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     """Files of JSON lines as they arrive; the option is the rate limit."""
@@ -22,13 +24,11 @@ def weekly_captures(stream: DataFrame, at: str, by: str, delay: str = "1 day") -
     return stream.withWatermark(at, delay).groupBy(window, by).agg(F.count("*").alias("captures")).select("window.start", "window.end", by, "captures")
 
 
-def store(stream: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Appends the rows of keys that the table at path lacks; a batch that runs again adds nothing."""
+def store(stream: DataFrame, path: str, key: str, at: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Adds the rows of keys that the bucketed store at path lacks, of a key the first by time; a batch that runs again
+    adds nothing (see quillspark.sources.keyed)."""
 
     def add(batch: DataFrame, _: int) -> None:
-        from quillspark.sources.readers import optional
-
-        held = optional(batch.sparkSession, path, batch.schema)
-        batch.dropDuplicates([key]).join(held.select(key), key, "left_anti").write.mode("append").parquet(path)
+        keyed.insert(batch, path, key, at, buckets)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -93,6 +93,7 @@ def test_channel_messages(spark, tmp_path):
 
 def test_commands(spark, tmp_path, capsys):
     from quillspark import cli
+    from quillspark.operators import store
 
     (tmp_path / "c.yaml").write_text(f"warehouse: {tmp_path}/w\n")
     call = lambda *a: cli.main(["--config", str(tmp_path / "c.yaml"), "--domain", "d", *map(str, a)])
@@ -101,7 +102,10 @@ def test_commands(spark, tmp_path, capsys):
     assert "120 records" in capsys.readouterr().out
     call("collect", tmp_path / "s", "--run", "r1")
     call("collect", tmp_path / "s", "--run", "r2")
-    assert spark.read.parquet(f"{tmp_path}/w/raw").count() == 120 and spark.read.parquet(f"{tmp_path}/w/runs").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/w/raw").count() == 120
+    assert "120 records fetched, 0 stored" in capsys.readouterr().out
+    runs = store.ledger_state(spark.read.parquet(f"{tmp_path}/w/runs"), "run_id", "at").collect()
+    assert sorted((r.run_id, r.state, r.fetched, r.stored) for r in runs) == [("r1", "finished", 120, 120), ("r2", "finished", 120, 0)]
     call("verify")
     call("merge", f"{tmp_path}/w/raw/domain=d", f"{tmp_path}/w/raw/domain=d", tmp_path / "m")
     assert "0 records merged" in capsys.readouterr().out

@@ -136,7 +136,7 @@ def test_stream_is_idempotent(spark, tmp_path):
     src.mkdir()
     for i in range(2):
         (src / f"{i}.json").write_text("\n".join(json.dumps({"id": k, "v": i}) for k in range(3 + i)))
-        ingest.store(ingest.records(spark, str(src), "id int, v int"), out, "id", str(tmp_path / f"check{i}")).awaitTermination()
+        ingest.store(ingest.records(spark, str(src), "id int, v int"), out, "id", "v", str(tmp_path / f"check{i}")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
 
 
