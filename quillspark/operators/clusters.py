@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import stages
 from quillspark.functions.vectors import cosine, norm, normalised
+from quillspark.operators import neighbours
 
 
 def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
@@ -85,30 +86,44 @@ def davies_bouldin(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return pairs.groupBy("a").agg(F.max(ratio).alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
 
 
-def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: float) -> DataFrame:
-    """key, leader, weight: in falling weight (then key) a row joins the first leader at `least` cosine or more, else
-    leads. Only rows that are similar to another, with the links between them, meet in one task."""
-    unit = normalised(F.col(vector))
-    links = similar_pairs(rows.select(key, unit.alias("__v")), key, "__v", least - 1e-9)
-    of = lambda k: rows.select(F.col(key).alias(k), F.col(weight).cast("double").alias(f"w_{k}"))
-    known = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("g", F.lit(0))
-    kind = rows.schema[key].dataType.simpleString()
+def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: float, orders: int = neighbours.ORDERS, width: int = neighbours.WIDTH) -> DataFrame:
+    """key, leader, weight: in falling weight (then key) a row joins the first leader at `least` cosine or more, else leads.
 
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = dict(zip(pdf["a"], pdf["w_a"])) | dict(zip(pdf["b"], pdf["w_b"]))
-        order = {k: i for i, k in enumerate(sorted(weights, key=lambda k: (-weights[k], k)))}
-        near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            first, second = (a, b) if order[a] < order[b] else (b, a)
-            near.setdefault(second, []).append(first)
-        leader: dict = {}
-        for k in order:
-            above = [x for x in near.get(k, []) if leader[x] == x]
-            leader[k] = min(above, key=order.get) if above else k
-        return pd.DataFrame({"__k": list(leader), "__leader": list(leader.values())})
-
-    found = known.groupBy("g").applyInPandas(lead, f"__k {kind}, __leader {kind}")
-    return rows.select(key, weight).join(found, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__leader", key).alias("leader"), weight)
+    Links are found by vector orders and compared exactly. They are settled in rounds: a row without an open likelier
+    neighbour leads, its neighbours follow, and both leave the graph; so the leaders are those of a loop over all rows, and
+    no task holds more than its share of the links. Keys are distinct; rows without a vector lead themselves.
+    """
+    unit = normalised(F.col(vector).cast("array<double>"))
+    kept = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("k"), F.col(weight).cast("double").alias("w"), unit.alias("v"))
+    points, seen = stages.counted(kept.withColumn("id", F.monotonically_increasing_id()), "points", size=F.max(F.size("v")))
+    kind = rows.schema[key].dataType
+    if not seen["n"]:
+        return rows.select(key, F.col(key).alias("leader"), weight)
+    found = neighbours.similar(points, seen["n"], seen["size"], least - 1e-9, orders, width)
+    of = lambda c: points.select(F.col("id").alias(c), F.struct((-F.col("w")).alias("w"), F.col("k").alias("k")).alias(f"place_{c}"))
+    known = found.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    first = F.col("place_a") < F.col("place_b")
+    links = stages.written(known.select(F.when(first, F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("l")).select("l.*"), "links")
+    follows = settled(links)
+    leading = links.join(follows.select(F.col("b").alias("a")), "a", "left_anti").join(of("a"), "a")
+    chosen = leading.groupBy("b").agg(F.min("place_a").alias("place")).select("b", F.col("place.k").cast(kind).alias("__leader"))
+    named = chosen.join(points.select(F.col("id").alias("b"), F.col("k").alias("__k")), "b").select("__k", "__leader")
+    return rows.select(key, weight).join(named, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__leader", key).alias("leader"), weight)
+
+
+def settled(links: DataFrame) -> DataFrame:
+    """b of links (a, b; a before b, no circles): the rows that follow a leader before them. Those with no open row before
+    them lead; each round settles them and their neighbours."""
+    live, seen = stages.counted(links, "open")
+    followers = None
+    while seen["n"]:
+        leads = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        new = stages.written(live.join(leads, "a", "left_semi").select("b").distinct(), "followers")
+        followers = new if followers is None else followers.unionByName(new)
+        # a leader's links end with its followers, and theirs with them
+        rest = live.join(new, "b", "left_anti").join(new.select(F.col("b").alias("a")), "a", "left_anti")
+        live, seen = stages.counted(rest, "open")
+    return links.select("b").limit(0) if followers is None else followers
 
 
 def silhouettes(rows: DataFrame, key: str, label: str, vector: str, noise: int = -1, block: int = 1024) -> DataFrame:
