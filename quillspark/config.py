@@ -15,6 +15,10 @@ class Config:
     dedup_similarity: float = 0.85
     min_document_frequency: int = 5
     max_skills: int = 30
+    max_words: int = 8
+    min_cluster_size: int = 10
+    min_samples: int | None = None
+    cluster_epsilon: float = 0.25
     top_skills: int = 15
     experience_bins: tuple[int, ...] = (0, 1, 3, 5, 10)
     axes: tuple[str, ...] = ("domain_knowledge", "experimental", "data_analysis", "computational", "professional_texts", "t_profile", "management")

@@ -23,18 +23,26 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return mean.groupBy(label).agg(ordered.alias("centroid")).join(members, label)
 
 
-def nearest(rows: DataFrame, key: str, vector: str, centres: DataFrame, label: str) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vector: str, centres: DataFrame, label: str, most: int = 2048) -> DataFrame:
     """key, nearest, similarity: the most similar of the centres, of equal ones the least label.
 
-    Centres are one row per label, a number that is chosen and doesn't grow with the rows; they go to the rows as one
-    array, so rows are neither multiplied nor shuffled.
+    Up to `most` centres go to the rows as one array, so rows are neither multiplied nor shuffled; more are dealt into
+    groups of so many by hash, each row meets each group, and the best of a row's groups stays.
     """
-    named = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c")))).alias("__all"))
+    held, seen = stages.counted(centres.select(F.col(label).alias("label"), F.col("centroid").alias("c")), "centres")
+    groups = max(1, -(-seen["n"] // most))
+    packed = held.groupBy(F.pmod(F.xxhash64("label"), F.lit(groups)).alias("__g")).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("__all"))
     similarity = F.transform("__all", lambda c: F.struct(cosine(F.col(vector), c["c"]).alias("similarity"), c["label"].alias("label")))
     better = lambda a, b: F.when(a["similarity"].isNull() | (b["similarity"] > a["similarity"]), b).otherwise(a)
-    found = rows.select(key, vector).crossJoin(F.broadcast(named)).withColumn("__s", similarity)  # one row
-    best = F.aggregate(F.slice("__s", 2, F.size("__s")), F.col("__s")[0], better)
-    return found.select(key, best.alias("b")).select(key, F.col("b.label").alias("nearest"), "b.similarity")
+    if groups == 1:
+        found = rows.select(key, vector).crossJoin(F.broadcast(packed)).withColumn("__s", similarity)  # one row
+    else:
+        asked = rows.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("__g"))
+        found = asked.join(packed, "__g").withColumn("__s", similarity)
+    best = found.select(key, F.aggregate(F.slice("__s", 2, F.size("__s")), F.col("__s")[0], better).alias("b"))
+    if groups > 1:
+        best = best.groupBy(key).agg(F.min_by("b", F.struct(-F.col("b.similarity"), "b.label")).alias("b"))
+    return best.select(key, F.col("b.label").alias("nearest"), "b.similarity")
 
 
 def similar_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = 1024) -> DataFrame:
@@ -86,8 +94,14 @@ def davies_bouldin(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return pairs.groupBy("a").agg(F.max(ratio).alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
 
 
-def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: float, orders: int = neighbours.ORDERS, width: int = neighbours.WIDTH) -> DataFrame:
-    """key, leader, weight: in falling weight (then key) a row joins the first leader at `least` cosine or more, else leads.
+def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: float, **options) -> DataFrame:
+    """key, leader, weight (see led)."""
+    return led(rows, key, weight, vector, least, **options).select(key, "leader", weight)
+
+
+def led(rows: DataFrame, key: str, weight: str, vector: str, least: float, orders: int = neighbours.ORDERS, width: int = neighbours.WIDTH) -> DataFrame:
+    """key, weight, leader, nearest: in falling weight (then key) a row joins the first leader at `least` cosine or more, else leads;
+    nearest is the leader of the greatest cosine, which for a row that follows is one of those it is linked to.
 
     Links are found by vector orders and compared exactly. They are settled in rounds: a row without an open likelier
     neighbour leads, its neighbours follow, and both leave the graph; so the leaders are those of a loop over all rows, and
@@ -98,17 +112,19 @@ def greedy_leaders(rows: DataFrame, key: str, weight: str, vector: str, least: f
     points, seen = stages.counted(kept.withColumn("id", F.monotonically_increasing_id()), "points", size=F.max(F.size("v")))
     kind = rows.schema[key].dataType
     if not seen["n"]:
-        return rows.select(key, F.col(key).alias("leader"), weight)
+        return rows.select(key, weight, F.col(key).alias("leader"), F.col(key).alias("nearest"))
     found = neighbours.similar(points, seen["n"], seen["size"], least - 1e-9, orders, width)
     of = lambda c: points.select(F.col("id").alias(c), F.struct((-F.col("w")).alias("w"), F.col("k").alias("k")).alias(f"place_{c}"))
-    known = found.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    known = found.join(of("a"), "a").join(of("b"), "b")
     first = F.col("place_a") < F.col("place_b")
-    links = stages.written(known.select(F.when(first, F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("l")).select("l.*"), "links")
-    follows = settled(links)
+    links = stages.written(known.select(F.when(first, F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("l"), "similarity").select("l.*", "similarity"), "links")
+    follows = settled(links.select("a", "b"))
     leading = links.join(follows.select(F.col("b").alias("a")), "a", "left_anti").join(of("a"), "a")
-    chosen = leading.groupBy("b").agg(F.min("place_a").alias("place")).select("b", F.col("place.k").cast(kind).alias("__leader"))
-    named = chosen.join(points.select(F.col("id").alias("b"), F.col("k").alias("__k")), "b").select("__k", "__leader")
-    return rows.select(key, weight).join(named, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__leader", key).alias("leader"), weight)
+    of_all = leading.groupBy("b").agg(F.min("place_a").alias("first"), F.min(F.struct(-F.col("similarity"), F.col("place_a").alias("place"))).alias("near"))
+    chosen = of_all.select("b", F.col("first.k").cast(kind).alias("__leader"), F.col("near.place.k").cast(kind).alias("__nearest"))
+    named = chosen.join(points.select(F.col("id").alias("b"), F.col("k").alias("__k")), "b").select("__k", "__leader", "__nearest")
+    joined = rows.select(key, weight).join(named, F.col(key) == F.col("__k"), "left")
+    return joined.select(key, weight, F.coalesce("__leader", key).alias("leader"), F.coalesce("__nearest", key).alias("nearest"))
 
 
 def settled(links: DataFrame) -> DataFrame:
