@@ -5,44 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import stages
 from quillspark.operators.text import top
 
 
+def _by_item(rows: DataFrame, group: str, item: str, count: str) -> DataFrame:
+    """item, held: what each group has of the item, (group, count) in order of groups. There are few groups, so a row is
+    short; what is asked of all groups is asked of these rows, for which Spark reads the same shuffle again."""
+    return rows.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col(count).alias("n")))).alias("held"))
+
+
+def _groups(by_item: DataFrame) -> DataFrame:
+    """One row: groups, all of them in order, and their number."""
+    named = by_item.select(F.inline("held")).groupBy("g").agg(F.max("n").alias("n"))
+    return named.agg(F.array_sort(F.collect_list("g")).alias("groups"))
+
+
 def jaccard(rows: DataFrame, group: str, item: str) -> DataFrame:
     """a, b, jaccard of all ordered pairs of groups; 1 with itself, 0 where both are empty."""
-    items = rows.select(group, item).distinct()
-    size = items.groupBy(group).agg(F.count("*").alias("n"))
-    side = lambda k: items.select(F.col(group).alias(k), item)
-    both = side("a").join(side("b"), item).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    named = lambda k: size.select(F.col(group).alias(k), F.col("n").alias(f"n_{k}"))
-    pairs = named("a").crossJoin(F.broadcast(named("b")))  # a pair for each two groups is the result itself
-    shared = F.coalesce("shared", F.lit(0))
-    share = F.coalesce(F.try_divide(shared.cast("double"), F.col("n_a") + F.col("n_b") - shared), F.lit(0.0))
-    return pairs.join(both, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(share).alias("jaccard"))
+    own = _by_item(rows.select(group, item).distinct().withColumn("__n", F.lit(1)), group, item, "__n")
+    pairs = own.select(F.explode("held").alias("x"), "held").select(F.col("x.g").alias("a"), F.explode("held").alias("y")).groupBy("a", F.col("y.g").alias("b"))
+    shared = stages.written(pairs.agg(F.count("*").alias("n")), "shared")  # a row for two groups at most
+    size = shared.where("a = b")
+    named = lambda k: size.select(F.col("a").alias(k), F.col("n").alias(f"n_{k}"))
+    grid = named("a").crossJoin(F.broadcast(named("b")))  # a pair for each two groups is the result itself
+    both = F.coalesce("n", F.lit(0))
+    share = F.coalesce(F.try_divide(both.cast("double"), F.col("n_a") + F.col("n_b") - both), F.lit(0.0))
+    return grid.join(shared, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(share).alias("jaccard"))
 
 
 def shared(rows: DataFrame, group: str, item: str, count: str, least: int) -> DataFrame:
     """item, least, total of the items that every group has `least` times or more."""
-    groups = rows.agg(F.count_distinct(group).alias("groups"))
-    kept = rows.where(F.col(count) >= least).groupBy(item).agg(F.count("*").alias("n"), F.min(count).alias("least"), F.sum(count).alias("total"))
-    return kept.crossJoin(F.broadcast(groups)).where("n = groups").select(item, "least", "total")
+    own = _by_item(rows, group, item, count)
+    often = F.filter("held", lambda x: x["n"] >= least)
+    counts = F.transform(often, lambda x: x["n"])
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+    kept = own.crossJoin(F.broadcast(_groups(own))).where(F.size(often) == F.size("groups"))  # one row
+    return kept.select(item, F.array_min(counts).alias("least"), total.alias("total"))
 
 
 def unique(rows: DataFrame, group: str, item: str, count: str, least: int, elsewhere: int) -> DataFrame:
     """The rows of `least` or more whose item no other group has `elsewhere` times or more."""
-    often = rows.where(F.col(count) >= elsewhere).groupBy(item).agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
-    kept = rows.where(F.col(count) >= least).join(often, item, "left")
-    return kept.where((F.col("lo").isNull()) | ((F.col("lo") == F.col(group)) & (F.col("hi") == F.col(group)))).select(group, item, count)
+    own = _by_item(rows, group, item, count).select(item, F.explode("held").alias("x"), "held")
+    others = F.exists("held", lambda y: (y["g"] != F.col("x.g")) & (y["n"] >= elsewhere))
+    return own.where((F.col("x.n") >= least) & ~others).select(F.col("x.g").alias(group), item, F.col("x.n").alias(count))
 
 
-def differences(rows: DataFrame, group: str, item: str, count: str) -> DataFrame:
+def differences(rows: DataFrame, group: str, item: str, count: str, missing: bool = False) -> DataFrame:
     """a, b, item, score: the count in a / (1 + count in b) of the items of a, for each ordered pair of groups, of which
-    there are few."""
-    groups = rows.select(F.col(group).alias("b")).distinct()
-    own = rows.select(F.col(group).alias("a"), item, F.col(count).alias("n_a"))
-    other = rows.select(F.col(group).alias("b"), item, F.col(count).alias("n_b"))
-    paired = own.join(groups, F.col("a") != F.col("b")).join(other, ["b", item], "left")
-    return paired.select("a", "b", item, F.round(F.col("n_a") / (1.0 + F.coalesce("n_b", F.lit(0))), 4).alias("score"))
+    there are few. missing: the items of b that a lacks come too, with score 0."""
+    own = _by_item(rows, group, item, count)
+    every = own.crossJoin(F.broadcast(_groups(own)))  # one row
+    amounts = F.map_from_entries("held")
+    sides = every.select(item, amounts.alias("n"), "groups", F.explode("groups" if missing else F.map_keys(amounts)).alias("a"))
+    pairs = sides.select("a", F.explode("groups").alias("b"), item, "n").where("a <> b")
+    if missing:
+        pairs = pairs.where(F.map_contains_key("n", F.col("a")) | F.map_contains_key("n", F.col("b")))
+    of = lambda k: F.coalesce(F.try_element_at("n", F.col(k)), F.lit(0))
+    return pairs.select("a", "b", item, F.round(of("a") / (1.0 + of("b")), 4).alias("score"))
 
 
 def differentiating(rows: DataFrame, group: str, item: str, count: str, n: int) -> DataFrame:

@@ -28,12 +28,16 @@ def frequent(rows: DataFrame, term: str, least: int) -> DataFrame:
 def tfidf(rows: DataFrame, doc: str) -> DataFrame:
     """Pairs with their df get weight = ln(1 + documents / df) / terms of the document.
 
-    All counts are of the pairs given, so after any cap or filter applied to them; df must be of these documents.
+    All counts are of the pairs given, so after any cap or filter applied to them; df must be of these documents. The pairs
+    of a document are gathered once: their number is its number of terms, and the number of such rows that of documents,
+    for which Spark reads the same shuffle again.
     """
-    total = rows.select(doc).distinct().agg(F.count("*").alias("n_docs"))
-    in_doc = F.count("*").over(Window.partitionBy(doc))
-    weighted = rows.withColumn("n_terms", in_doc).crossJoin(F.broadcast(total))  # one row
-    return weighted.withColumn("weight", F.log(1 + F.col("n_docs") / F.col("df")) / F.col("n_terms")).drop("n_docs", "n_terms", "df")
+    rest = [c for c in rows.columns if c != doc]
+    held = rows.groupBy(doc).agg(F.collect_list(F.struct(*rest)).alias("__pairs"))
+    total = held.agg(F.count_if(F.size("__pairs") > 0).alias("__docs"))
+    every = held.crossJoin(F.broadcast(total)).select(doc, "__docs", F.size("__pairs").alias("__n"), F.inline("__pairs"))  # one row
+    weight = F.log(1 + F.col("__docs") / F.col("df")) / F.col("__n")
+    return every.withColumn("weight", weight).drop("__docs", "__n", "df")
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
