@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"\d{1,3}(?:[ \x{A0}\x{202F}]\d{3})+|\d+"
 #: Genitive Russian month names in order.
 MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 
@@ -85,34 +84,66 @@ def leading_year(text: Column) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    """ISO dates as they are, DD.MM.YYYY and 'DD month YYYY' as ISO; other text unchanged."""
+    """What begins as D.M.YYYY or 'D month YYYY' as an ISO date; other text trimmed."""
     t = F.trim(text)
-    dotted = F.when(t.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), F.concat_ws("-", F.substring(t, 7, 4), F.substring(t, 4, 2), F.substring(t, 1, 2)))
+    two = lambda c: F.lpad(c, 2, "0")
+    dots = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})"
+    part = lambda i: F.regexp_extract(t, dots, i)
+    dotted = F.when(t.rlike(dots), F.concat_ws("-", part(3), two(part(2)), two(part(1))))
     names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
     month = F.try_element_at(names, first(F.lower(t), r"^\d{1,2}\s+(\p{L}+)\s+\d{4}"))
-    worded = F.when(month.isNotNull(), F.concat_ws("-", first(t, r"(\d{4})"), month, F.lpad(first(t, r"^(\d{1,2})"), 2, "0")))
-    return F.coalesce(dotted, worded, text)
+    worded = F.when(month.isNotNull(), F.concat_ws("-", first(t, r"(\d{4})"), month, two(first(t, r"^(\d{1,2})"))))
+    return F.coalesce(dotted, worded, t)
+
+
+# How amounts of money are written.
+SIGN = r"(?:\$|USD\s*|€|EUR\s*|£|GBP\s*)"
+AMOUNT = r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*[Kk]?)"
+BETWEEN = r"\s*(?:-|–|to|—)\s*"
+HOURLY, YEAR_OF_HOURS = ("per hour", "/hr", "/hour"), 2080
 
 
 def currency(text: Column) -> Column:
     t = F.lower(text)
-    return F.when(t.rlike("руб|₽"), "RUR").when(t.rlike(r"\$|usd"), "USD").when(t.rlike("€|eur"), "EUR").when(t.rlike("£|gbp"), "GBP")
+    return F.when(t.rlike("руб"), "RUR").when(t.rlike(r"\$|usd"), "USD").when(t.rlike("€|eur"), "EUR").when(t.rlike("£|gbp"), "GBP")
 
 
-def salary(text: Column) -> Column:
-    """from, to, currency; 'K' is a thousand, an hourly rate a year of 2,080 hours; one number counts by its 'от' or 'до'."""
-    t = F.lower(F.regexp_replace(text, ",", ""))
-    digits = F.transform(F.regexp_extract_all(t, F.lit(f"({_NUMBER})"), 1), lambda x: F.regexp_replace(x, r"[ \x{A0}\x{202F}]", "").cast("double"))
-    factor = F.when(t.rlike(r"\d\s*k\b"), 1000).otherwise(1) * F.when(t.rlike(r"/\s*h|per hour|в час"), 2080).otherwise(1)
-    numbers = F.transform(digits, lambda x: (x * factor).cast("int"))
-    low, high = F.array_min(numbers), F.array_max(numbers)
+def _amount(raw: Column) -> Column:
+    """A written amount as a whole number (halves to even); K is a thousand."""
+    bare = F.upper(F.trim(F.replace(raw, F.lit(","), F.lit(""))))
+    value = F.trim(F.rtrim(bare, F.lit("K"))).try_cast("double")
+    return F.rint(value * F.when(bare.endswith("K"), 1000).otherwise(1)).try_cast("int")
+
+
+def _russian_salary(t: Column) -> tuple[Column, Column]:
+    """Numbers with spaces in them: of several the least and greatest; one counts by its 'от' or 'до'."""
+    spaced = F.regexp_extract_all(t, F.lit(r"(?U)(\d[\d\s\x{A0}]*\d|\d+)"), 1)
+    numbers = F.array_compact(F.transform(spaced, lambda x: F.regexp_replace(x, r"[ \x{A0}]", "").try_cast("int")))
+    upto = F.contains(F.lower(t), F.lit("до")) & ~F.contains(F.lower(t), F.lit("от"))
     one = F.size(numbers) == 1
-    upto = t.rlike(r"(?:^|\s)(?:до|up to)\s")
-    return F.struct(
-        F.when(one & upto, F.lit(None)).otherwise(low).alias("from"),
-        F.when(one & ~upto, F.lit(None)).otherwise(high).alias("to"),
-        F.when(F.size(numbers) > 0, currency(text)).alias("currency"),
-    )
+    low, high = F.array_min(numbers), F.array_max(numbers)
+    return F.when(~(one & upto), low), F.when(~one | upto, high)
+
+
+def _english_salary(t: Column) -> tuple[Column, Column]:
+    """A range; else an amount with a currency before it; else an hourly rate as a year's."""
+    spread = f"{SIGN}?\\s*{AMOUNT}{BETWEEN}{SIGN}?\\s*{AMOUNT}"
+    single = first(t, f"{SIGN}\\s*{AMOUNT}")
+    hourly = F.lit(False)
+    for word in HOURLY:
+        hourly = hourly | F.contains(F.lower(t), F.lit(word))
+    rate = F.when(hourly, (_amount(first(t, r"(\d{1,4}(?:,\d{3})*(?:\.\d+)?)")).cast("long") * YEAR_OF_HOURS).try_cast("int"))
+    both = lambda i: F.when(t.rlike(spread), _amount(F.regexp_extract(t, spread, i))).when(single.isNotNull(), _amount(single)).otherwise(rate)
+    return both(1), both(2)
+
+
+def salary(text: Column) -> Column:
+    """from, to, currency of a text about pay: Russian where it says руб, от or до, else English."""
+    t = F.trim(text)
+    low = F.lower(t)
+    russian = F.contains(low, F.lit("руб")) | F.contains(low, F.lit("от")) | F.contains(low, F.lit("до"))
+    (ru_from, ru_to), (en_from, en_to) = _russian_salary(t), _english_salary(t)
+    return F.struct(F.when(russian, ru_from).otherwise(en_from).alias("from"), F.when(russian, ru_to).otherwise(en_to).alias("to"), currency(t).alias("currency"))
 
 
 def title_or_start(title: Column, description: Column, most: int = 100) -> Column:
@@ -128,11 +159,11 @@ def url_id(url: Column) -> Column:
 
 
 def bin_label(value: Column, edges: list[int]) -> Column:
-    """'lo-hi' of the bin that holds the value, 'last+' from the last edge on; null below the first."""
+    """'lo–hi' of the bin that holds the value, 'last+' from the last edge on; null below the first."""
     out = None
     for lo, hi in zip(edges, edges[1:]):
-        label = F.when((value >= lo) & (value < hi), f"{lo}-{hi}")
-        out = label if out is None else out.when((value >= lo) & (value < hi), f"{lo}-{hi}")
+        label = F.when((value >= lo) & (value < hi), f"{lo}–{hi}")
+        out = label if out is None else out.when((value >= lo) & (value < hi), f"{lo}–{hi}")
     return out.when(value >= edges[-1], f"{edges[-1]}+")
 
 

@@ -57,27 +57,54 @@ def experience_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", F.col("r.min").alias("low"), F.col("r.max").alias("high"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders""")
+_DATED = ("{%Y-%m-%d}", "{%d.%m.%Y}", "{%-d.%-m.%Y} 10:30", " {%d.%m.%Y}, вторник", "{month}", "{month} года", "{Month}", "вчера", "{%Y-%m-%dT00:00:00}")
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % {len(_DATED)} AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k = 7 THEN 'вчера' WHEN k = 8 THEN strftime(d, '%Y-%m-%d') || 'T00:00:00' ELSE strftime(d, '%Y-%m-%d') END AS iso FROM t""")
 def iso_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates written in three ways come back as ISO."""
+    """Dates written in several ways, with one digit, a time or words after them, come back as ISO; other text stays."""
     d = F.col("o_orderdate")
-    names = F.array(*[F.lit(m) for m in tx.MONTHS])
-    worded = F.concat_ws(" ", F.date_format(d, "d"), F.element_at(names, F.month(d)), F.date_format(d, "yyyy"))
-    k = F.col("o_orderkey") % 3
-    written = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd.MM.yyyy")).otherwise(worded)
+    name = F.element_at(F.array(*[F.lit(m) for m in tx.MONTHS]), F.month(d))
+    worded = lambda m: F.concat_ws(" ", F.date_format(d, "d"), m, F.date_format(d, "yyyy"))
+    forms = {
+        "{%Y-%m-%d}": F.date_format(d, "yyyy-MM-dd"), "{%d.%m.%Y}": F.date_format(d, "dd.MM.yyyy"), "{%-d.%-m.%Y} 10:30": F.concat(F.date_format(d, "d.M.yyyy"), F.lit(" 10:30")),
+        " {%d.%m.%Y}, вторник": F.concat(F.lit(" "), F.date_format(d, "dd.MM.yyyy"), F.lit(", вторник")), "{month}": worded(name),
+        "{month} года": F.concat(worded(name), F.lit(" года")), "{Month}": worded(F.upper(name)), "вчера": F.lit(" вчера "), "{%Y-%m-%dT00:00:00}": F.date_format(d, "yyyy-MM-dd'T'00:00:00"),
+    }
+    written = F.element_at(F.array(*[forms[f] for f in _DATED]), (F.col("o_orderkey") % len(_DATED) + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.iso_date(written).alias("iso"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN -1 ELSE (o_custkey + 1000) * CASE o_orderkey % 4 WHEN 1 THEN 1000 ELSE 1 END END::INTEGER AS low,
-CASE o_orderkey % 4 WHEN 0 THEN o_custkey + 2000 WHEN 2 THEN o_custkey + 1000 ELSE -1 END::INTEGER AS high, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'RUR' END AS currency FROM orders""")
+_PAID = (
+    "$#,000 - $#,500", "EUR #K", "до # 000 руб.", "от # 000 руб.", "#000", "# per hour", "$# - $999 per hour", "от # до 9 000 руб.", "£#,250.50", "по договору",
+    "USD # to 999.5", "# — 999K €", "зарплата # 000 рублей", "$#/hr", "#.5/hour", "", "# 000 руб. (# тыс.)",
+)
+_SIGN_SQL, _AMOUNT_SQL = r"(?:\$|USD\s*|€|EUR\s*|£|GBP\s*)", r"([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?\s*[Kk]?)"
+_SPREAD_SQL = f"{_SIGN_SQL}?\\s*{_AMOUNT_SQL}\\s*(?:-|–|to|—)\\s*{_SIGN_SQL}?\\s*{_AMOUNT_SQL}"
+
+
+def _amount_sql(raw: str) -> str:
+    bare = f"trim(replace({raw}, ',', ''))"
+    return f"round_even(TRY_CAST(trim(rtrim(upper({bare}), 'K')) AS DOUBLE) * CASE WHEN upper({bare}) LIKE '%K' THEN 1000 ELSE 1 END, 0)::INTEGER"
+
+
+def _english_sql(i: int) -> str:
+    return f"""CASE WHEN regexp_matches(s, '{_SPREAD_SQL}') THEN {_amount_sql(f"regexp_extract(s, '{_SPREAD_SQL}', {i})")}
+WHEN regexp_matches(s, '{_SIGN_SQL}\\s*{_AMOUNT_SQL}') THEN {_amount_sql(f"regexp_extract(s, '{_SIGN_SQL}" + chr(92) + f"s*{_AMOUNT_SQL}', 1)")}
+WHEN contains(l, 'per hour') OR contains(l, '/hr') OR contains(l, '/hour') THEN 2080 * {_amount_sql("regexp_extract(s, '[0-9]{1,4}(?:,[0-9]{3})*(?:" + chr(92) + ".[0-9]+)?')")} END"""
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, trim(replace([{", ".join(f"'{x}'" for x in _PAID)}][1 + o_orderkey % {len(_PAID)}], '#', (o_custkey % 900 + 100)::VARCHAR)) AS s FROM orders),
+u AS (SELECT *, lower(s) AS l, list_transform(regexp_extract_all(s, '[0-9][0-9 ]*[0-9]|[0-9]+'), lambda x: replace(x, ' ', '')::INTEGER) AS n FROM t),
+r AS (SELECT o_orderkey, contains(l, 'руб') OR contains(l, 'от') OR contains(l, 'до') AS ru, s, l, n, CASE WHEN contains(l, 'руб') THEN 'RUR' WHEN contains(l, '$') OR contains(l, 'usd') THEN 'USD' WHEN contains(l, '€') OR contains(l, 'eur') THEN 'EUR'
+  WHEN contains(l, '£') OR contains(l, 'gbp') THEN 'GBP' END AS currency FROM u)
+SELECT o_orderkey, coalesce(CASE WHEN ru THEN CASE WHEN len(n) > 1 OR contains(l, 'от') OR NOT contains(l, 'до') THEN list_min(n) END ELSE {_english_sql(1)} END, -1)::INTEGER AS low,
+coalesce(CASE WHEN ru THEN CASE WHEN len(n) > 1 OR (contains(l, 'до') AND NOT contains(l, 'от')) THEN list_max(n) END ELSE {_english_sql(2)} END, -1)::INTEGER AS high, currency FROM r""")
 def salary_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, k = (F.col("o_custkey") + 1000).cast("string"), F.col("o_orderkey") % 4
-    s = (
-        F.when(k == 0, F.concat(F.lit("$"), n, F.lit(" - $"), (F.col("o_custkey") + 2000).cast("string")))
-        .when(k == 1, F.concat(n, F.lit("K EUR")))
-        .when(k == 2, F.concat(F.lit("до "), n, F.lit(" руб.")))
-        .otherwise(F.concat(F.lit("от "), n, F.lit(" руб.")))
-    )
+    """Texts about pay in both languages: ranges, single amounts, thousands, hourly rates, amounts without a currency."""
+    said = F.element_at(F.array(*[F.lit(x) for x in _PAID]), (F.col("o_orderkey") % len(_PAID) + 1).cast("int"))
+    s = F.replace(said, F.lit("#"), (F.col("o_custkey") % 900 + 100).cast("string"))
     found = table(spark, sf_dir, "orders").select("o_orderkey", tx.salary(s).alias("s"))
     return found.select("o_orderkey", F.coalesce("s.from", F.lit(-1)).alias("low"), F.coalesce("s.to", F.lit(-1)).alias("high"), "s.currency")
 

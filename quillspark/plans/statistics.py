@@ -206,7 +206,7 @@ def median_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.quantiles(rows, "role", "x", (0.5,)).where("n >= 3").select("role", "n", F.round(F.col("q")[0], 4).alias("median"))
 
 
-@query("""SELECT CASE WHEN p_size < 1 THEN '0-1' WHEN p_size < 3 THEN '1-3' WHEN p_size < 5 THEN '3-5' WHEN p_size < 10 THEN '5-10' ELSE '10+' END AS bin, count(*) AS n FROM part WHERE p_size >= 0 GROUP BY 1""")
+@query("""SELECT CASE WHEN p_size < 1 THEN '0–1' WHEN p_size < 3 THEN '1–3' WHEN p_size < 5 THEN '3–5' WHEN p_size < 10 THEN '5–10' ELSE '10+' END AS bin, count(*) AS n FROM part WHERE p_size >= 0 GROUP BY 1""")
 def experience_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.functions.text import bin_label
 

@@ -46,8 +46,16 @@ def test_embedded_state(spark):
         ("до 90 000 руб.", (None, 90000, "RUR")),
         ("от 50 000 руб.", (50000, None, "RUR")),
         ("$80,000 - $120,000", (80000, 120000, "USD")),
-        ("80K EUR", (80000, None, "EUR")),
-        ("$50/hr", (104000, None, "USD")),
+        ("$80,000", (80000, 80000, "USD")),
+        ("80000", (None, None, None)),
+        ("80K EUR", (None, None, "EUR")),
+        ("EUR 80K", (80000, 80000, "EUR")),
+        ("$40 - $60 per hour", (40, 60, "USD")),
+        ("$50/hr", (50, 50, "USD")),
+        ("50.5 per hour", (50 * 2080, 50 * 2080, None)),
+        ("£90K to £100.5K", (90000, 100500, "GBP")),
+        ("70\u00a0000 руб", (70000, None, "RUR")),
+        ("", (None, None, None)),
         ("none", (None, None, None)),
         (None, (None, None, None)),
     ],
@@ -58,9 +66,10 @@ def test_salary(spark, given, want):
 
 
 def test_dates_and_experience(spark):
-    rows = [("12 января 2011", "2011-01-12"), ("03.02.2020", "2020-02-03"), ("2021-05-06", "2021-05-06"), ("soon", "soon"), (None, None)]
+    rows = [("12 января 2011", "2011-01-12"), ("03.02.2020", "2020-02-03"), ("2021-05-06", "2021-05-06"), ("soon ", "soon"), ("5.3.2020", "2020-03-05"), ("12.01.2011 10:30", "2011-01-12"), ("1 МАЯ 2019 года", "2019-05-01"), ("1 foo 2019", "1 foo 2019"), (None, None)]
     df = spark.createDataFrame(rows, "a string, b string").select("b", tx.iso_date(F.col("a")).alias("got"))
     assert all(r.got == r.b for r in df.collect())
+    assert [r[0] for r in spark.createDataFrame([(0,), (2,), (10,), (-1,)], "n int").select(tx.bin_label(F.col("n"), [0, 1, 10])).collect()] == ["0–1", "1–10", "10+", None]
     rows = [("опыт работы от 3 лет", 3.0), ("1-3 года и опыт", 2.0), ("стаж работы 5-8 лет", 6.5), ("требуемый опыт 4 года", 4.0), ("5+ years", None), ("без опыта", None), (None, None)]
     df = spark.createDataFrame(rows, "a string, b double").select("b", tx.experience_years(F.col("a")).alias("got"))
     assert all(r.got == r.b for r in df.collect())
