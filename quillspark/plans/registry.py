@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("skills", "axes", "vectors", "statistics", "sets", "ingest", "scalars", "career", "schemes", "temporal", "mapping", "report", "charts")
+MODULES = ("skills", "axes", "vectors", "statistics", "sets", "ingest", "scalars", "career", "schemes", "temporal", "mapping", "report", "charts", "crawl")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -108,19 +108,33 @@ def retried(fetch: Fetch, address: str, tries: int = 4, first: float = 1.0, most
     return answer
 
 
+def _page(fetch: Fetch, address: str, tries: int, first: float) -> tuple[str | None, str | None]:
+    """The page, and why there is none: missing (4xx), failed (other answers), type (no HTML)."""
+    status, kind, body = retried(fetch, address, tries, first)
+    if status == 200 and kind.split(";")[0].strip() == "text/html":
+        return body, None
+    return None, "type" if status == 200 else "missing" if 400 <= status < 500 and status != 429 else "failed"
+
+
+def asked(addresses: DataFrame, fetch: Fetch, tries: int = 4, first: float = 1.0) -> DataFrame:
+    """address, html, error of addresses (see _page)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_page(fetch, a, tries, first) for a in pdf["address"]]
+            yield pdf.assign(html=[p for p, _ in found], error=[e for _, e in found])
+
+    stages.ship(addresses.sparkSession)
+    return addresses.select("address").mapInPandas(run, "address string, html string, error string")
+
+
 def fetched(captures: DataFrame, fetch: Fetch, base: str = "http://web.archive.org/web", tries: int = 4, first: float = 1.0) -> DataFrame:
-    """timestamp, original, html, error of captures: the page, or why there is none: missing (4xx), failed (other
-    answers), type (no HTML)."""
+    """timestamp, original, html, error of captures (see _page)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pages, errors = [], []
-            for at, address in zip(pdf["timestamp"], pdf["original"]):
-                status, kind, body = retried(fetch, f"{base}/{at}id_/{address}", tries, first)
-                ok = status == 200 and kind.split(";")[0].strip() == "text/html"
-                pages.append(body if ok else None)
-                errors.append(None if ok else "type" if status == 200 else "missing" if 400 <= status < 500 and status != 429 else "failed")
-            yield pdf.assign(html=pages, error=errors)
+            found = [_page(fetch, f"{base}/{at}id_/{address}", tries, first) for at, address in zip(pdf["timestamp"], pdf["original"])]
+            yield pdf.assign(html=[p for p, _ in found], error=[e for _, e in found])
 
     stages.ship(captures.sparkSession)
     return captures.select("timestamp", "original").mapInPandas(run, "timestamp string, original string, html string, error string")
