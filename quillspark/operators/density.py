@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import stages
-from quillspark.operators import graphs, neighbours
+from quillspark.operators import graphs, metrics, neighbours
 
 #: Merges of a range of the dendrogram, and heads of clusters that one task decides.
 RANGE = HEADS = 100_000
+#: Bits of a point's number below its draw's.
+DRAW = 40
 #: Least distance, so that equal points have a density.
 TINY = 1e-9
 
@@ -37,7 +39,7 @@ def reachability(near: DataFrame, samples: int) -> DataFrame:
 
 
 def _merges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """id, w, lo, hi, n_lo, n_hi of a range's edges in order of rank: what each of them joins."""
+    """id, w, lo, hi, n_lo, n_hi, p of a range's edges in order of rank: what each of them joins."""
     above: dict = {}
     facts: dict = {}
 
@@ -53,13 +55,13 @@ def _merges(pdf: pd.DataFrame) -> pd.DataFrame:
         (nx, tx), (ny, ty) = facts.get(x, (r.su, r.tu)), facts.get(y, (r.sv, r.tv))
         above[x] = y
         facts[y] = (nx + ny, r.r)
-        out.append((r.r, r.w, tx, ty, nx, ny))
-    return pd.DataFrame(out, columns=["id", "w", "lo", "hi", "n_lo", "n_hi"])
+        out.append((r.r, r.w, tx, ty, nx, ny, r.p))
+    return pd.DataFrame(out, columns=["id", "w", "lo", "hi", "n_lo", "n_hi", "p"])
 
 
 def dendrogram(tree: DataFrame, most: int = RANGE) -> tuple[DataFrame, int]:
-    """id, w, lo, hi, n_lo, n_hi of a forest's edges (a, b, w), and their number: id is the rank by weight; lo and hi are
-    what the edge joins, the id of the edge that joined it last or -1 - point; n_lo and n_hi are their points.
+    """id, w, lo, hi, n_lo, n_hi, p of a forest's edges (a, b, w), and their number: id is the rank by weight; lo and hi are
+    what the edge joins, the id of the edge that joined it last or -1 - point; n_lo and n_hi are their points, p is one.
 
     Ranges of more than `most` ranks are halved: the lower half stays as it is, and what it joins becomes one vertex in the
     upper half, with its points and its last edge. So each range can be merged by itself.
@@ -67,7 +69,7 @@ def dendrogram(tree: DataFrame, most: int = RANGE) -> tuple[DataFrame, int]:
     edges, seen = stages.counted(tree, "tree")
     one = F.lit(1).cast("long")
     side = lambda p, v: [F.col(v).alias(p), one.alias(f"s{p}"), (-1 - F.col(v)).alias(f"t{p}")]
-    rows = graphs.ranked(edges, seen["n"], ["w", "a", "b"]).select(one.alias("g"), "r", "w", *side("u", "a"), *side("v", "b"))
+    rows = graphs.ranked(edges, seen["n"], ["w", "a", "b"]).select(one.alias("g"), "r", "w", F.col("a").alias("p"), *side("u", "a"), *side("v", "b"))
     columns = rows.columns
     while True:
         large, sizes = stages.counted(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("r").alias("first")).where(F.col("n") > most), "ranges")
@@ -91,7 +93,7 @@ def dendrogram(tree: DataFrame, most: int = RANGE) -> tuple[DataFrame, int]:
             upper = joined.withColumns(new).drop("__node", "__end", "__s", "__t")
         halves = [half.withColumn("g", F.col("g") * 2 + bit).select(*columns) for bit, half in ((0, lower), (1, upper))]
         rows = stages.written(whole.unionByName(halves[0]).unionByName(halves[1]), "ranges")
-    merged = rows.groupBy("g").applyInPandas(_merges, "id long, w double, lo long, hi long, n_lo long, n_hi long")
+    merged = rows.groupBy("g").applyInPandas(_merges, "id long, w double, lo long, hi long, n_lo long, n_hi long, p long")
     return stages.written(merged, "merges"), seen["n"]
 
 
@@ -144,23 +146,25 @@ def _topmost(heads: DataFrame, wins: Column) -> DataFrame:
             return state.select("head", "top")
 
 
-def chosen(merges: DataFrame, joins: int, points: int, least: int, epsilon: float = 0.0, most: int = HEADS) -> DataFrame:
+def chosen(merges: DataFrame, points: int | DataFrame, least: int, epsilon: float = 0.0, most: int = HEADS) -> DataFrame:
     """point, cluster, density of the points that a cluster has, from the merges of `dendrogram`; all others are noise.
 
     A side of a merge with fewer than `least` points falls off; where both sides have as many, two clusters begin. A
     cluster's stability is the sum over its points of 1 / w where they leave it, less 1 / w where it began; clusters are
     kept where no choice below is more stable, never the whole. Clusters that began below the distance `epsilon` give
-    way to the one above them that began beyond it.
+    way to the one above them that began beyond it. points: how many there are, or (draw, n) of each draw.
     """
     thick = lambda w: 1 / F.greatest(w, F.lit(TINY))
     sides = F.array(*[F.struct(F.col(c).alias("node"), F.col(f"n_{c}").alias("n")) for c in ("lo", "hi")])
     splits = (F.col("n_lo") >= least) & (F.col("n_hi") >= least)
     kids = merges.select(F.inline(sides), F.col("id").alias("up"), "w", splits.alias("splits"))
     tops = merges.where(F.col("n_lo") + F.col("n_hi") >= least).join(kids.select(F.col("node").alias("id")), "id", "left_anti")
-    whole = points - joins == 1  # one tree: its top is no cluster
+    held = tops.withColumn("n", F.lit(points)) if isinstance(points, int) else tops.join(points, F.shiftright("p", DRAW) == F.col("draw"))
+    # the top of a tree of all points is no cluster
+    whole = held.select("id", (F.col("n_lo") + F.col("n_hi") == F.col("n")).alias("whole"))
     none = F.lit(None).cast("long")
     begun = kids.where((F.col("n") >= least) & F.col("splits")).select(F.col("node").alias("head"), F.col("up").alias("above"), F.col("w").alias("birth"))
-    begun = begun.unionByName(tops.select(F.col("id").alias("head"), none.alias("above"), F.lit(float("inf")).alias("birth")))
+    begun = begun.withColumn("whole", F.lit(False)).unionByName(whole.select(F.col("id").alias("head"), none.alias("above"), F.lit(float("inf")).alias("birth"), "whole"))
     own = graphs.ends(kids.where((F.col("n") >= least) & ~F.col("splits")).select("node", "up"))
     head_of = stages.written(own.select("node", F.col("end").alias("head")).unionByName(begun.select(F.col("head").alias("node"), "head")), "head-of")
     begun = begun.join(head_of.select(F.col("node").alias("above"), F.col("head").alias("up")), "above", "left")
@@ -169,11 +173,9 @@ def chosen(merges: DataFrame, joins: int, points: int, least: int, epsilon: floa
     leaving = merges.withColumnRenamed("id", "node").join(head_of, "node").select("head", left.alias("left"), thick(F.col("w")).alias("at"))
     sums = leaving.groupBy("head").agg(F.sum(F.col("left") * F.col("at")).alias("total"), F.sum("left").alias("n"))
     stability = F.col("total") - F.col("n") * F.when(F.col("birth") == float("inf"), 0.0).otherwise(thick(F.col("birth")))
-    heads = begun.join(sums, "head").select("head", "up", "birth", stability.alias("stability"))
-    if whole:
-        root = heads.where("birth = double('Infinity')").select(F.col("head").alias("root"))
-        heads = heads.join(F.broadcast(root), F.lit(True), "left")  # one row
-        heads = heads.where("root is null or head <> root").withColumn("up", F.when(F.col("up") != F.col("root"), F.col("up"))).drop("root")
+    heads = stages.written(begun.join(sums, "head").select("head", "up", "birth", stability.alias("stability"), "whole"), "all-heads")
+    roots = heads.where("whole").select(F.col("head").alias("up"), F.lit(True).alias("below_root"))
+    heads = heads.where(~F.col("whole")).join(roots, "up", "left").withColumn("up", F.when(F.col("below_root").isNull(), F.col("up"))).drop("whole", "below_root")
     heads = stages.written(heads, "heads")
     decided = stages.written(heads.join(_winners(heads, most), "head"), "decided")
     final = _topmost(decided, F.col("wins"))
@@ -207,10 +209,45 @@ def clustered(
     least = max(2, min(least, n // 2))
     samples = samples or least
     near = stages.written(neighbours.nearest(points, n, seen["size"], min(n - 1, k or max(15, samples)), orders, width), "near")
-    merges, joins = dendrogram(graphs.minimum_forest(reachability(near, samples), last), most)
-    own = stages.written(chosen(merges, joins, n, least, epsilon, most), "chosen")
+    merges, _ = dendrogram(graphs.minimum_forest(reachability(near, samples), last), most)
+    own = stages.written(chosen(merges, n, least, epsilon, most), "chosen")
     named = own.join(points.select(F.col("id").alias("point"), "key"), "point")
     about = named.groupBy("cluster").agg(F.min("key").alias("name"), F.max("density").alias("most"))
     found = named.join(about, "cluster").select("key", F.col("name").alias("cluster"), (F.col("density") / F.col("most")).alias("probability"))
     back = rows.select(F.col(key)).join(found.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left")
     return back.select(key, "cluster", F.coalesce("probability", F.lit(0.0)).alias("probability"))
+
+
+def reclustered(
+    rows: DataFrame, key: str, label: str, vector: str, noise: int = -1, draws: int = 100, share: float = 0.8, least: int = 10, seed: int = 42, k: int | None = None,
+    orders: int = neighbours.ORDERS, width: int = neighbours.WIDTH,
+) -> DataFrame:
+    """draw, n, ari: how far clusters of subsamples agree with the labels, over the points that both have in clusters.
+
+    Each draw takes the points whose hash with the draw's number is below `share`, noise left out. All draws are clustered
+    in one plan: points carry their draw, and only points of one draw meet. Draws with fewer than two points in clusters, and
+    tables of fewer than ten points, give no rows.
+    """
+    stages.ship(rows.sparkSession)
+    kept = rows.where((F.col(label) != noise) & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    all_, seen = stages.counted(kept, "labelled", size=F.max(F.size("v")))
+    if seen["n"] < 10:
+        return rows.select(F.lit(0).alias("draw"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("ari")).limit(0)
+    numbered = graphs.ranked(all_, seen["n"], ["key"], "place").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    taken = numbered.where(F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    points, drawn = stages.counted(taken.withColumn("id", F.shiftleft("draw", DRAW) + F.col("place")), "draws")
+    sub = int(seen["n"] * share)
+    least = max(2, min(least, sub // 3))
+    near = stages.written(neighbours.nearest(points, drawn["n"], seen["size"], k or max(15, least), orders, width), "near")
+    merges, _ = dendrogram(graphs.minimum_forest(reachability(near, least)))
+    found = chosen(merges, points.groupBy("draw").agg(F.count("*").alias("n")), least)
+    both = points.select("draw", F.col("id").alias("point"), "label").join(found.select("point", "cluster"), "point")
+    return metrics.adjusted_rand_by(both, "draw", "label", "cluster").where("n >= 2")
+
+
+def stability(rows: DataFrame, key: str, label: str, vector: str, noise: int = -1, **options) -> DataFrame:
+    """One row: ari_mean, ari_std (of the population of draws), n_valid_points; 0 where no draw counts (see reclustered)."""
+    found = reclustered(rows, key, label, vector, noise, **options)
+    points = rows.agg(F.count_if((F.col(label) != noise) & F.col(vector).isNotNull()).alias("n_valid_points"))
+    facts = found.agg(F.coalesce(F.avg("ari"), F.lit(0.0)).alias("ari_mean"), F.coalesce(F.stddev_pop("ari"), F.lit(0.0)).alias("ari_std"))
+    return facts.crossJoin(F.broadcast(points))  # one row each

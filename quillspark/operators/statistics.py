@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import stages
+from quillspark.functions import studentized
 from quillspark.operators import tails
 
 
@@ -81,17 +83,29 @@ def anova(rows: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
     return found.withColumn("p", F.when(F.col("between") < 1, 1.0).otherwise(tails.f_ratio(F.col("f"), F.col("between"), F.col("within"))))
 
 
-def mean_differences(rows: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
+def mean_differences(rows: DataFrame, group: str, value: str, least: int = 3, detail: bool = False) -> DataFrame:
     """group1, group2, meandiff, q of each pair of groups (group1 < group2): the difference of their means, and the
-    studentized range statistic of Tukey and Kramer, |meandiff| over the root of half the pooled variance of a mean."""
+    studentized range statistic of Tukey and Kramer, |meandiff| over the root of half the pooled variance of a mean. detail: with that root (error), the number of groups and
+    the degrees of freedom within them."""
     x = F.col(value).cast("double")
     groups = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).where(F.col("n") >= least)
-    pooled = groups.agg((F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count("*"))).alias("mse"))
+    within = F.sum("n") - F.count("*")
+    pooled = groups.agg(F.try_divide(F.sum(F.col("n") * F.col("v")), within).alias("mse"), F.count("*").alias("groups"), within.alias("within"))
     side = lambda k: groups.select(F.col(group).alias(f"group{k}"), F.col("n").alias(f"n{k}"), F.col("m").alias(f"m{k}"))
     pairs = side(1).join(side(2), F.col("group1") < F.col("group2")).crossJoin(F.broadcast(pooled))  # one row for each pair of groups
     gap = F.col("m2") - F.col("m1")
-    q = F.try_divide(F.abs(gap), F.sqrt(F.col("mse") / 2 * (1 / F.col("n1") + 1 / F.col("n2"))))
-    return pairs.select("group1", "group2", gap.alias("meandiff"), q.alias("q"))
+    error = F.sqrt(F.col("mse") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
+    return pairs.select("group1", "group2", gap.alias("meandiff"), F.try_divide(F.abs(gap), error).alias("q"), *([error.alias("error"), "groups", "within"] if detail else []))
+
+
+def tukey(rows: DataFrame, group: str, value: str, least: int = 3, alpha: float = 0.05) -> DataFrame:
+    """group1, group2, meandiff, q, p, lower, upper, reject: the honest significant differences of Tukey and Kramer, with the
+    interval of the difference at 1 - alpha; no rows for fewer than two groups, nulls where nothing varies within groups."""
+    stages.ship(rows.sparkSession)
+    found = mean_differences(rows, group, value, least, detail=True)
+    both = found.withColumn("p", studentized.above("q", "groups", "within")).withColumn("wide", F.col("error") * studentized.critical(F.lit(alpha), "groups", "within"))
+    gap = F.col("meandiff")
+    return both.select("group1", "group2", "meandiff", "q", "p", (gap - F.col("wide")).alias("lower"), (gap + F.col("wide")).alias("upper"), (F.col("p") < alpha).alias("reject"))
 
 
 def cochran_armitage(rows: DataFrame, by: list[str], at: str, hits: str, total: str) -> DataFrame:

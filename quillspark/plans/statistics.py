@@ -128,6 +128,14 @@ def tukey_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("group1", "group2", F.round("meandiff", 4).alias("meandiff"), F.round("q", 4).alias("q"))
 
 
+@query()
+def tukey_hsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with p, interval and whether the difference counts; tests hold them against published quantiles."""
+    found = st.tukey(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
+    rounded = [F.round(c, 6).alias(c) for c in ("meandiff", "q", "p", "lower", "upper")]
+    return found.select("group1", "group2", *rounded, "reject")
+
+
 _SHARE = "r AS (SELECT o_orderpriority AS grp, year(o_orderdate) AS year, count(*) FILTER (o_orderstatus = 'F') AS hits, count(*) AS total FROM orders GROUP BY 1, 2)"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import cosine
-from quillspark.operators import clusters, metrics
+from quillspark.operators import clusters, density, metrics
 from quillspark.operators.text import top
 from quillspark.plans.registry import query, table
 
@@ -68,6 +68,29 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.greedy_leaders(rows, "vec_id", "frequency", "embedding", 0.45)
 
 
+@query()
+def density_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors by density, named by their least vector, -1 for noise; tests hold them against a brute-force tree."""
+    found = density.clustered(_vectors(spark, sf_dir), "vec_id", "embedding", least=3, samples=2)
+    return found.select("vec_id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.round("probability", 6).alias("probability"))
+
+
+@query()
+def title_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as titles: their roles by density, with the three titles nearest to each centroid."""
+    from quillspark.config import Config
+    from quillspark.plans import phases
+
+    _, found = phases.roles(table(spark, sf_dir, "part").select(F.col("p_name").alias("title")), Config(min_cluster_size=4, cluster_epsilon=0.0))
+    return found.select("role", "member_count", F.array_join("top_titles", "; ").alias("titles"), "noise_flag")
+
+
+@query()
+def reclustering_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far clusters of subsamples agree with the labels; tests hold the draws against brute force."""
+    return density.stability(_vectors(spark, sf_dir), "vec_id", "label", "embedding", draws=20, least=3)
+
+
 @query(
     f"""WITH {_C}, k AS (SELECT label, nearest, count(*) AS n FROM b GROUP BY 1, 2),
 t AS (SELECT sum(n * (n - 1) / 2.0) AS both_, sum(n) AS total FROM k), x AS (SELECT sum(s * (s - 1) / 2.0) AS a FROM (SELECT sum(n) AS s FROM k GROUP BY label)), y AS (SELECT sum(s * (s - 1) / 2.0) AS b FROM (SELECT sum(n) AS s FROM k GROUP BY nearest))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -224,3 +225,32 @@ def test_leaders_are_those_of_a_loop(spark, seed):
     ways = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
     assert {r.b for r in clusters.settled(ways).collect()} == {1, 3, 5, 7, 9}
     assert clusters.greedy_leaders(df.limit(0), "title", "n", "v", 0.8).count() == 0
+
+
+def ari(pairs):
+    c2 = lambda n: n * (n - 1) / 2
+    cells, a, b = Counter(pairs), Counter(x for x, _ in pairs), Counter(y for _, y in pairs)
+    both, in_a, in_b = (sum(c2(n) for n in c.values()) for c in (cells, a, b))
+    expected = in_a * in_b / c2(len(pairs))
+    return 1.0 if (in_a + in_b) / 2 == expected else (both - expected) / ((in_a + in_b) / 2 - expected)
+
+
+def test_reclustered_draws(spark):
+    x = groups(7, (30, 25), 10)
+    labels = [0] * 30 + [1] * 22 + [0] * 3 + [-1] * 10
+    df = spark.createDataFrame([(i, labels[i], v.tolist()) for i, v in enumerate(x)], "id long, l int, v array<double>")
+    drawn = df.where("l <> -1").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    taken = drawn.where(F.pmod(F.xxhash64("id", "draw", F.lit(42)), F.lit(1 << 20)) < int(0.8 * (1 << 20))).select("draw", "id").collect()
+    want = {}
+    for d in range(3):
+        own = sorted(r.id for r in taken if r.draw == d)
+        assert 35 < len(own) < 52
+        found = brute(x[own], 5, 5)
+        pairs = [(labels[own[p]], c) for p, (c, _) in found.items() if c is not None]
+        want[d] = (len(pairs), ari(pairs))
+    got = {r.draw: (r.n, r.ari) for r in density.reclustered(df, "id", "l", "v", draws=3, least=5, k=54).collect()}
+    assert got.keys() == want.keys() and all(got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) < 1e-9 for d in want)
+    mean = density.stability(df, "id", "l", "v", draws=3, least=5, k=54).first()
+    assert abs(mean.ari_mean - np.mean([a for _, a in want.values()])) < 1e-9 and abs(mean.ari_std - np.std([a for _, a in want.values()])) < 1e-9 and mean.n_valid_points == 55
+    few = density.stability(df.limit(9), "id", "l", "v", draws=3).first()
+    assert (few.ari_mean, few.ari_std, few.n_valid_points) == (0.0, 0.0, 9)
