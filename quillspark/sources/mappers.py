@@ -41,6 +41,8 @@ ALIASES: dict[str, dict[str, list[str]]] = {
         "skills": ["key_skills"], "url": ["_source_url"],
     },
 }
+# Where a job's number stands in a network's addresses.
+NETWORK_JOB = r"/jobs2?/view/(?:[^/]+-)?(\d+)"
 REQUIREMENTS, DUTIES = "Требования: ", "Обязанности: "
 
 
@@ -68,7 +70,7 @@ def mapped(rows: DataFrame, source: str, raw: str = "raw", capture: str = "captu
     if source == "wayback-hhru":
         key = F.coalesce(number, tx.first(url, r"/vacancy/(\d+)"), url)
     elif source == "wayback-linkedin":
-        key = F.coalesce(number, F.concat(F.lit("linkedin-"), F.coalesce(tx.first(url, r"/jobs2?/view/(?:[^/]+-)?(\d+)"), url)))
+        key = F.coalesce(number, F.concat(F.lit("linkedin-"), F.coalesce(tx.first(url, NETWORK_JOB), url)))
     elif source == "trudvsem":
         key = F.concat(F.lit("trudvsem-"), number)
     elif source == "telegram":

@@ -16,7 +16,20 @@ LEGACY = """<html><body><div class="vacancy-title">Инженер</div><span cla
 MODERN = """<html><body><h1 data-qa="vacancy-title">Data analyst</h1><a data-qa="vacancy-company-name">Lab</a><p data-qa="vacancy-view-location">Perm</p>
 <span data-qa="vacancy-salary">$80,000 - $120,000</span><span data-qa="skills-element">Python</span><span data-qa="skills-element">SQL</span>
 <script type="application/ld+json">{"description": "<p>Do <b>things</b></p>", "datePosted": "2020-02-03"}</script></body></html>"""
-GATED = '<html><body><form class="login-form"><input></form></body></html>'
+GATED = '<html><body><div class="login-form"><input></div></body></html>'
+OLD_NETWORK = """<html><body><h1 class="title">Chemist</h1><a class="company-name-link">Lab Ltd</a><span class="job-location">Leeds</span>
+<span class="posted-time">Posted on 2014-05-06 by staff</span><div class="description">We offer $80,000 - $120,000. Industry: Pharma, others</div>
+<div class="job-criteria"><dl><dt>Seniority level:</dt><dd>Mid-Senior</dd><dt>Employment type</dt><dd>Full-time</dd></dl>
+<ul><li><span class="criteria-label">Job function</span> <span class="criteria-value">Research</span></li><li>Other</li></ul></div>
+<h3>Desired Skills</h3><ul><li>HPLC</li><li>NMR</li><li>HPLC</li></ul><span class="job-criteria__text">English</span></body></html>"""
+NEW_NETWORK = """<html><body><h1 class="topcard__title">Physicist</h1><span class="topcard__flavor">Institute</span><span class="topcard__flavor--bullet">Kazan</span>
+<time datetime="2021-03-04">2 weeks ago</time><div class="show-more-less-html__markup">Lasers. Experience level: Senior</div>
+<li class="description__job-criteria-item">Employment: Contract</li><span class="description__job-criteria-text">Industry – Optics</span>
+<div><h3>Skills wanted</h3><ul><li>Python</li></ul></div><div><ul><li>Optics</li></ul></div>
+<script type="application/ld+json">[{"@type": "JobPosting", "title": "no", "datePosted": "2021-01-01", "baseSalary": {"currency": "EUR", "value": {"minValue": 40000.4, "maxValue": 50000}}}]</script></body></html>"""
+LINKED_ONLY = """<html><body><p>x</p><script type="application/ld+json">{"@type": "JobPosting", "title": "Biologist", "description": "<p>Cells, $30/hr</p>", "datePosted": "2022-02-02",
+"hiringOrganization": {"name": "Zoo"}, "baseSalary": {"currency": "USD", "value": {"maxValue": 9}}}</script></body></html>"""
+OLD_GATED = "<html><body><h2>Sign in to go on</h2><div class='description'>secret</div></body></html>"
 
 
 def test_page_layouts():
@@ -24,7 +37,32 @@ def test_page_layouts():
     assert (old["name"], old["employer"], old["area"], old["date_text"]) == ("Инженер", "НИИ", "Москва", "12 января 2011")
     new = html.parse_page(MODERN, "board-modern")
     assert new["skills"] == ["Python", "SQL"] and new["description"] == "Do things" and new["date_text"] == "2020-02-03"
-    assert html.parse_page(GATED, "network")["gated"] and html.parse_page(None, "board-modern")["name"] is None
+    assert html.parse_page(GATED, "network-modern")["gated"] and html.parse_page(None, "board-modern")["name"] is None
+
+
+def test_network_pages(spark):
+    old = html.parse_page(OLD_NETWORK, "network-legacy")
+    assert (old["name"], old["employer"], old["area"], old["date_text"]) == ("Chemist", "Lab Ltd", "Leeds", "2014-05-06")
+    assert (old["experience"], old["schedule"], old["job_function"], old["industry"]) == ("Mid-Senior", "Full-time", "Research", "Pharma")
+    assert old["skills"] == ["English", "HPLC", "NMR"] and old["salary_text"].startswith("We offer") and not old["gated"]
+    new = html.parse_page(NEW_NETWORK, "network-modern")
+    assert (new["name"], new["employer"], new["area"], new["date_text"]) == ("Physicist", "Institute", "Kazan", "2021-03-04")
+    assert (new["experience"], new["schedule"], new["industry"], new["skills"]) == ("Senior", "Contract", "Optics", ["Python", "Optics"])
+    assert (new["salary_from"], new["salary_to"], new["salary_currency"], new["salary_text"]) == (40000, 50000, "EUR", None)
+    only = html.parse_page(LINKED_ONLY, "network-modern")
+    assert (only["name"], only["employer"], only["description"], only["date_text"]) == ("Biologist", "Zoo", "Cells, $30/hr", "2022-02-02")
+    assert only["salary_text"] == "Cells, $30/hr" and only["salary_to"] is None  # without a least salary the text counts
+    for page, layout in ((GATED, "network-modern"), (GATED, "network-legacy"), (OLD_GATED, "network-legacy")):
+        gated = html.parse_page(page, layout)
+        assert gated["gated"] and gated["description"] is None and gated["skills"] == []
+    assert not html.parse_page(OLD_GATED, "network-modern")["gated"]
+    assert not html.parse_page(OLD_GATED.replace("<h2>", "<h1 class='title'>T</h1><h2>"), "network-legacy")["gated"]
+    pages = spark.createDataFrame([(1, OLD_NETWORK, "network-legacy"), (2, NEW_NETWORK, "network-modern"), (3, LINKED_ONLY, "network-modern"), (4, None, "network-legacy")], "id int, html string, layout string")
+    got = {}
+    for layout in ("network-legacy", "network-modern"):
+        own = html.parsed_pages(pages.where(F.col("layout") == layout), layout).select("id", html.posting_salary(F.col("parsed")).alias("s"))
+        got |= {r.id: tuple(r.s) for r in own.collect()}
+    assert got == {1: (80000, 120000, "USD"), 2: (40000, 50000, "EUR"), 3: (30, 30, "USD"), 4: (None, None, None)}
 
 
 def test_parsed_column(spark):
