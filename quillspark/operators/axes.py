@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark import stages
+from quillspark.operators import graphs
+
 # The weight of each of seven levels; a level's threshold on an axis is 1 + 4 * weight.
 LEVELS = (0.10, 0.25, 0.40, 0.60, 0.80, 0.95, 1.00)
 # The shares by which a role has its archetype, and the names of the archetypes.
@@ -107,15 +110,19 @@ def axis_names(skills: DataFrame, longest: int = 60) -> DataFrame:
 def graded(roles: DataFrame, count: str = "members") -> DataFrame:
     """roles with grade: 4 to 1 for the highest fifth's cut that the members reach, 0 below all and for no members.
 
-    The cut of grade g is the member count at place floor(n g / 5) of all, ascending (the last where that is 0).
+    The cut of grade g is the member count at place floor(n g / 5) of all, ascending (the last where that is 0). The four
+    cuts are looked up in distributed ranks; nothing but them comes to the driver.
     """
-    sizes = roles.agg(F.array_sort(F.collect_list(count)).alias("sorted"))  # one number for each role
-    place = lambda g: F.floor(F.size("sorted") * F.lit(g) / 5).cast("int")
-    cut = lambda g: F.when(place(g) < 1, F.element_at("sorted", -1)).otherwise(F.element_at("sorted", F.greatest(place(g), F.lit(1))))
+    held, seen = stages.counted(roles, "ungraded")
+    n = seen["n"]
+    places = {g: (n * g // 5 or n) - 1 for g in (1, 2, 3, 4)}
+    ranks = graphs.ranked(held.select(count), n, [count], "__r").where(F.col("__r").isin(*places.values()))
+    cuts = {r["__r"]: r[count] for r in ranks.collect()}
     grade = F.when(F.col(count) <= 0, 0)
     for g in (4, 3, 2, 1):
-        grade = grade.when(F.col(count) >= cut(g), g)
-    return roles.crossJoin(F.broadcast(sizes)).withColumn("grade", grade.otherwise(0)).drop("sorted")
+        if places[g] in cuts:
+            grade = grade.when(F.col(count) >= F.lit(cuts[places[g]]), g)
+    return held.withColumn("grade", grade.otherwise(0))
 
 
 def role_models(scores: DataFrame, members: DataFrame) -> DataFrame:

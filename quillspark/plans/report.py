@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import stages
 from quillspark.operators import characteristics as ch
-from quillspark.operators import sets
+from quillspark.operators import graphs, sets
 from quillspark.operators.text import top
 from quillspark.plans.registry import query, table
 
@@ -215,11 +216,9 @@ def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT p_type AS title, dense_rank() OVER (ORDER BY p_type) AS pos FROM part")
 def sorted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct titles and their places in order; titles are few."""
-    from pyspark.sql import Window
-
-    titles = table(spark, sf_dir, "part").select(F.col("p_type").alias("title")).distinct()
-    return titles.withColumn("pos", F.row_number().over(Window.orderBy("title")).cast("long"))
+    """Distinct titles and their places in order, from sorted parts."""
+    titles, seen = stages.counted(table(spark, sf_dir, "part").select(F.col("p_type").alias("title")).distinct(), "titles")
+    return graphs.ranked(titles, seen["n"], ["title"]).select("title", (F.col("r") + 1).alias("pos"))
 
 
 @query("SELECT p_brand AS skill, count(*) AS cnt FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY cnt DESC, skill LIMIT 15")

@@ -47,10 +47,10 @@ def scheme_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silhouette of three clusters of brands and how often shuffled labels reach it."""
+    """Silhouette of three clusters of brands, with the interval of shuffled labels and how often they reach it."""
     pairs = sets.cooccurrence(_baskets(spark, sf_dir), "basket", "item").withColumn("g", F.lit(1))
-    run = lambda pdf: pd.DataFrame([sc.significance(sc.jaccard_distances(sc.count_matrix(pdf)[1]), 3)], columns=["silhouette", "p"])
-    return sc.per_group(pairs, "g", run, "silhouette double, p double")
+    run = lambda pdf: pd.DataFrame([sc.significance(sc.jaccard_distances(sc.count_matrix(pdf)[1]), 3)])
+    return sc.per_group(pairs, "g", run, "silhouette double, low double, high double, p double, significant boolean, shuffles long")
 
 
 @query()

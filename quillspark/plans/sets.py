@@ -54,6 +54,15 @@ def differentiating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.differentiating(_counts(spark, sf_dir), "specialty", "skill", "cnt", 20)
 
 
+@query(f"""WITH {_COUNTS}, s AS (SELECT DISTINCT specialty FROM k),
+u AS (SELECT x.specialty AS a, y.specialty AS b, skill FROM s x JOIN s y ON x.specialty <> y.specialty JOIN k ON k.specialty IN (x.specialty, y.specialty)),
+d AS (SELECT DISTINCT a, b, skill FROM u)
+SELECT a, b, d.skill, round(coalesce(x.cnt, 0) / (1.0 + coalesce(y.cnt, 0)), 4) AS score FROM d LEFT JOIN k x ON x.specialty = a AND x.skill = d.skill LEFT JOIN k y ON y.specialty = b AND y.skill = d.skill""")
+def skill_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skills of either of two specialties, each scored by how much more the first has of it."""
+    return sets.differences(_counts(spark, sf_dir), "specialty", "skill", "cnt", missing=True)
+
+
 _BASKETS = """
 q AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 o AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM q x JOIN q y ON x.basket = y.basket AND x.item <= y.item GROUP BY 1, 2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import statistics as st
-from quillspark.operators.metrics import average_rank
+from quillspark.operators.metrics import average_ranks
 from quillspark.plans.registry import query, table
 
 
@@ -202,10 +202,9 @@ r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2
 c AS (SELECT corr(rx, ry) AS rho, count(*) AS n FROM r), f AS (SELECT *, rho * rho * (n - 2) / ((1 - rho) * (1 + rho)) AS f FROM c)
 SELECT round(rho, 6) AS rho, n, round({_p_f("f", "1", "(n - 2)")}, 5) AS p FROM f""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation over brands, of which there are few, and its p by the t distribution."""
+    """Rank correlation over brands and its p by the t distribution."""
     rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.avg("p_size").alias("x"), F.avg("p_retailprice").alias("y"))
-    ranked = rows.select(average_rank("x").alias("rx"), average_rank("y").alias("ry"))
-    return st.correlation(ranked, "rx", "ry").select(F.round("rho", 6).alias("rho"), "n", F.round("p", 5).alias("p"))
+    return st.correlation(average_ranks(rows, ["x", "y"]), "r_x", "r_y").select(F.round("rho", 6).alias("rho"), "n", F.round("p", 5).alias("p"))
 
 
 @query("SELECT c_mktsegment AS role, count(*) AS n, round(quantile_cont(c_acctbal::DOUBLE, 0.5), 4) AS median FROM customer GROUP BY 1 HAVING count(*) >= 3")

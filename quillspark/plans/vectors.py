@@ -91,6 +91,15 @@ def reclustering_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.stability(_vectors(spark, sf_dir), "vec_id", "label", "embedding", draws=20, least=3)
 
 
+@query()
+def label_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far three labellings of the vectors agree over draws: the labels, the nearest centroid, the strongest component."""
+    near = clusters.nearest(_vectors(spark, sf_dir), "vec_id", "embedding", _centres(spark, sf_dir), "label").select("vec_id", "nearest")
+    strongest = F.array_position("embedding", F.array_max("embedding"))
+    rows = _vectors(spark, sf_dir).join(near, "vec_id").withColumn("strongest", strongest)
+    return metrics.bootstrapped_rand(rows, "vec_id", ["label", "nearest", "strongest"])
+
+
 @query(
     f"""WITH {_C}, k AS (SELECT label, nearest, count(*) AS n FROM b GROUP BY 1, 2),
 t AS (SELECT sum(n * (n - 1) / 2.0) AS both_, sum(n) AS total FROM k), x AS (SELECT sum(s * (s - 1) / 2.0) AS a FROM (SELECT sum(n) AS s FROM k GROUP BY label)), y AS (SELECT sum(s * (s - 1) / 2.0) AS b FROM (SELECT sum(n) AS s FROM k GROUP BY nearest))
