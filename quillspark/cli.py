@@ -20,7 +20,8 @@ from quillspark import config as settings
 from quillspark import stages
 from quillspark.operators import axes, store
 from quillspark.plans import phases, registry
-from quillspark.sources import archive, keyed, mappers, open_data, readers, reports
+from quillspark.sources import archive, crawl, keyed, mappers, open_data, readers, reports
+from quillspark.sources import collect as collecting
 
 log = logging.getLogger("quillspark")
 
@@ -106,22 +107,121 @@ def noted(run: Run, run_id: str, source: str, state: str, params: str | None = N
     run.spark.createDataFrame(event, LEDGER).coalesce(1).write.mode("append").parquet(run.conf.path("runs"))
 
 
+def run_id(name: str, at: datetime | None = None) -> str:
+    """The name in lower case, white space as _, and the time."""
+    return f"{'_'.join(name.lower().split())}-{at or datetime.now(UTC):%Y%m%d%H%M%S}"
+
+
+def kept(run: Run, source: str, rows: DataFrame, params: dict) -> tuple[int, int]:
+    """Brings rows (id, data) into the store, where new ids alone come in; gives how many were fetched and stored. The
+    run's start, finish and both counts are noted in the ledger; a run that ended early has a start alone."""
+    name = getattr(run.given, "run", None) or run_id(source)
+    noted(run, name, source, "started", json.dumps(params, ensure_ascii=False))
+    now = datetime.now(UTC).isoformat()
+    # fetched once: what comes is written before it is counted, compared and stored
+    found, seen = stages.counted(rows.select("id", F.lit(name).alias("run_id"), F.lit(now).alias("fetched_at"), "data"), "collected")
+    stored = keyed.insert(found, run.conf.path("raw"), "id", "fetched_at")
+    noted(run, name, source, "finished", None, seen["n"], stored)
+    print(f"{source}: {seen['n']} records fetched, {stored} stored")
+    return seen["n"], stored
+
+
+_listed = lambda x: [k for k in (x or "").split(",") if k]
+
+
 def collect(run: Run) -> None:
-    """Open data into the store: new ids alone come in. The run's start, finish and both counts are noted in the ledger;
-    a run that ended early has a start alone."""
-    listed = lambda x: [k for k in (x or "").split(",") if k]
-    rows = open_data.collected(run.spark, run.given.folder, listed(run.given.texts), listed(run.given.regions), **({"split": "always"} if run.given.all_regions else {}))
+    """Open data into the store."""
+    rows = open_data.collected(run.spark, run.given.folder, _listed(run.given.texts), _listed(run.given.regions), **({"split": "always"} if run.given.all_regions else {}))
     if run.given.dry_run:
         print(f"{rows.count()} records")
         return
-    run_id = run.given.run or f"trudvsem-{datetime.now(UTC):%m%d_%H%M}"
-    given = {k: v for k, v in vars(run.given).items() if k in ("folder", "texts", "regions", "all_regions")}
-    noted(run, run_id, "trudvsem", "started", json.dumps(given))
-    # fetched once: what comes is written before it is counted, compared and stored
-    found, seen = stages.counted(rows.select("id", F.lit(run_id).alias("run_id"), F.lit(datetime.now(UTC).isoformat()).alias("fetched_at"), "data"), "collected")
-    stored = keyed.insert(found, run.conf.path("raw"), "id", "fetched_at")
-    noted(run, run_id, "trudvsem", "finished", None, seen["n"], stored)
-    print(f"{seen['n']} records fetched, {stored} stored")
+    kept(run, "trudvsem", rows, {k: v for k, v in vars(run.given).items() if k in ("folder", "texts", "regions", "all_regions")})
+
+
+def archive_year(run: Run) -> None:
+    """A source's captures of the years in the archive into the store, from stored answers of the index and of pages."""
+    captures = archive.index_responses(run.spark, run.given.index)
+    for year in range(run.given.first, (run.given.last or run.given.first) + 1):
+        if run.given.source == "wayback-linkedin" and archive.era_pattern(year) is None:
+            print(f"{run.given.source} {year}: no captures in these years")
+            continue
+        found, rows = collecting.archived(captures, run.given.source, year, archive.stored(run.given.pages), passes=run.given.passes, tries=1)
+        errors = {r.error: r.n for r in archive.error_counts(found).collect() if r.error != "none"}
+        kept(run, run.given.source, rows, {"year": year, "errors": errors})
+
+
+def bulk(run: Run) -> None:
+    """A folder of CSV tables into the store."""
+    kept(run, "rostud", collecting.bulk(run.spark, run.given.folder, f"{datetime.now(UTC):%Y%m%d%H%M%S}"), {"folder": run.given.folder})
+
+
+def channel(run: Run) -> None:
+    """Exported messages of channels into the store."""
+    rows = open_data.channel_messages(run.spark, run.given.folder, _listed(run.given.keywords), run.given.most or None)
+    kept(run, "telegram", collecting.channel(rows, f"{datetime.now(UTC):%Y%m%d%H%M%S}"), {"folder": run.given.folder, "keywords": run.given.keywords})
+
+
+def search(run: Run) -> None:
+    """A site's search for keywords into the store, each keyword a run of its own, from stored answers."""
+    words = _listed(run.given.keywords)
+    asked = run.spark.createDataFrame([(w,) for w in words], "keyword string")
+    found = crawl.searched(asked, run.given.host, crawl.by_transport(archive.stored(run.given.pages), tries=1), run.given.most)
+    rows = stages.written(crawl.postings(found, _listed(run.given.excluded)), "postings")
+    for word in words:
+        run.given.run = run_id(word)
+        kept(run, "site", rows.where(F.col("keyword") == word), {"keyword": word, "host": run.given.host})
+
+
+def backfill(run: Run) -> None:
+    """Descriptions and key skills of stored records that lack them, from stored pages of postings, in passes."""
+    schema = "id string, run_id string, fetched_at string, data string"
+    left = readers.missing_descriptions(keyed.read(run.spark, run.conf.path("raw"), schema), most=run.given.most or None)
+    wanted = stages.written(left.select("id", F.concat(F.lit(f"{run.given.host}/vacancy/"), "id").alias("address")), "missing")
+    if run.given.dry_run:
+        print(f"{wanted.count()} records without a description")
+        return
+    step = lambda rows: archive.asked(rows, archive.stored(run.given.pages), tries=1)
+    found = archive.in_passes(wanted.select("address"), step, run.given.passes, ("failed", "missing", "type"))
+    pages = found.join(wanted, "address").select("id", "html", "error", F.lit("detail").alias("kind"), F.lit("{}").alias("item"), F.lit("").alias("keyword"))
+    fields = F.from_json("data", "description string, key_skills array<struct<name: string>>")
+    filled = crawl.postings(pages).select("id", fields.alias("d")).where("d.description is not null").select("id", F.to_json("d").alias("patch"))
+    merged = lambda held, changes: held.join(changes, "id", "left").withColumn("data", store.patched("data", "patch")).drop("patch")
+    n = keyed.update(stages.written(filled, "filled"), run.conf.path("raw"), "id", schema, merged)
+    print(f"{n} descriptions filled, {wanted.count() - n} left")
+
+
+def report(run: Run) -> None:
+    """The metrics of a run, its roles with their skills, and its models as one Markdown report and one JSON file."""
+    metrics = phases.validation(run.table("classified"), run.table("roles"), run.table("characteristic_scores"))
+    folder = run.conf.path("reports")
+    made = datetime.now(UTC).isoformat()
+    reports.write_json(metrics, f"{folder}/metrics.json", made)
+    lists = readers.skill_lists(run.table("skills_per_role")).select("role", F.slice("skills", 1, run.conf.top_skills).alias("skills"))
+    models = readers.documents(run.spark, run.conf.path("models"))
+    sections = models.select("role", "member_count").join(lists, "role", "left").orderBy(F.desc("member_count"), "role").limit(run.given.most).collect()
+    text = phases.markdown([(r.metric, r.value) for r in metrics.collect()], "Report") + "".join(
+        f"\n## {r.role}\n\n- titles: {r.member_count}\n- skills: {', '.join(r.skills or [])}\n" for r in sections
+    )
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    (Path(folder) / "report.md").write_text(text, "utf-8")
+    print(text)
+
+
+def history(run: Run) -> None:
+    """All collectors one after the other, each from its folder where one is given; the first that fails ends the run."""
+    given = run.given
+    if given.index and given.pages:
+        for source, first, last in (("wayback-hhru", given.first, given.last), ("wayback-linkedin", max(given.first, archive.ERAS[0][0]), given.last)):
+            run.given = argparse.Namespace(**vars(given) | {"source": source, "first": first, "last": last})
+            archive_year(run)
+    if given.open_data:
+        run.given = argparse.Namespace(folder=given.open_data, texts="", regions="", all_regions=False, dry_run=False, run=None)
+        collect(run)
+    if given.bulk:
+        run.given = argparse.Namespace(folder=given.bulk)
+        bulk(run)
+    run.given = given
+    verify(run)
 
 
 def verify(run: Run) -> None:
@@ -175,6 +275,13 @@ COMMANDS: list[tuple[str, Callable[[Run], None], str, list]] = [
     ("validate", validate, "metrics of a run", []),
     ("all", everything, "all phases in order", ["records", "glossary"]),
     ("collect", collect, "open data into the store", ["folder", ("--texts", ""), ("--regions", ""), ("--run", None), ("--all-regions", False), ("--dry-run", False)]),
+    ("archive", archive_year, "captures of years into the store", ["source", "index", "pages", ("--first", 2010), ("--last", 0), ("--passes", 3), ("--run", None)]),
+    ("bulk", bulk, "CSV tables into the store", ["folder", ("--run", None)]),
+    ("channel", channel, "messages of channels into the store", ["folder", ("--keywords", ""), ("--most", 0), ("--run", None)]),
+    ("search", search, "a site's search for keywords into the store", ["keywords", "host", "pages", ("--excluded", ""), ("--most", 1000)]),
+    ("backfill", backfill, "descriptions that stored records lack", ["host", "pages", ("--passes", 3), ("--most", 0), ("--dry-run", False)]),
+    ("history", history, "all collectors in order", [("--index", ""), ("--pages", ""), ("--open-data", ""), ("--bulk", ""), ("--first", 2010), ("--last", 2026), ("--passes", 3)]),
+    ("report", report, "a run's metrics, roles and skills as a report", [("--most", 50)]),
     ("verify", verify, "fields of the store and totals of the ledger", []),
     ("merge", merge, "two stores into one", ["into", "other", "out"]),
     ("census", census, "captures of an archive by year", ["folder", "source", "pattern", ("--out", None)]),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def insert_or_ignore(stored: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -35,6 +39,23 @@ def updated_fields(stored: DataFrame, changes: DataFrame, key: str, data: str, s
     return joined.select(*stored.columns)
 
 
+@F.pandas_udf(T.StringType())
+def patched(data: pd.Series, patch: pd.Series) -> pd.Series:
+    """JSON objects with the fields that a patch (a JSON object) has, in place of their own; a null patch changes nothing,
+    data that are no object count as an empty one."""
+
+    def one(text: str | None, more: str | None) -> str | None:
+        if more is None:
+            return text
+        try:
+            held = json.loads(text or "{}")
+        except ValueError:
+            held = {}
+        return json.dumps((held if isinstance(held, dict) else {}) | json.loads(more), ensure_ascii=False)
+
+    return pd.Series([one(a, b) for a, b in zip(data, patch)], dtype=object)
+
+
 def updated(stored: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The stored rows with the columns that changes has for their key (null keeps the old value)."""
     renamed = changes.select(key, *[F.col(c).alias(f"__{c}") for c in columns])

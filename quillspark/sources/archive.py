@@ -5,8 +5,10 @@ Fetching takes the transport as a function, so jobs run alike against stored pag
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +94,17 @@ def by_era(captures: DataFrame, year: int) -> DataFrame:
     return found.select("timestamp", "original")
 
 
+def stored(folder: str) -> Fetch:
+    """Answers from files that driver and executors share: <folder>/<first 32 hex digits of the address' sha256>.html;
+    404 where there is none."""
+
+    def fetch(address: str) -> tuple[int, str, str]:
+        path = Path(folder) / f"{hashlib.sha256(address.encode()).hexdigest()[:32]}.html"
+        return (200, "text/html", path.read_text("utf-8", "replace")) if path.exists() else (404, "text/html", "")
+
+    return fetch
+
+
 def retried(fetch: Fetch, address: str, tries: int = 4, first: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str, str]:
     """An answer below 500 and other than 429, tried again after waits that double up to `most`; else the last answer."""
     wait, answer = first, (0, "", "")
@@ -140,29 +153,36 @@ def fetched(captures: DataFrame, fetch: Fetch, base: str = "http://web.archive.o
     return captures.select("timestamp", "original").mapInPandas(run, "timestamp string, original string, html string, error string")
 
 
-def recovered(
-    missing: DataFrame, fetch: Fetch, passes: int = 3, again: tuple[str, ...] = ("failed",), pause: float = 0.0, sleep: Callable[[float], None] = time.sleep, **options
-) -> DataFrame:
-    """What `fetched` gives for each distinct capture after passes over those whose error is in `again`.
+def in_passes(
+    rows: DataFrame, step: Callable[[DataFrame], DataFrame], passes: int = 3, again: tuple[str, ...] = ("failed",), pause: float = 0.0,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """What step gives (the columns of rows, html, error) for each distinct row after passes over those whose error is in
+    `again`.
 
     Every pass is written with what it fetched, and the next reads its failures from there: a page is asked for once a
     pass, failing before, and comes once. pause: seconds before the second pass, twice as many before the third, and so on.
     """
-    left, done = missing.select("timestamp", "original").distinct(), None
+    left, done, columns = rows.distinct(), None, rows.columns
     for nth in range(passes):
         if nth and pause:
             sleep(pause * nth)
         failed = F.coalesce(F.col("error").isin(*again), F.lit(False))
-        found, seen = stages.counted(fetched(left, fetch, **options), "recovered", failed=F.count_if(failed))
+        found, seen = stages.counted(step(left), "pass", failed=F.count_if(failed))
         last = nth == passes - 1 or not seen["failed"]
         kept = found if last else found.where(~failed)
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
         # as many tasks as a first pass would have for these pages
-        left = found.where(failed).select("timestamp", "original").repartition(max(1, min(missing.sparkSession.sparkContext.defaultParallelism, seen["failed"])))
+        left = found.where(failed).select(*columns).repartition(max(1, min(rows.sparkSession.sparkContext.defaultParallelism, seen["failed"])))
     return done
 
 
+def recovered(missing: DataFrame, fetch: Fetch, passes: int = 3, again: tuple[str, ...] = ("failed",), pause: float = 0.0, sleep: Callable[[float], None] = time.sleep, **options) -> DataFrame:
+    """What `fetched` gives for each distinct capture after passes over those that failed (see in_passes)."""
+    return in_passes(missing.select("timestamp", "original"), lambda left: fetched(left, fetch, **options), passes, again, pause, sleep)
+
+
 def error_counts(found: DataFrame) -> DataFrame:
     return found.groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))

@@ -46,3 +46,20 @@ def insert(batch: DataFrame, path: str, key: str, at: str, buckets: int = 64) ->
     if seen["n"]:
         fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
     return seen["n"]
+
+
+def update(changes: DataFrame, path: str, key: str, schema: str, apply, buckets: int = 64) -> int:
+    """Rewrites the buckets that hold keys of changes as apply(stored rows, changes), which keeps columns and keys; says how
+    many keys of the store the changes have.
+
+    The new rows are written beside the store before they replace the buckets, and buckets without changes stay as they are.
+    """
+    touched = [r.bucket for r in changes.select(bucket_of(key, buckets).alias("bucket")).distinct().collect()]  # at most as many as there are buckets
+    spark = changes.sparkSession
+    held = read(spark, path, schema, touched)
+    fresh, _ = stages.counted(apply(held.drop("bucket"), changes).withColumn("bucket", bucket_of(key, buckets)), "updated")
+    hits = held.join(changes.select(key).distinct(), key, "left_semi").count()
+    if hits:
+        writer = fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(path)
+    return hits

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -56,10 +56,49 @@ def write_documents(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 
-def missing_descriptions(rows: DataFrame, data: str = "data", key: str = "id") -> DataFrame:
-    """Raw records without a description, in order of their keys."""
+def documents(spark: SparkSession, path: str, key: str = "role") -> DataFrame:
+    """What `write_documents` wrote: one row for each document, with its key."""
+    return spark.read.option("basePath", path).json(path).where(F.col(key).isNotNull())
+
+
+def skill_lists(role_skills: DataFrame, by: str = "tfidf_weight") -> DataFrame:
+    """role, skills: the names of each role's skills, the heaviest first, then by name."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("order"), "skill")))
+    return role_skills.groupBy("role").agg(ordered.alias("l")).select("role", F.transform("l", lambda s: s["skill"]).alias("skills"))
+
+
+def metrics(spark: SparkSession, path: str) -> DataFrame:
+    """metric, value of a JSON report of metrics; none where there is no report."""
+    try:
+        report = spark.read.option("multiLine", True).schema("results array<struct<metric: string, value: double>>").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "metric string, value double")
+    return report.select(F.inline("results")).where("metric is not null")
+
+
+def schema_errors(df: DataFrame, wanted: dict[str, str]) -> list[str]:
+    """What is wrong with a frame's columns: those that lack, and those whose type doesn't begin as wanted."""
+    kinds = dict(df.dtypes)
+    return [f"missing column: {c}" for c in wanted if c not in kinds] + [f"column {c}: {kinds[c]}, not {t}" for c, t in wanted.items() if c in kinds and not kinds[c].startswith(t)]
+
+
+def column_differences(df: DataFrame, wanted: list[str]) -> tuple[list[str], list[str]]:
+    """The wanted columns that a frame lacks, and its columns that aren't wanted, both in order."""
+    return [c for c in wanted if c not in df.columns], [c for c in df.columns if c not in set(wanted)]
+
+
+def first_value(value: Column) -> Column:
+    """The first of a list as text; null for an empty one."""
+    return F.try_element_at(value, F.lit(1)).cast("string")
+
+
+def missing_descriptions(rows: DataFrame, data: str = "data", key: str = "id", most: int | None = None) -> DataFrame:
+    """Raw records without a description: all of them, or the first `most` by key."""
     found = F.get_json_object(data, "$.description")
-    return rows.where(F.coalesce(F.length(found), F.lit(0)) == 0).orderBy(key)
+    left = rows.where(F.coalesce(F.length(found), F.lit(0)) == 0)
+    return left if most is None else left.orderBy(key).limit(most)
 
 
 def weeks(spark: SparkSession, year: int) -> DataFrame:
