@@ -102,13 +102,13 @@ def matched(profile: DataFrame, vectors: DataFrame, warmth: float = 0.35, flat:
     lengths = v.groupBy("id").agg(F.sqrt(F.sum(F.col("vc") * F.col("vc"))).alias("vn")).crossJoin(
         F.broadcast(p.groupBy("role").agg(F.sqrt(F.sum(F.col("pc") * F.col("pc"))).alias("pn")))
     )  # vectors times roles, of which there are tens
-    dots = v.join(F.broadcast(p), "axis").groupBy("id", "role").agg(F.sum(F.col("vc") * F.col("pc")).alias("d"))
+    dots = v.join(p, "axis").groupBy("id", "role").agg(F.sum(F.col("vc") * F.col("pc")).alias("d"))
     none = (F.col("vn") < flat) | (F.col("pn") < 1e-9)
     corr = lengths.join(dots, ["id", "role"], "left").withColumn("r", F.when(none, 0.0).otherwise(F.round(F.col("d") / (F.col("vn") * F.col("pn")), 9)))
     best = corr.groupBy("id").agg(
         F.max_by("role", F.struct("r", _backwards("role"))).alias("role"), F.max("r").alias("top"), F.sum(F.exp(F.col("r") / warmth)).alias("all"), F.max(F.col("vn") < flat).alias("is_flat")
     )
-    near = vectors.join(best.select("id", "role"), "id").join(F.broadcast(trajectory(profile).withColumnRenamed("value", "t")), ["role", "axis"])
+    near = vectors.join(best.select("id", "role"), "id").join(trajectory(profile).withColumnRenamed("value", "t"), ["role", "axis"])
     far = near.groupBy("id", "level").agg(F.round(F.sqrt(F.sum(F.pow(F.col("value") - F.col("t"), F.lit(2.0)))), 9).alias("far"))
     level = far.groupBy("id").agg((F.min_by("level", F.struct("far", "level")) - 1).alias("level"))
     return best.join(level, "id").select("id", "role", F.round(F.exp(F.col("top") / warmth) / F.col("all") * 100).cast("int").alias("confidence"), "level", "is_flat")

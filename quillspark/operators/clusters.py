@@ -86,7 +86,7 @@ def davies_bouldin(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """One row: the mean over clusters of the greatest (spread + spread) / distance to another."""
     centres = centroids(rows, label, vector)
     away = lambda a, b: norm(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")))
-    spread = rows.join(F.broadcast(centres), label).groupBy(label).agg(F.avg(away(F.col(vector), F.col("centroid"))).alias("s"))
+    spread = rows.join(centres, label).groupBy(label).agg(F.avg(away(F.col(vector), F.col("centroid"))).alias("s"))
     full = centres.join(spread, label)
     side = lambda k: full.select(F.col(label).alias(k), F.col("centroid").alias(f"c_{k}"), F.col("s").alias(f"s_{k}"))
     pairs = side("a").join(F.broadcast(side("b")), F.col("a") != F.col("b"))
@@ -170,7 +170,7 @@ def silhouettes(rows: DataFrame, key: str, label: str, vector: str, noise: int =
     kind = rows.schema[key].dataType.simpleString()
     sums = both.mapInArrow(compare, f"k {kind}, l long, other long, s double").groupBy("k", "l", "other").agg(F.sum("s").alias("s"))
     sizes = kept.groupBy(F.col("l").alias("other")).agg(F.count("*").alias("n"))
-    means = sums.join(F.broadcast(sizes), "other")  # one row for each cluster
+    means = sums.join(sizes, "other")
     inner = F.col("l") == F.col("other")
     each = means.groupBy("k", "l").agg(
         F.max(F.when(inner, F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"), F.max(F.when(inner, F.col("n"))).alias("own"), F.min(F.when(~inner, F.col("s") / F.col("n"))).alias("b")

@@ -124,15 +124,14 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""SELECT c_custkey, coalesce(r_name, 'none') AS role, coalesce(r_regionkey, -1) AS role_id, coalesce(n.k, 0) AS orders FROM customer LEFT JOIN (SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey
-LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) n ON o_custkey = c_custkey""")
+@query("""SELECT c_custkey, coalesce(s_name, 'none') AS role, coalesce(s.k, -1) AS role_id, coalesce(n.k, 0) AS orders FROM customer
+LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS k, arg_min(s_name, s_suppkey) AS s_name FROM supplier GROUP BY 1) s ON c_nationkey = s_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) n ON o_custkey = c_custkey""")
 def role_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups that keep every row: role by nation (-1 where there is none) and attached counts."""
-    nations, regions = table(spark, sf_dir, "nation").where("n_regionkey <> 2"), table(spark, sf_dir, "region")
-    roles = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", "r_regionkey")
+    """Lookups that keep every row: role by nation, the first of its suppliers (-1 where there is none), and attached counts."""
+    roles = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min(F.struct("s_suppkey", "s_name")).alias("s")).select("s_nationkey", "s.*")
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("k"))
-    rows = table(spark, sf_dir, "customer").join(roles, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(counts, "c_custkey", "left")
-    return rows.select("c_custkey", F.coalesce("r_name", F.lit("none")).alias("role"), F.coalesce("r_regionkey", F.lit(-1)).alias("role_id"), F.coalesce("k", F.lit(0)).alias("orders"))
+    rows = table(spark, sf_dir, "customer").join(roles, F.col("c_nationkey") == F.col("s_nationkey"), "left").join(counts, "c_custkey", "left")
+    return rows.select("c_custkey", F.coalesce("s_name", F.lit("none")).alias("role"), F.coalesce("s_suppkey", F.lit(-1)).alias("role_id"), F.coalesce("k", F.lit(0)).alias("orders"))
 
 
 @query("""SELECT n_name AS role, count(*) AS members, round(avg(o_totalprice), 4) AS experience FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -145,15 +144,15 @@ def scored_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("n_name").alias("role")).agg(F.count("*").alias("members"), F.round(F.avg("o_totalprice"), 4).alias("experience"))
 
 
-@query("""WITH w AS (SELECT p_brand, string_agg(k || ':' || n, ',' ORDER BY k) AS weights FROM (SELECT p_brand, p_size % 5 AS k, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1, 2) GROUP BY p_brand)
-SELECT b.p_brand AS skill, coalesce(weights, '') AS weights FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN w USING (p_brand)""")
+@query("""WITH w AS (SELECT c_nationkey, string_agg(c_mktsegment || ':' || n, ',' ORDER BY c_mktsegment) AS weights FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1)
+SELECT n_name AS skill, coalesce(weights, '') AS weights FROM nation LEFT JOIN w ON c_nationkey = n_nationkey""")
 def weights_by_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weights of each skill on the axes as one map, empty where there are none."""
-    parts = table(spark, sf_dir, "part")
-    counts = parts.where("p_size > 10").groupBy(F.col("p_brand").alias("skill"), (F.col("p_size") % 5).alias("k")).agg(F.count("*").alias("n"))
-    maps = counts.groupBy("skill").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("m"))
-    entries = F.transform(F.map_entries("m"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
-    return parts.select(F.col("p_brand").alias("skill")).distinct().join(maps, "skill", "left").select("skill", F.coalesce(F.array_join(entries, ","), F.lit("")).alias("weights"))
+    """The weights of each skill (nation) on the axes (segments of its customers) as one map, empty where there are none."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("k")).agg(F.count("*").alias("n"))
+    maps = counts.groupBy("n_nationkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("m"))
+    entries = F.transform(F.map_entries("m"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    rows = table(spark, sf_dir, "nation").join(maps, "n_nationkey", "left")
+    return rows.select(F.col("n_name").alias("skill"), F.coalesce(F.array_join(entries, ","), F.lit("")).alias("weights"))
 
 
 _EXCLUDED, _WANTED = ["ANVIL", "gear"], ["the", "und"]
@@ -206,12 +205,11 @@ def phrase_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(both), ",").alias("phrases"))
 
 
-@query("""WITH s AS (SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: x < 'c') AS a, list_filter(string_split(lower(p_type), ' '), lambda x: x < 'c') AS b FROM part)
+@query("""WITH s AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(lower(p_type), ' ') AS b FROM part)
 SELECT p_partkey, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS jaccard FROM s""")
 def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of two sets in a row; two empty sets are equal."""
-    early = lambda c: F.filter(F.split(c, " "), lambda x: x < "c")
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(sets.overlap(early("p_name"), early(F.lower("p_type"))), 6).alias("jaccard"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(sets.overlap(F.split("p_name", " "), F.split(F.lower("p_type"), " ")), 6).alias("jaccard"))
 
 
 @query("SELECT DISTINCT p_type AS title, dense_rank() OVER (ORDER BY p_type) AS pos FROM part")

@@ -41,7 +41,7 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_C} SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM n WHERE label = centre QUALIFY rank <= 3")
 def central_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = _vectors(spark, sf_dir).join(F.broadcast(_centres(spark, sf_dir)), "label")
+    joined = _vectors(spark, sf_dir).join(_centres(spark, sf_dir), "label")
     scored = joined.select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("centroid")), 9).alias("sim"))
     return top(scored, ["label"], [F.desc("sim"), F.asc("vec_id")], 3).drop("sim")
 
