@@ -2,9 +2,9 @@
 of its own and the adjacent blocks.
 
 An order has no buckets that could grow: ties of codes go by id, so any number of like vectors is as many blocks. A task
-holds two blocks. Points may have a draw; only points of one draw meet. What is found is compared exactly; what is missed is measured by `recall`: with 12 orders of
-blocks of 512 it is above 0.99 for the 15 nearest of 2,000 random vectors and 0.95 for 10,000, and all of the pairs at
-0.85; up to 512 rows all meet all.
+holds two blocks. Points may have a draw; only points of one draw meet. What is found is compared exactly; what is missed is measured by `recall`. A NumPy model of 12 orders of blocks of 512 found all of the
+15 nearest of the 2,000 vectors at sf0.1, 0.966 of those of 10,256 vectors with copies among them, and all 28,633 pairs
+of the latter at 0.85; up to 512 rows all meet all.
 """
 
 from __future__ import annotations
