@@ -25,21 +25,13 @@ def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = pages.withColumn("host", F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
     counts = named.groupBy("host").agg(F.ceil(F.count("*") / LISTED).alias("p"))
     site = stages.written(named.join(counts, "host").select("url", "host", "n_chars", (F.col("page_id") % F.col("p")).alias("page")), "site")
-    listing = site.groupBy("host", "page").agg(F.collect_list("url").alias("listed"))  # about LISTED each
-    search = lambda host, page: F.concat(F.lit("search:"), host, F.lit("/"), page.cast("string"))
-    zero = F.lit(0).cast("long")
-    start = counts.select(search(F.col("host"), zero).alias("address"), "host", zero.alias("page"), F.lit("search").alias("kind"))
+    listing = stages.written(site.groupBy("host", "page").agg(F.collect_list("url").alias("listed")), "listing")  # about LISTED each
 
     def answered(frontier: DataFrame) -> DataFrame:
-        lists = frontier.where("kind = 'search'").join(listing, ["host", "page"], "left").withColumn("n_chars", F.lit(None).cast("long"))
-        found = frontier.where("kind = 'detail'").join(site.select(F.col("url").alias("address"), "n_chars"), "address").withColumn("listed", F.lit(None).cast("array<string>"))
-        return lists.unionByName(found)
-
-    def following(rows: DataFrame) -> DataFrame:
-        full = rows.where("kind = 'search' and size(listed) > 0")
-        details = full.select(F.explode("listed").alias("address"), "host", "page", F.lit("detail").alias("kind"))
-        more = full.withColumn("page", F.col("page") + 1).select(search(F.col("host"), F.col("page")).alias("address"), "host", "page", F.lit("search").alias("kind"))
-        return details.unionByName(more)
-
-    found = crawl.generations(start, answered, following)
-    return found.where("kind = 'detail'").select("address", "host", "page", "n_chars", F.col("generation").cast("long").alias("generation"))
+        return frontier.join(listing, ["host", "page"], "left")
+
+    searched = crawl.runs(counts, "host", answered)
+    details = searched.select(F.explode("listed").alias("address"), "host", "page")
+    first = details.groupBy("address").agg(F.min(F.struct("page", "host")).alias("r")).select("address", "r.host", "r.page")
+    found = first.join(site.select(F.col("url").alias("address"), "n_chars"), "address")
+    return found.select("address", "host", "page", "n_chars", (F.col("page") + 1).alias("generation"))

@@ -158,3 +158,25 @@ def test_search_leads_to_postings(spark, tmp_path):
     assert none.count() == 0 and crawl.postings(none).count() == 0
     few = crawl.searched(keywords.where("keyword = 'физика'"), "https://s.org", crawl.by_transport(site(str(tmp_path)), tries=1), 2)
     assert few.where(F.col("kind") == "search").count() == 2 and few.where(F.col("kind") == "detail").count() == 5
+
+
+def test_search_pages_come_in_doubling_runs(spark, tmp_path, monkeypatch):
+    from quillspark import stages
+    from quillspark.plans import crawl as plans, registry
+    from tests.oracle import compared
+
+    # one host of 60 search pages, one of whose three pages the second is empty, one that has a page twice
+    long = [(i, f"http://long.org/{i}", "x" * (i % 7)) for i in range(60 * plans.LISTED)]
+    gap = [(5000 + i * 3 + (2 if i % 2 else 0), f"http://gap.org/{i}", "yy") for i in range(2 * plans.LISTED + 1)]
+    gap = [(i, url, page) for i, url, page in gap if i % 3 != 1]
+    twice = [(9000, "https://twice.org/a?b", "zzz"), (9001, "https://twice.org/a?b", "z"), (9002, "no address", None)]
+    spark.createDataFrame(long + gap + twice, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    steps, counted = [], stages.counted
+
+    def noted(df, name, **sums):
+        steps.append(name)
+        return counted(df, name, **sums)
+
+    monkeypatch.setattr(stages, "counted", noted)
+    n = compared(spark, registry.queries()["site_crawl"], registry.oracle_sql()["site_crawl"], str(tmp_path))
+    assert n >= len(long) and len(steps) <= 20, (n, steps)
