@@ -59,17 +59,18 @@ def _merges(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "w", "lo", "hi", "n_lo", "n_hi", "p"])
 
 
-def dendrogram(tree: DataFrame, most: int = RANGE) -> tuple[DataFrame, int]:
+def dendrogram(tree: DataFrame, most: int = RANGE, group: Column | None = None) -> tuple[DataFrame, int]:
     """id, w, lo, hi, n_lo, n_hi, p of a forest's edges (a, b, w), and their number: id is the rank by weight; lo and hi are
     what the edge joins, the id of the edge that joined it last or -1 - point; n_lo and n_hi are their points, p is one.
 
     Ranges of more than `most` ranks are halved: the lower half stays as it is, and what it joins becomes one vertex in the
-    upper half, with its points and its last edge. So each range can be merged by itself.
+    upper half, with its points and its last edge. So each range can be merged by itself. group: numbers from some m
+    to 2 m - 1; edges of two groups share no points, and each group is ranked by itself, after those before it.
     """
-    edges, seen = stages.counted(tree, "tree")
     one = F.lit(1).cast("long")
+    edges, seen = stages.counted(tree.withColumn("g", one if group is None else group.cast("long")), "tree")
     side = lambda p, v: [F.col(v).alias(p), one.alias(f"s{p}"), (-1 - F.col(v)).alias(f"t{p}")]
-    rows = graphs.ranked(edges, seen["n"], ["w", "a", "b"]).select(one.alias("g"), "r", "w", F.col("a").alias("p"), *side("u", "a"), *side("v", "b"))
+    rows = graphs.ranked(edges, seen["n"], ["g", "w", "a", "b"]).select("g", "r", "w", F.col("a").alias("p"), *side("u", "a"), *side("v", "b"))
     columns = rows.columns
     while True:
         large, sizes = stages.counted(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("r").alias("first")).where(F.col("n") > most), "ranges")
@@ -218,6 +219,26 @@ def clustered(
     return back.select(key, "cluster", F.coalesce("probability", F.lit(0.0)).alias("probability"))
 
 
+def _drawn_edges(points: DataFrame, seen: dict, draws: int, k: int, samples: int, orders: int, width: int) -> DataFrame:
+    """a, b, w of mutual reachability (see `reachability`) of every draw; a and b have their draw above their number."""
+    near, cores = neighbours.in_draws(points, seen["n"], seen["size"], draws, k, samples, orders, width)
+    words = [c for c in near.columns if c.startswith("m")]
+    pairs = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"), *(F.bit_or(m).alias(m) for m in words))
+    of = lambda c: cores.select(F.col("a").alias(c), F.col("cores").alias(f"cores_{c}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    core = lambda c, j: F.nanvl(F.col(f"cores_{c}")[j], F.lit(0.0))
+    weight = lambda j: F.greatest("d", core("a", j), core("b", j))
+    listed = F.array(*[F.when(F.getbit(words[j // neighbours.WORD], F.lit(j % neighbours.WORD)) == 1, F.struct(F.lit(j).cast("long").alias("draw"), weight(j).alias("w"))) for j in range(draws)])
+    each = met.select("a", "b", F.explode(listed).alias("e")).where("e is not null")
+    named = lambda c: (F.shiftleft("e.draw", DRAW) + F.col(c)).alias(c)
+    return each.select(named("a"), named("b"), "e.w")
+
+
+def _short(rows: DataFrame, vector: str) -> Column:
+    """The vector as it is where it has floats, else in doubles."""
+    return F.col(vector) if rows.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+
+
 def reclustered(
     rows: DataFrame, key: str, label: str, vector: str, noise: int = -1, draws: int = 100, share: float = 0.8, least: int = 10, seed: int = 42, k: int | None = None,
     orders: int = neighbours.ORDERS, width: int = neighbours.WIDTH,
@@ -225,23 +246,30 @@ def reclustered(
     """draw, n, ari: how far clusters of subsamples agree with the labels, over the points that both have in clusters.
 
     Each draw takes the points whose hash with the draw's number is below `share`, noise left out. All draws are clustered
-    in one plan: points carry their draw, and only points of one draw meet. Draws with fewer than two points in clusters, and
+    in one plan: points carry flags of their draws, and only points of one draw are neighbours. Draws with fewer than two points in clusters, and
     tables of fewer than ten points, give no rows.
     """
     stages.ship(rows.sparkSession)
-    kept = rows.where((F.col(label) != noise) & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    kept = rows.where((F.col(label) != noise) & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), _short(rows, vector).alias("v"))
     all_, seen = stages.counted(kept, "labelled", size=F.max(F.size("v")))
     if seen["n"] < 10:
         return rows.select(F.lit(0).alias("draw"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("ari")).limit(0)
-    numbered = graphs.ranked(all_, seen["n"], ["key"], "place").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    taken = numbered.where(F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    points, drawn = stages.counted(taken.withColumn("id", F.shiftleft("draw", DRAW) + F.col("place")), "draws")
+    flag = lambda j: F.pmod(F.xxhash64("key", j.cast("long"), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
+    word = lambda i: sum((F.when(flag(F.lit(j)), F.lit(1 << j - i).cast("long")).otherwise(0) for j in range(i, min(i + neighbours.WORD, draws))), F.lit(0).cast("long"))
+    numbered = graphs.ranked(all_, seen["n"], ["key"], "id").withColumn("draws", F.array(*[word(i) for i in range(0, draws, neighbours.WORD)]))
+    points = stages.written(numbered, "draws")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))
+    at, bit = F.floor(F.col("draw") / neighbours.WORD).cast("int"), (F.col("draw") % neighbours.WORD).cast("int")
+    taken = points.select("id", "label", "draws", each.alias("draw")).where(F.getbit(F.get("draws", at), bit) == 1)
+    taken = taken.select("draw", (F.shiftleft("draw", DRAW) + F.col("id")).alias("point"), "label")
     sub = int(seen["n"] * share)
     least = max(2, min(least, sub // 3))
-    near = stages.written(neighbours.nearest(points, drawn["n"], seen["size"], k or max(15, least), orders, width), "near")
-    merges, _ = dendrogram(graphs.minimum_forest(reachability(near, least)))
-    found = chosen(merges, points.groupBy("draw").agg(F.count("*").alias("n")), least)
-    both = points.select("draw", F.col("id").alias("point"), "label").join(found.select("point", "cluster"), "point")
+    # a block has as many points of a draw as it would have by itself
+    edges, found = stages.counted(_drawn_edges(points, seen, draws, k or max(15, least), least, orders, -(-width * 100 // int(100 * share))), "draw-edges")
+    draw = F.shiftright("a", DRAW)
+    merges, _ = dendrogram(graphs.minimum_forest(graphs.thinned(edges, found["n"], draw)), group=draw + draws)
+    found = chosen(merges, taken.groupBy("draw").agg(F.count("*").alias("n")), least)
+    both = taken.join(found.select("point", "cluster"), "point")
     return metrics.adjusted_rand_by(both, "draw", "label", "cluster").where("n >= 2")
 
 

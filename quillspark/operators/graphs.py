@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import stages
 
 #: Edges that are left to one task, as fewer rounds are then needed.
 LAST = 200_000
+#: Edges of which one task keeps a forest.
+PART = 1_000_000
 
 
 def ends(pointers: DataFrame) -> DataFrame:
@@ -97,6 +99,39 @@ def minimum_forest(edges: DataFrame, last: int = LAST) -> DataFrame:
     return rest
 
 
+def thinned(edges: DataFrame, n: int, group: Column, most: int = PART) -> DataFrame:
+    """The n edges (a, b, w) without those that no minimum spanning forest has, as they close a circle of lesser ones among the
+    edges of their group or, where groups may have more than `most`, of a part of it."""
+    parts = max(1, -(-n // most))
+    share = F.pmod(F.xxhash64("a", "b"), F.col("__n")).alias("__part")
+    sizes = edges.groupBy(group.alias("__g")).agg(F.ceil(F.count("*") / most).alias("__n"))
+    dealt = edges.withColumn("__g", group).join(sizes, "__g").select("__g", share, "a", "b", "w")
+    sorted_ = dealt.repartition(parts, "__g", "__part").sortWithinPartitions("__g", "__part", "w", "a", "b")
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, above = None, {}
+
+        def find(x):
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        for pdf in batches:
+            kept = []
+            for g, part, a, b in zip(pdf["__g"], pdf["__part"], pdf["a"], pdf["b"]):
+                if (g, part) != of:
+                    of = (g, part)
+                    above.clear()
+                x, y = find(a), find(b)
+                kept.append(x != y)
+                above[x] = y
+            yield pdf.loc[kept, ["a", "b", "w"]]
+
+    return sorted_.mapInPandas(keep, f"a {kinds['a']}, b {kinds['b']}, w {kinds['w']}")
+
+
 def ranked(rows: DataFrame, n: int, order: list[str], name: str = "r") -> DataFrame:
     """The n rows with their rank from 0 in order, without a sort in one partition: parts are sorted, and each begins
     where the parts before it end."""

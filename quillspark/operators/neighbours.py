@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +132,141 @@ def nearest(points: DataFrame, n: int, size: int, k: int, orders: int = ORDERS,
     return listed.select("a", F.explode("l").alias("e")).select("a", "e.b", "e.d")
 
 
+#: Draws of a word of flags.
+WORD = 63
+
+
+def _flags(words: np.ndarray, draws: int) -> np.ndarray:
+    """rows x draws booleans of rows x words."""
+    at = np.arange(draws)
+    return (words[:, at // WORD] >> (at % WORD) & 1).astype(bool)
+
+
+def _words(flags: np.ndarray) -> np.ndarray:
+    draws = flags.shape[1]
+    bits = np.int64(1) << (np.arange(draws) % WORD)
+    return np.stack([flags[:, i : i + WORD] @ bits[i : i + WORD] for i in range(0, draws, WORD)], axis=1)
+
+
+def _listed(d: np.ndarray, ids: np.ndarray, own: np.ndarray, others: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places and joint draws of the pairs of d (rows x others; infinite where there is none) in which the other is one
+    of the row's k nearest, by distance, then id, in a draw that has both. Where `most` nearest don't hold them, all are sorted."""
+    at = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+    far = np.take_along_axis(d, at, axis=1)
+    order = np.lexsort((ids[at], far), axis=1)
+    at, far = np.take_along_axis(at, order, axis=1), np.take_along_axis(far, order, axis=1)
+    both = own[:, None, :] & others[at] & np.isfinite(far)[:, :, None]
+    nth = both.cumsum(axis=1, dtype=np.int32)
+    row, place = np.nonzero((both & (nth <= k)).any(axis=2))
+    short = np.zeros(len(d), bool) if most >= d.shape[1] else ((nth[:, -1, :] < k) & own).any(axis=1)
+    kept = ~short[row]
+    found = [(row[kept], at[row[kept], place[kept]], both[row[kept], place[kept]])]
+    left = np.flatnonzero(short)
+    for i in range(0, len(left), 32):
+        rows = left[i : i + 32]
+        r, p, b = _listed(d[rows], ids, own[rows], others, k, d.shape[1])
+        found.append((rows[r], p, b))
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(3))
+
+
+def _drawn(width: int, size: int, draws: int, k: int):
+    """a, b, d and words of joint draws of the pairs that a draw lists, over each block with the blocks around it in its order."""
+
+    def emit(before, block, after):
+        sides = [s for s in (before, block, after) if s is not None]
+        ids, x, flags = block
+        others, y, marks = (np.concatenate([s[c] for s in sides]) for c in range(3))
+        d = _away(x, y)
+        d[ids[:, None] == others[None, :]] = np.inf
+        for i in range(0, len(ids), 128):
+            part = slice(i, i + 128)
+            row, place, both = _listed(d[part], others, flags[part], marks, k, 2 * k + 10)
+            words = _words(both)
+            columns = [pa.array(ids[part][row]), pa.array(others[place]), pa.array(d[part][row, place]), *(pa.array(words[:, w]) for w in range(words.shape[1]))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "d", *(f"m{w}" for w in range(words.shape[1]))])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, held, before, block = None, [], None, None
+
+        def moved():
+            nonlocal held, before, block
+            new = tuple(np.concatenate([h[c] for h in held]) for c in range(3)) if held else None
+            if block is not None:
+                yield from emit(before, block, new)
+            held, before, block = [], block, new
+
+        for rows in batches:
+            ts, ids = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+            x = rows.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(float)
+            flags = _flags(rows.column(4).flatten().to_numpy().reshape(len(ids), -1), draws)
+            at = 0
+            while at < len(ids):
+                if ts[at] != order:
+                    yield from moved()
+                    yield from moved()
+                    order, before, block = ts[at], None, None
+                end = min(at + width - sum(len(h[0]) for h in held), int(np.searchsorted(ts, order, side="right")))
+                held.append((ids[at:end], x[at:end], flags[at:end]))
+                at = end
+                if sum(len(h[0]) for h in held) == width:
+                    yield from moved()
+        yield from moved()
+        yield from moved()
+
+    return meet
+
+
+def in_draws(points: DataFrame, n: int, size: int, draws: int, k: int, samples: int, orders: int = ORDERS, width: int = WIDTH, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Of the n points (id, v of `size` components, draws: words of flags, WORD draws each) the k nearest others of each
+    draw among those that a point meets: a, b, d, m0, m1, ...: pairs with the draws that list them; and a, cores: by draw the
+    distance to the samples-th of them (the last where there are fewer).
+
+    Vectors and distances are the same in all draws, so points are ordered once for all, and a pair that many draws list is
+    one row. Blocks have `width` points of all draws.
+    """
+    stages.ship(points.sparkSession)
+    planes = _coded(orders, size, seed)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            zero = pa.array(np.zeros(len(rows), np.int64))
+            for coded in planes([pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), zero], ["id", "v", "draw"])]):
+                yield pa.RecordBatch.from_arrays([*coded.columns, rows.column(2)], ["t", "code", "id", "v", "draws"])
+
+    kind = points.schema["v"].dataType.simpleString()
+    coded = points.select("id", "v", "draws").mapInArrow(code, f"t long, code long, id long, v {kind}, draws array<long>")
+    parts = max(1, n * orders // max(RUN, 8 * width))
+    own = coded.repartitionByRange(parts, "t", "code", "id") if parts > 1 else coded.coalesce(1)
+    names = [f"m{w}" for w in range(-(-draws // WORD))]
+    words = ", ".join(f"{m} long" for m in names)
+    met = own.sortWithinPartitions("t", "code", "id").mapInArrow(_drawn(width, size, draws, k), f"a long, b long, d double, {words}")
+    pairs = met.groupBy("a", "b").agg(F.min("d").alias("d"), *(F.max(m).alias(m) for m in names))
+    lists = pairs.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("d", "b", *names))).alias("l"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            ends = np.cumsum([0, *pc.list_value_length(rows.column(1)).to_pylist()])
+            d, b, *m = (c.to_numpy() for c in rows.column(1).flatten().flatten())
+            both = _flags(np.stack(m, axis=1), draws)
+            cores = np.full((len(rows), draws), np.nan)
+            listed = np.zeros_like(both)
+            for i, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
+                nth = both[s:e].cumsum(axis=0)
+                listed[s:e] = both[s:e] & (nth <= k)
+                has = nth[-1] > 0
+                at = (nth >= np.minimum(nth[-1], min(samples, k))).argmax(axis=0)
+                cores[i, has] = d[s:e][at][has]
+            w = _words(listed)
+            each = pa.StructArray.from_arrays([pa.array(b), pa.array(d), *(pa.array(w[:, i]) for i in range(w.shape[1]))], ["b", "d", *names])
+            offsets = pa.array(ends, pa.int32())
+            spread = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * draws, pa.int32()), pa.array(cores.ravel()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, each), spread], ["a", "l", "cores"])
+
+    fields = ", ".join(["b: bigint", "d: double", *(f"{m}: bigint" for m in names)])
+    near = stages.written(lists.mapInArrow(choose, f"a long, l array<struct<{fields}>>, cores array<double>"), "near")
+    return near.select("a", F.inline("l")), near.select("a", "cores")
+
+
 def recall(points: DataFrame, found: DataFrame, k: int, of: int = 100) -> float:
     """How many of the k nearest of the points whose id `of` divides (against all points) `found` (a, b, d) has: the share
     of their k places that are filled with points no further than the true k-th."""

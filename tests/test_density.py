@@ -254,3 +254,37 @@ def test_reclustered_draws(spark):
     assert abs(mean.ari_mean - np.mean([a for _, a in want.values()])) < 1e-9 and abs(mean.ari_std - np.std([a for _, a in want.values()])) < 1e-9 and mean.n_valid_points == 55
     few = density.stability(df.limit(9), "id", "l", "v", draws=3).first()
     assert (few.ari_mean, few.ari_std, few.n_valid_points) == (0.0, 0.0, 9)
+
+
+def test_neighbours_of_draws_are_a_row_a_pair(spark):
+    x = groups(9, (40, 30), 10)
+    n, draws, k, samples = len(x), 70, 9, 4
+    marks = np.random.default_rng(1).random((n, draws)) < 0.8
+    marks[:5] = False
+    words = [[sum(1 << j - i for j in range(i, min(i + 63, draws)) if row[j]) for i in (0, 63)] for row in marks]
+    points = spark.createDataFrame([(i, v.tolist(), w) for i, (v, w) in enumerate(zip(x, words))], "id long, v array<double>, draws array<long>")
+    near, cores = neighbours.in_draws(points, n, x.shape[1], draws, k, samples)
+    away = np.round(np.linalg.norm(x[:, None] - x[None, :], axis=2), 7)
+    want, first = {}, {}
+    for j in range(draws):
+        for a in np.flatnonzero(marks[:, j]):
+            own = sorted((away[a, b], b) for b in np.flatnonzero(marks[:, j]) if b != a)[:k]
+            first[a, j] = own[samples - 1][0]
+            for _, b in own:
+                want.setdefault((a, b), set()).add(j)
+    rows = near.collect()
+    got = {(r.a, r.b): {j for j in range(draws) if (r.m0, r.m1)[j // 63] >> j % 63 & 1} for r in rows}
+    assert len(rows) == len(got) and got == want
+    found = {(r.a, j): c for r in cores.collect() for j, c in enumerate(r.cores) if c == c}
+    assert found.keys() == first.keys() and all(abs(found[p] - first[p]) < 1e-6 for p in first)
+
+
+def test_thinned_edges_keep_the_forest(spark):
+    rng = np.random.default_rng(3)
+    edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (900, 2)) if a != b})
+    rows = [(a, b, float(rng.integers(0, 50))) for a, b in edges] + [(a + 100, b + 100, float(rng.integers(0, 50))) for a, b in edges]
+    df = spark.createDataFrame(rows, "a long, b long, w double")
+    whole = sorted(map(tuple, graphs.minimum_forest(df).collect()))
+    thin = graphs.thinned(df, len(rows), F.floor(F.col("a") / 100), 100)
+    assert sorted(map(tuple, graphs.minimum_forest(thin).collect())) == whole and thin.count() < len(rows)
+    assert sorted(map(tuple, graphs.thinned(df, len(rows), F.floor(F.col("a") / 100)).collect())) == whole
