@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.text import top
+from quillspark.stages import written
 
 
 def similarities(profile: DataFrame) -> DataFrame:
@@ -96,27 +97,43 @@ def matched(profile: DataFrame, vectors: DataFrame, warmth: float = 0.35, flat:
     confidence is the softmax share of the best correlation in per cent, level (from 0) the nearest of the role's
     trajectory; a vector whose centred length is below `flat` correlates 0 with all, so the first role wins.
     """
-    centred = lambda df, by, x: df.withColumn("c", F.col(x) - F.avg(x).over(Window.partitionBy(by)))
-    v = centred(vectors, "id", "value").withColumnRenamed("c", "vc")
-    p = centred(profile, "role", "proficiency").withColumnRenamed("c", "pc")
-    lengths = v.groupBy("id").agg(F.sqrt(F.sum(F.col("vc") * F.col("vc"))).alias("vn")).crossJoin(
-        F.broadcast(p.groupBy("role").agg(F.sqrt(F.sum(F.col("pc") * F.col("pc"))).alias("pn")))
-    )  # vectors times roles, of which there are tens
-    dots = v.join(p, "axis").groupBy("id", "role").agg(F.sum(F.col("vc") * F.col("pc")).alias("d"))
-    none = (F.col("vn") < flat) | (F.col("pn") < 1e-9)
-    corr = lengths.join(dots, ["id", "role"], "left").withColumn("r", F.when(none, 0.0).otherwise(F.round(F.col("d") / (F.col("vn") * F.col("pn")), 9)))
-    best = corr.groupBy("id").agg(
-        F.max_by("role", F.struct("r", _backwards("role"))).alias("role"), F.max("r").alias("top"), F.sum(F.exp(F.col("r") / warmth)).alias("all"), F.max(F.col("vn") < flat).alias("is_flat")
-    )
-    near = vectors.join(best.select("id", "role"), "id").join(trajectory(profile).withColumnRenamed("value", "t"), ["role", "axis"])
-    far = near.groupBy("id", "level").agg(F.round(F.sqrt(F.sum(F.pow(F.col("value") - F.col("t"), F.lit(2.0)))), 9).alias("far"))
-    level = far.groupBy("id").agg((F.min_by("level", F.struct("far", "level")) - 1).alias("level"))
-    return best.join(level, "id").select("id", "role", F.round(F.exp(F.col("top") / warmth) / F.col("all") * 100).cast("int").alias("confidence"), "level", "is_flat")
-
-
-def _backwards(name: str) -> Column:
-    """A key that is greater for a name that comes earlier."""
-    return F.transform(F.split(name, ""), lambda c: -F.ascii(c))
+    # vectors are a row each, so neither they nor vectors times roles are sent or shuffled again; of roles there are tens
+    axes = profile.agg(F.array_sort(F.collect_set("axis")).alias("axes"))
+    by_axis = lambda x: F.transform("axes", lambda a: F.try_element_at(F.map_from_entries(F.collect_list(F.struct("axis", x))), a))
+    p = profile.withColumn("pc", F.col("proficiency") - F.avg("proficiency").over(Window.partitionBy("role"))).crossJoin(F.broadcast(axes))
+    own = p.groupBy("role", "axes").agg(F.sqrt(F.sum(F.col("pc") * F.col("pc"))).alias("pn"), by_axis("pc").alias("pc"))
+    roles = own.groupBy("axes").agg(F.array_sort(F.collect_list(F.struct("role", "pn", "pc"))).alias("roles"))
+    ways = trajectory(profile).crossJoin(F.broadcast(axes)).groupBy("role", "level", "axes").agg(by_axis("value").alias("at"))
+    levels = ways.groupBy("role").agg(F.array_sort(F.collect_list(F.struct("level", "at"))).alias("levels"))
+
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
+    entries = F.array_sort(F.collect_list(F.struct("axis", F.col("value").cast("double").alias("value"))))
+    values = vectors.where("id is not null and value is not null").groupBy("id").agg(entries.alias("x"), F.avg("value").alias("mean"))
+    length = F.sqrt(total("x", lambda e: F.pow(e["value"] - F.col("mean"), F.lit(2.0))))
+    placed = F.transform("x", lambda e: F.struct((F.array_position("axes", e["axis"]) - 1).cast("int").alias("at"), e["value"].alias("value"), (e["value"] - F.col("mean")).alias("c")))
+    rows = values.crossJoin(F.broadcast(roles)).select("id", length.alias("vn"), "roles", F.filter(placed, lambda e: e["at"] >= 0).alias("x"))  # one row
+
+    def likeness(role: Column) -> Column:
+        d = total("x", lambda e: F.coalesce(e["c"] * role["pc"][e["at"]], F.lit(0.0)))
+        none = (F.col("vn") < flat) | (role["pn"] < 1e-9)
+        return F.when(none, 0.0).when(F.exists("x", lambda e: role["pc"][e["at"]].isNotNull()), F.round(d / (F.col("vn") * role["pn"]), 9))
+
+    # written, as filters that the optimizer moves down would compute it again for each role
+    scored = written(rows.select("id", "x", "vn", F.transform("roles", likeness).alias("all")), "likeness").withColumn("top", F.array_max("all"))
+    # of equal ones the first name
+    nth = F.array_position("all", F.col("top")) - 1
+    named = scored.select("id", "x", "vn", "top", nth.cast("int").alias("nth"), total("all", lambda r: F.coalesce(F.exp(r / warmth), F.lit(0.0))).alias("all"))
+    ordered = roles.select(F.posexplode("roles").alias("nth", "r")).select("nth", F.col("r.role").alias("role")).join(levels, "role")
+
+    def away(level: Column) -> Column:
+        squares = total("x", lambda e: F.coalesce(F.pow(e["value"] - level["at"][e["at"]], F.lit(2.0)), F.lit(0.0)))
+        shared = F.exists("x", lambda e: level["at"][e["at"]].isNotNull())
+        return F.when(shared, F.struct(F.round(F.sqrt(squares), 9).alias("far"), level["level"].alias("level")))
+
+    near = named.join(F.broadcast(ordered), "nth").withColumn("near", F.array_min(F.transform("levels", away))).where("near is not null")
+    return near.select(
+        "id", "role", F.round(F.exp(F.col("top") / warmth) / F.col("all") * 100).cast("int").alias("confidence"), (F.col("near.level") - 1).alias("level"), (F.col("vn") < flat).alias("is_flat")
+    )
 
 
 def stages(profile: DataFrame, stage_profiles: dict[str, dict[str, float]], transversal: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
