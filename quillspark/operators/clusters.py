@@ -75,6 +75,20 @@ def similar_pairs(rows: DataFrame, key: str, vector: str, least: float, block: i
     return both.mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
+def _blocks_met(rows: DataFrame, block: int, few: int = 4, most: int = 64) -> DataFrame:
+    """x, xs, y, ys: every block of about `block` rows (k and more) with every block, itself too.
+
+    The blocks are written and dealt twice, into groups of about `few` and of about `most`; a task reads a group of each, and
+    its few blocks meet the others one after another. So however often blocks meet, they are moved twice.
+    """
+    held, seen = stages.counted(rows, "blocked-rows")
+    parts = max(1, -(-seen["n"] // block))
+    blocks = held.groupBy(F.pmod(F.xxhash64("k"), F.lit(parts)).alias("x")).agg(F.collect_list(F.struct(*held.columns)).alias("xs"))
+    stored = stages.written(blocks, "blocks")
+    dealt = lambda size: stored.repartition(max(1, -(-parts // size)), "x")
+    return dealt(few).hint("shuffle_replicate_nl").crossJoin(dealt(most).select(F.col("x").alias("y"), F.col("xs").alias("ys")))
+
+
 def separation(centres: DataFrame, label: str) -> DataFrame:
     """One row: 1 less the greatest cosine of two centres."""
     side = lambda k: centres.select(F.col(label).alias(k), F.col("centroid").alias(f"c_{k}"))
@@ -148,24 +162,40 @@ def silhouettes(rows: DataFrame, key: str, label: str, vector: str, noise: int =
     Exact, so every row meets every other: blocks of rows meet in tasks of their own, which pass on one sum of distances
     for each row and cluster.
     """
-    kept = rows.where(F.col(label) != noise).select(F.col(key).alias("k"), F.col(label).cast("long").alias("l"), F.col(vector).cast("array<double>").alias("v"))
-    n = kept.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("parts"))
-    placed = kept.crossJoin(F.broadcast(n)).withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")))
-    blocks = placed.groupBy("part", "parts").agg(F.collect_list(F.struct("k", "l", "v")).alias("rows"))
-    own = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), F.col("rows").alias("xs"))
-    both = own.join(blocks.select(F.col("part").alias("other"), F.col("rows").alias("ys")), "other").select("xs", "ys")
+    kept = rows.where(F.col(label) != noise).select(F.col(key).alias("k"), F.col(label).cast("long").alias("l"), F.col(vector).alias("v"))
+    both = _blocks_met(kept, block).select("xs", "ys")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task meets a block with one after another: its sums are passed on when the next one begins
+        now, keys, labels, x, sums = None, None, None, None, {}
+
+        def closed() -> pa.RecordBatch:
+            kinds = sorted(sums)
+            at = np.repeat(np.arange(len(keys)), len(kinds))
+            columns = [keys.take(pa.array(at)), labels.take(pa.array(at)), pa.array(np.tile(kinds, len(keys)).astype(np.int64)), pa.array(np.stack([sums[i] for i in kinds], axis=1).ravel())]
+            return pa.RecordBatch.from_arrays(columns, ["k", "l", "other", "s"])
+
         for batch in batches:
             for xs, ys in zip(batch["xs"], batch["ys"]):
                 (xk, xl, xv), (_, yl, yv) = (side.values.flatten() for side in (xs, ys))
-                x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (xv, yv))
-                away = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T), 0))
-                kinds, of = np.unique(yl.to_numpy(), return_inverse=True)
-                sums = np.stack([away[:, of == i].sum(axis=1) for i in range(len(kinds))], axis=1)
-                at = np.repeat(np.arange(len(xk)), len(kinds))
-                columns = [xk.take(pa.array(at)), xl.take(pa.array(at)), pa.array(np.tile(kinds, len(xk))), pa.array(sums.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "l", "other", "s"])
+                if now is None or not xk.equals(now):
+                    if sums:
+                        yield closed()
+                    now, keys, labels, sums = xk, xk, xl, {}
+                    x = xv.flatten().to_numpy(zero_copy_only=False).reshape(len(xv), -1).astype(float)
+                    xx = (x * x).sum(axis=1)[:, None]
+                order = np.argsort(yl.to_numpy(), kind="stable")
+                y = yv.flatten().to_numpy(zero_copy_only=False).reshape(len(yv), -1).astype(float)[order]
+                kinds, begins = np.unique(yl.to_numpy()[order], return_index=True)
+                away = x @ y.T
+                away *= -2
+                away += xx
+                away += (y * y).sum(axis=1)[None, :]
+                np.sqrt(np.maximum(away, 0, out=away), out=away)
+                for i, part in zip(kinds.tolist(), np.add.reduceat(away, begins, axis=1).T):
+                    sums[i] = sums[i] + part if i in sums else part
+        if sums:
+            yield closed()
 
     kind = rows.schema[key].dataType.simpleString()
     sums = both.mapInArrow(compare, f"k {kind}, l long, other long, s double").groupBy("k", "l", "other").agg(F.sum("s").alias("s"))

@@ -288,3 +288,16 @@ def test_thinned_edges_keep_the_forest(spark):
     thin = graphs.thinned(df, len(rows), F.floor(F.col("a") / 100), 100)
     assert sorted(map(tuple, graphs.minimum_forest(thin).collect())) == whole and thin.count() < len(rows)
     assert sorted(map(tuple, graphs.thinned(df, len(rows), F.floor(F.col("a") / 100)).collect())) == whole
+
+
+def test_blocks_meet_without_being_shuffled_for_each_other(spark):
+    x = groups(11, (25, 20), 15)
+    labels = [0] * 25 + [1] * 20 + [-1] * 15
+    df = spark.createDataFrame([(i, labels[i], v.tolist()) for i, v in enumerate(x)], "id long, l int, v array<double>")
+    met = clusters._blocks_met(df.select(F.col("id").alias("k"), "v"), 7, 2, 3)
+    seen = Counter((p.k, q.k) for r in met.collect() for p in r.xs for q in r.ys)
+    assert len(seen) == 60 * 60 and set(seen.values()) == {1}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    whole = clusters.silhouettes(df, "id", "l", "v", block=7).first()
+    distance = np.linalg.norm(x[:45, None] - x[None, :45], axis=2)
+    assert abs(whole.silhouette - clusters.silhouette(distance, np.array(labels[:45]))) < 1e-6 and (whole.n_clusters, whole.n_noise) == (2, 15)
