@@ -51,18 +51,14 @@ def similar_pairs(rows: DataFrame, key: str, vector: str, least: float, block: i
     Exact, so every row meets every other: blocks of rows meet in tasks of their own, as products of matrices, and
     only pairs that count come out. It is for distinct titles or phrases, not for whole corpora.
     """
-    n = rows.agg(F.count("*").alias("n"))
-    parted = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).crossJoin(F.broadcast(n))
-    placed = parted.withColumn("parts", F.ceil(F.col("n") / block)).withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")))
-    blocks = placed.groupBy("part", "parts").agg(F.collect_list(F.struct("k", "v")).alias("rows"))
-    own = blocks.select(F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"), F.col("rows").alias("xs"), F.col("part").alias("x"))
-    both = own.join(blocks.select(F.col("part").alias("other"), F.col("rows").alias("ys")), "other").select("xs", "ys", (F.col("x") == F.col("other")).alias("same"))
+    kept = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    both = _blocks_met(kept, block).where("x <= y").select("xs", "ys", (F.col("x") == F.col("y")).alias("same"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for xs, ys, same in zip(batch["xs"], batch["ys"], batch["same"].to_pylist()):
                 (xk, xv), (yk, yv) = (side.values.flatten() for side in (xs, ys))
-                x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (xv, yv))
+                x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(float) for v in (xv, yv))
                 dots = x @ y.T
                 i, j = np.nonzero(dots >= least)
                 a, b = xk.take(pa.array(i)), yk.take(pa.array(j))

@@ -298,6 +298,11 @@ def test_blocks_meet_without_being_shuffled_for_each_other(spark):
     seen = Counter((p.k, q.k) for r in met.collect() for p in r.xs for q in r.ys)
     assert len(seen) == 60 * 60 and set(seen.values()) == {1}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    pairs = clusters.similar_pairs(df, "id", "v", 0.5, 7)
+    assert "CartesianProduct" in pairs._jdf.queryExecution().sparkPlan().toString()
+    want = {(a, b): x[a] @ x[b] for a in range(60) for b in range(a + 1, 60) if x[a] @ x[b] >= 0.5}
+    got = {(r.a, r.b): r.similarity for r in pairs.collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     whole = clusters.silhouettes(df, "id", "l", "v", block=7).first()
     distance = np.linalg.norm(x[:45, None] - x[None, :45], axis=2)
     assert abs(whole.silhouette - clusters.silhouette(distance, np.array(labels[:45]))) < 1e-6 and (whole.n_clusters, whole.n_noise) == (2, 15)
