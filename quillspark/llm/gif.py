@@ -40,34 +40,33 @@ def _widths(depth: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[depth]
 
 
-def _codes(data: bytes, depth: int) -> tuple[list[int], list[int]]:
-    """The codes of data and their widths."""
-    clear, first = 1 << depth, (1 << depth) + 2
+def _codes(data: bytes, depth: int) -> tuple[list[int], list[np.ndarray]]:
+    """The codes of data, each times 256, and their widths."""
+    clear, first, most = 1 << depth + 8, (1 << depth) + 2 << 8, 4096 << 8
     widths = _widths(depth)[0]
     table: dict[int, int] = {}
     find = table.get
-    codes, bits, since, free = [clear], [depth + 1], 1, first
+    codes, bits, since, free = [clear], [np.array([depth + 1])], 1, first
     put = codes.append
-    prefix = data[0] if data else None
+    prefix = data[0] << 8 if data else None
     for byte in data[1:]:
-        code = find(key := prefix << 8 | byte)
-        if code is not None:
+        # codes of the table are never 0
+        if code := find(key := prefix | byte):
             prefix = code
             continue
         put(prefix)
-        prefix = byte
+        prefix = byte << 8
         table[key] = free
-        free += 1
-        if free == 4096:
-            bits += widths[: len(codes) - since].tolist()
-            bits.append(12)
+        free += 256
+        if free == most:
+            bits += [widths[: len(codes) - since], widths[-1:]]
             put(clear)
             table.clear()
             since, free = len(codes), first
     if prefix is not None:
         put(prefix)
-    put(clear + 1)
-    bits += widths[: len(codes) - since].tolist()
+    put(clear + 256)
+    bits.append(widths[: len(codes) - since])
     return codes, bits
 
 
@@ -76,16 +75,17 @@ def lzw_encode(parts: list[bytes], depth: int = 8) -> list[bytes]:
     codes, bits, sizes = [], [], []
     for data in parts:
         c, b = _codes(data, depth)
-        pad = -sum(b) % 8
+        n = sum(int(w.sum()) for w in b)
+        pad = -n % 8
         codes += c
         bits += b
         if pad:
             codes.append(0)
-            bits.append(pad)
-        sizes.append(sum(b) + pad >> 3)
-    each = np.array(bits)
-    spread = (np.array(codes)[:, None] >> np.arange(12)) & 1
-    data = np.packbits(spread[np.arange(12) < each[:, None]].astype(np.uint8), bitorder="little").tobytes()
+            bits.append(np.array([pad]))
+        sizes.append(n + pad >> 3)
+    each = np.concatenate(bits) if bits else np.zeros(0, np.int64)
+    pairs = (np.array(codes, np.uint32) >> 8).astype("<u2").view(np.uint8).reshape(-1, 2)
+    data = np.packbits(np.unpackbits(pairs, axis=1, bitorder="little")[np.arange(16) < each[:, None]], bitorder="little").tobytes()
     ends = np.cumsum([0, *sizes])
     return [data[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
