@@ -314,6 +314,16 @@ def test_gif_digests(spark):
         assert d.tail_crc32 == zlib.crc32(payload[-32:]) and media.setdefault(r.text, (d.media_bytes, d.media_sha256, d.feature)) == (d.media_bytes, d.media_sha256, d.feature)
 
 
+def test_gifs_do_not_depend_on_what_is_stored_together(spark):
+    from quillspark.llm import gif
+
+    rows = [(i, t) for i, t in enumerate(["", None, "a" * 3000, "b", "", "some words " * 900, "b", None])] + [(None, "some words " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = Counter((i, len(t or ""), gif.encode((t or "").encode().ljust(max(1, -(-len(t or "") // 576)) * 576, b"\xff"))) for i, t in rows)
+    for together in (1, 3000, gif.TOGETHER):
+        assert Counter((r.doc_id, r.n_bytes, bytes(r.gif)) for r in gif.stored(docs, together=together).collect()) == want
+
+
 def test_languages_of_held_out_documents(spark):
     lang = {r.doc_id: r.lang for r in documents(spark).collect()}
     rows = queries.op4_language(spark, DATA).collect()
